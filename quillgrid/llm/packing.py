@@ -12,8 +12,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,8 +31,9 @@ OPEN_BINS = 2048
 #: Pieces that one packing task takes; more pieces give more tasks, never larger ones.
 PIECES_PER_TASK = 250_000
 #: Entries after which a worker's word cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 2_000_000
 END_ID = 0
+_END = END_ID.to_bytes(4, "little")
 
 _TOKENIZERS: dict[str, "CachedTokenizer"] = {}
 
@@ -39,53 +41,97 @@ _TOKENIZERS: dict[str, "CachedTokenizer"] = {}
 class CachedTokenizer:
     """A tokenizer file applied word by word with a cache of words.
 
-    For tokenizers whose pre-tokenizer never lets a token span ASCII white space (as `word_bpe_49k.json`): the ids of
-    a text are those of its words in order. Words seen before cost one look-up.
+    For tokenizers like `word_bpe_49k.json`: lower case, pre-tokens that are runs of letters or of marks and never span
+    white space, and word-end marks on a pre-token's last id. The ids of a text are then those of its words in order.
+    A word seen before costs one look-up. New words of Latin letters are encoded many at a time, as lower-case words
+    with a space between, and told apart by the word-end marks; all others go through the whole tokenizer one by one.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> "CachedTokenizer":
         if path not in _TOKENIZERS:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the threads
             _TOKENIZERS[path] = cls(path)
         return _TOKENIZERS[path]
 
-    def learn(self, words: list[str]) -> None:
-        """Put the words into the cache. Letters followed by ASCII marks are looked up as two parts."""
-        parts, whole = {}, []
+    def learn(self, words: set[str]) -> None:
+        """Put the words into the cache. Letters followed by ASCII marks are two parts."""
+        cache, parts, plain, whole = self.cache, [], {}, {}
         for w in words:
-            stem = w.rstrip(".,!?;:")
-            if stem != w and stem.isalpha():
-                parts[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :])
-            elif w.isascii() and w.isalpha():
-                parts[w] = (w.lower(), "")
+            if m := _LATIN(w):
+                stem, marks = m.group(1).lower(), m.group(2)
+                if stem not in cache:
+                    plain[stem] = None
+                if marks and marks not in cache:
+                    whole[marks] = None
+                if stem != w:
+                    parts.append((w, stem, marks))
             else:
-                whole.append(w)
-        need = list(dict.fromkeys(x for x in chain(whole, *parts.values()) if x and x not in self.cache))
-        for w, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False)):
-            self.cache[w] = tuple(e.ids)
-        for w, (stem, marks) in parts.items():
-            self.cache[w] = self.cache[stem] + (self.cache[marks] if marks else ())
-
-    def ids(self, text: str) -> array:
-        words = _words(text)
+                whole[w] = None
+        stems = list(plain)
+        for at in range(0, len(stems), 512):
+            some = stems[at : at + 512]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer's ids can't be told apart by word ends")
+            start = 0
+            for w, end in zip(some, cuts):
+                cache[w] = data[start:end]
+                start = end
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole), add_special_tokens=False)):
+            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, stem, marks in parts:
+            cache[w] = cache[stem] + cache[marks] if marks else cache[stem]
+
+    def data(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        texts = [_words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        if missing := {w for w in words if w not in self.cache}:
-            self.learn(sorted(missing))
-        return array("I", chain.from_iterable(map(self.cache.__getitem__, words)))
+        if missing := set(chain.from_iterable(texts)).difference(self.cache):
+            self.learn(missing)
+        for words in texts:
+            yield b"".join(map(self.cache.__getitem__, words))
 
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(next(self.data([text])), dtype="<u4").tolist()
 
-_TO_SPACE = str.maketrans("\t\n\r\x0b\x0c", "     ")
+
+#: Latin letters whose lower case and composed form do not depend on their neighbours, then ASCII marks.
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĴ-ňŊ-ſ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    """Runs of anything but the six ASCII white-space characters."""
+    for c in "\t\n\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
+def _encoded(encoder: CachedTokenizer, column: pa.Array, chars: int = 1_000_000) -> Iterator[bytes]:
+    """The ids of a column's texts, some texts at a time."""
+    some, size = [], 0
+    for x in column:
+        some.append(x.as_py() or "")
+        size += len(some[-1])
+        if size >= chars:
+            yield from encoder.data(some)
+            some, size = [], 0
+    yield from encoder.data(some)
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, with_ids: bool = True) -> DataFrame:
@@ -96,10 +142,8 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, with_i
         encoder = CachedTokenizer.of(tokenizer)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = encoder.ids(text.as_py() or "")
-                ids.append(END_ID)
-                data = np.frombuffer(ids, dtype=np.uint32).astype("<u4", copy=False)
+            for i, found in enumerate(_encoded(encoder, batch.column(1))):
+                data = np.frombuffer(found + _END, dtype="<u4")
                 for k, at in enumerate(range(0, len(data), max_tokens)):
                     part = data[at : at + max_tokens]
                     row.append(i)
