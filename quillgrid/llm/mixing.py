@@ -1,8 +1,8 @@
 """Mixing to target weights with soft domain membership, in DataFrame expressions only.
 
 1. A naive Bayes classifier, fitted on at most SAMPLE labelled documents (those with the least hash of doc_id), gives
-   every document a posterior over the domains good, poor and toxic. Its features: the presence of at most
-   WORDS_PER_DOMAIN telling words for each domain, and how varied the words are.
+   every document a posterior over the domains good, poor and toxic. Its features: at most WORDS_PER_DOMAIN telling
+   words each of poor and toxic (whether any is there, and which), and how varied the words are.
 2. Nonnegative rates r are fitted to the expected tokens of each domain, sum of r * tokens * posterior, by projected
    gradient least squares: r <- clip(r - posterior . M (A r - t)), where M inverts the domains' token Gram matrix. One
    round is one aggregation to as many numbers as there are domains; a rate is the same function of the posterior
@@ -17,6 +17,8 @@ without labels all documents share one posterior; an empty table gives an empty
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,18 +32,28 @@ TARGETS = {"good": 0.98, "poor": 0.015, "toxic": 0.005}
 SAMPLE = 20_000
 WORDS_PER_DOMAIN = 256
 LEAST_SEEN = 4
+#: A telling word is at least so many times as frequent in its domain as outside.
+TELLS = 4
+LOOKUP = 128
 VARIETY = (0.2, 0.35, 0.5, 0.7)
 ROUNDS = 12
 MOST = 4.0
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _words(text: Column) -> Column:
-    clean = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    return F.filter(F.split(clean, " "), lambda w: w != "")
+    clean = F.coalesce(text, F.lit(""))
+    for c in "\n\t\r":
+        clean = F.replace(clean, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(clean, " "), "")
 
 
-def _variety(words: Column) -> Column:
-    share = F.size(F.array_distinct(words)) / F.greatest(F.lit(1), F.size(words))
+def _variety(distinct: Column, words: Column) -> Column:
+    share = distinct / F.greatest(F.lit(1), words)
     level = F.lit(len(VARIETY))
     for i, top in reversed(list(enumerate(VARIETY))):
         level = F.when(share < top, F.lit(i)).otherwise(level)
@@ -49,49 +61,82 @@ def _variety(words: Column) -> Column:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """log priors, and log likelihood ratios by word and by level of variety; the driver sees at most
-    3 * WORDS_PER_DOMAIN words and a few sums."""
+    """Log likelihoods by domain: priors, listed words, whether any word listed for a domain is there, and level of
+    variety. The driver sees at most 2 * WORDS_PER_DOMAIN words and a few sums."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
     few = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", F.array_distinct(_words(F.col("text"))).alias("w"), _variety(_words(F.col("text"))).alias("variety"))
-    known = checkpointed(known)
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", _words(F.col("text")).alias("all"))
+    known = known.select("domain", F.array_distinct("all").alias("w"), F.size("all").alias("n"))
+    known = checkpointed(known.select("domain", "w", _variety(F.size("w"), F.col("n")).alias("variety")))
     sums = {(r["domain"], r["variety"]): r["n"] for r in known.groupBy("domain", "variety").agg(F.count("*").alias("n")).collect()}
     size = [sum(n for (d, _), n in sums.items() if d == k) for k in range(3)]
     total = sum(size)
-    model = {"prior": [math.log((n + 1) / (total + 3)) for n in size], "words": {}, "variety": {}}
+    model = {"prior": [math.log((n + 1) / (total + 3)) for n in size], "words": [{}, {}, {}], "any": {}, "variety": {}}
     for v in range(len(VARIETY) + 1):
         model["variety"][v] = [math.log((sums.get((k, v), 0) + 0.5) / (size[k] + 0.5 * (len(VARIETY) + 1))) for k in range(3)]
     seen = known.select("domain", F.explode("w").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(3)])
-    seen = seen.where(F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_SEEN)
-    chosen: dict[str, tuple[int, int, int]] = {}
-    for k in range(3):
+    seen = checkpointed(seen.where(F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_SEEN))
+    for k in (1, 2):
         inside = (F.col(f"n{k}") + 0.1) / (size[k] + 1)
         outside = (sum(F.col(f"n{j}") for j in range(3) if j != k) + 0.1) / (total - size[k] + 1)
         # how much a document with the word tells, times how often it does
         tells = F.log(inside / outside) * F.sqrt(inside)
-        for r in seen.where(inside > 2 * outside).orderBy(F.desc(tells), "word").limit(WORDS_PER_DOMAIN).collect():
-            chosen[r["word"]] = (r["n0"], r["n1"], r["n2"])
-    for word, n in chosen.items():
-        model["words"][word] = [math.log((n[k] + 0.1) / (size[k] + 1)) for k in range(3)]
+        for r in seen.where(inside > TELLS * outside).orderBy(F.desc(tells), "word").limit(WORDS_PER_DOMAIN).collect():
+            model["words"][k][r["word"]] = [math.log((r[f"n{j}"] + 0.5) / (size[j] + 1)) for j in range(3)]
+    listed = [F.array(*map(F.lit, sorted(words) or [""])) for words in model["words"]]
+    found = known.groupBy("domain", *[F.arrays_overlap("w", listed[k]).alias(f"any{k}") for k in (1, 2)]).agg(F.count("*").alias("n")).collect()
+    for k in (1, 2):
+        for there in (False, True):
+            n = [sum(r["n"] for r in found if r["domain"] == j and bool(r[f"any{k}"]) == there) for j in range(3)]
+            model["any"][k, there] = [math.log((n[j] + 0.5) / (size[j] + 1)) for j in range(3)]
     return model
 
 
-def posteriors(text: Column, model: dict) -> tuple[Column, Column]:
-    """tokens, and an array of the domains' posteriors."""
-    words = _words(text)
-    scores = F.array(*[F.lit(float(x)) for x in model["prior"]])
-    if model["words"]:
-        listed = sorted(model["words"])
-        # one map from word to its three scores; of a text only its few listed words look into it
-        lookup = F.map_from_arrays(F.array(*map(F.lit, listed)), F.array(*[F.array(*[F.lit(float(x - max(model["words"][w]))) for x in model["words"][w]]) for w in listed]))
-        hits = F.array_intersect(words, F.array(*map(F.lit, listed)))
-        scores = F.aggregate(F.transform(hits, lambda w: F.element_at(lookup, w)), scores, lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    levels = F.array(*[F.array(*[F.lit(float(x)) for x in model["variety"][v]]) for v in range(len(VARIETY) + 1)])
-    scores = F.zip_with(scores, F.get(levels, _variety(words)), lambda x, y: x + y)
-    least = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(F.greatest(F.lit(-60.0), x - F.array_max(s)))))[0]
-    share = F.transform(F.array(least), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
-    return F.size(words).cast("long"), share
+def _judged(docs: DataFrame, keep: list[Column], model: dict) -> DataFrame:
+    """`keep`, tokens, and p: the domains' posteriors."""
+    number = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    listed = sorted({w for words in model["words"] for w in words}) or [""]
+    # words and scores by a hash of the word: looking one up in a map or a long array would pass all others
+    places: list[list[tuple[str, int, list[float]]]] = [[] for _ in range(LOOKUP)]
+    for k, words in enumerate(model["words"]):
+        for w, x in sorted(words.items()):
+            # being there at all is counted once for a domain's words; a word adds how it differs from its like
+            places[zlib.crc32(w.encode()) % LOOKUP].append((w, k, [a - b for a, b in zip(x, model["any"][k, True])]))
+    words_at = F.array(*[F.array(*[F.lit(w) for w, _, _ in at]).cast("array<string>") for at in places])
+    scores_at = F.array(*[F.array(*[number([k, *x]) for _, k, x in at]).cast("array<array<double>>") for at in places])
+
+    def looked_up(w: Column) -> Column:
+        place = (F.crc32(w.cast("binary")) % LOOKUP).cast("int")
+        return F.get(F.get(scores_at, place), F.array_position(F.get(words_at, place), w).cast("int") - 1)
+
+    # Two projections: the arrays of words in compiled code, and all that is done with what was found as one
+    # expression. Compiled into the same method, it would make that too long for the JVM to optimise.
+    split = docs.select(*keep, _words(F.col("text")).alias("_all"))
+    names = split.columns[:-1]
+    found = F.array_intersect("_all", F.array(*map(F.lit, listed)))
+    split = split.select(*names, F.size("_all").cast("long").alias("tokens"), F.size(F.array_distinct("_all")).alias("_distinct"), found.alias("_found"))
+    levels = F.array(*[number(model["variety"][v]) for v in range(len(VARIETY) + 1)])
+
+    def score(level: Column, by: list[Column], j: int) -> Column:
+        z = F.lit(float(model["prior"][j])) + F.get(F.get(levels, level), j)
+        for k, hits in zip((1, 2), by):
+            # the mean of what the words found say, as they seldom are independent
+            mean = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x[j + 1]) / F.greatest(F.lit(1), F.size(hits))
+            z = z + F.when(F.size(hits) > 0, F.lit(float(model["any"][k, True][j])) + mean).otherwise(F.lit(float(model["any"][k, False][j])))
+        return z
+
+    def scores(level: Column, hits: Column) -> Column:
+        of = lambda k: F.filter(hits, lambda x: x[0] == k)
+        return _let(F.struct(of(1).alias("a"), of(2).alias("b")), lambda x: F.array(*[score(level, [x["a"], x["b"]], j) for j in range(3)]))
+
+    def judged(x: Column) -> Column:
+        hits = F.filter(F.transform(x["_found"], looked_up), lambda h: h.isNotNull())
+        level = _variety(x["_distinct"], x["tokens"])
+        odds = _let(_let(hits, lambda h: scores(level, h)), lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda z: F.exp(F.greatest(F.lit(-60.0), z - top)))))
+        return _let(odds, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda z: z / total)))
+
+    return split.select(*names, "tokens", _let(F.struct("_found", "_distinct", "tokens"), judged).alias("p"))
 
 
 def _rate(steps: list[np.ndarray], most: float) -> Column:
@@ -124,16 +169,16 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: i
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, p_<domain> and rate for each document."""
-    tokens, share = posteriors(F.col("text"), fit_classifier(docs, labels))
-    members = checkpointed(docs.select("doc_id", tokens.alias("tokens"), share.alias("p")))
+    members = checkpointed(_judged(docs, [F.col("doc_id")], fit_classifier(docs, labels)))
     rate = _rate(fit_rates(members, targets), MOST)
     return members.select("doc_id", "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs, all columns as they were, each row as often as its rate rounds to (so a rate below 0.5 drops it)."""
-    tokens, share = posteriors(F.col("text"), fit_classifier(docs, labels))
-    members = checkpointed(docs.select(tokens.alias("tokens"), share.alias("p")))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rated = docs.select(row.alias("row"), share.alias("p")).withColumn("times", F.floor(_rate(fit_rates(members, targets), MOST) + 0.5).cast("int"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    model = fit_classifier(docs, labels)
+    members = checkpointed(_judged(docs, [], model))
+    times = F.floor(_rate(fit_rates(members, targets), MOST) + 0.5).cast("int")
+    rated = _judged(docs, [row], model).select("row", times.alias("times"))
     return rated.where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
