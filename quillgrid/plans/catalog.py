@@ -2,5 +2,351 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import containers
+from ..operators import raster as ops
+from ..sources.tables import WIDTH, ranked, raster, table
+from ..streaming.events import latest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+PX = "px AS (SELECT y, x, CAST(least(255, greatest(0, floor((CAST(embedding[x + 1] AS DOUBLE) + 1) * 127.5 + 0.5))) AS INT) AS v FROM (SELECT vec_id AS y, CAST(unnest(range(64)) AS INT) AS x, embedding FROM embeddings))"
+LINE = "line AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, CAST(l_quantity AS INT) AS v FROM lineitem), n AS (SELECT count(*) AS n FROM lineitem)"
+LIVE_TYPES = ("purchase", "click", "view")
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    """Register a query under its own name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def height(pixels: DataFrame) -> int:
+    return (pixels.agg(F.max("y")).first()[0] or -1) + 1
+
+
+# --- histograms and profiles -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX} SELECT v AS bin, count(*) AS n FROM px GROUP BY v")
+def luma_histogram(spark, sf_dir):
+    return raster(spark, sf_dir).groupBy(F.col("v").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT CAST(l_quantity AS INT) AS bin, count(*) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h), f AS (SELECT unnest([10, 20, 500, 980, 990]) AS per_mille)
+SELECT per_mille, min(bin) FILTER (WHERE upto >= greatest(1, (total * per_mille + 999) // 1000)) AS bin FROM c, f GROUP BY per_mille""")
+def histogram_quantiles(spark, sf_dir):
+    h = ops.running(table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("bin")).agg(F.count("*").alias("n")))
+    wanted = h.withColumn("per_mille", F.explode(F.array(*map(F.lit, (10, 20, 500, 980, 990)))))
+    return wanted.groupBy("per_mille").agg(ops.quantile(wanted, F.col("per_mille")).alias("bin"))
+
+
+@query(f"""WITH {PX}, h AS (SELECT v AS bin, count(*) AS n FROM px GROUP BY v), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h)
+SELECT min(bin) FILTER (WHERE upto >= greatest(1, (total * 20 + 999) // 1000)) AS low, min(bin) FILTER (WHERE upto >= greatest(1, (total * 500 + 999) // 1000)) AS middle,
+min(bin) FILTER (WHERE upto >= greatest(1, (total * 980 + 999) // 1000)) AS high FROM c""")
+def tone_profile(spark, sf_dir):
+    h = ops.running(raster(spark, sf_dir).groupBy(F.col("v").alias("bin")).agg(F.count("*").alias("n")))
+    return h.agg(*[ops.quantile(h, F.lit(q)).alias(name) for q, name in ((20, "low"), (500, "middle"), (980, "high"))])
+
+
+# --- pixel arithmetic --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX} SELECT y, x, CAST(((v * 7) % 256 * v + 255 * (255 - v) + 127) // 255 AS INT) AS out FROM px")
+def flatten_over_background(spark, sf_dir):
+    return raster(spark, sf_dir).select("y", "x", F.expr("CAST(((v * 7) % 256 * v + 255 * (255 - v) + 127) DIV 255 AS INT)").alias("out"))
+
+
+@query(f"""WITH {PX}, s AS (SELECT y, x, v AS a, (v * 7) % 256 AS c FROM px)
+SELECT y, x, CAST(least(255, greatest(0, floor(c * a / 255.0::DOUBLE + 255 * (255 - a) / 255.0::DOUBLE + 0.5))) AS INT) AS on_white, CAST(least(255, greatest(0, floor(c * a / 255.0::DOUBLE + 0.5))) AS INT) AS on_black FROM s""")
+def render_pair(spark, sf_dir):
+    s = raster(spark, sf_dir).select("y", "x", F.col("v").alias("a"), (F.col("v") * 7 % 256).alias("c"))
+    shown = lambda ground: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col("c") * F.col("a") / F.lit(255.0) + ground + 0.5))).cast("int")
+    return s.select("y", "x", shown(255 * (255 - F.col("a")) / F.lit(255.0)).alias("on_white"), shown(F.lit(0.0)).alias("on_black"))
+
+
+@query(f"""WITH {PX}, s AS (SELECT y, x, v AS r, (v * 3) % 256 AS g, (v * 5) % 256 AS b FROM px)
+SELECT y, x, CAST((r + 2 * g + b) // 4 AS INT) AS quarter, CAST((306 * r + 601 * g + 117 * b + 512) >> 10 AS INT) AS bt601, CAST(floor((299 * r + 587 * g + 114 * b) / 1000.0::DOUBLE + 0.5) AS INT) AS luma FROM s""")
+def gray_variants(spark, sf_dir):
+    s = raster(spark, sf_dir).select("y", "x", F.col("v").alias("r"), (F.col("v") * 3 % 256).alias("g"), (F.col("v") * 5 % 256).alias("b"))
+    return s.select("y", "x", F.expr("CAST((r + 2 * g + b) DIV 4 AS INT)").alias("quarter"), F.shiftright(F.expr("306 * r + 601 * g + 117 * b + 512"), 10).cast("int").alias("bt601"), F.floor(F.expr("(299 * r + 587 * g + 114 * b) / 1000D") + 0.5).cast("int").alias("luma"))
+
+
+# --- permutation and search --------------------------------------------------------------------------------------
+
+
+def _line(spark, sf_dir):
+    return ranked(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "i").select("i", F.col("l_quantity").cast("int").alias("v"))
+
+
+@query(f"WITH {LINE} SELECT ((i - CAST(floor((sqrt(5) - 1) / 2 * n + 0.5) AS BIGINT) % n) % n + n) % n AS i, v FROM line, n")
+def cyclic_shift(spark, sf_dir):
+    line, n = _line(spark, sf_dir), table(spark, sf_dir, "lineitem").count()
+    return ops.shifted(line, n, ops.shift(n, 1.0))
+
+
+@query(f"WITH {LINE} SELECT i, v FROM line")
+def cyclic_unshift(spark, sf_dir):
+    line, n = _line(spark, sf_dir), table(spark, sf_dir, "lineitem").count()
+    return ops.shifted(ops.shifted(line, n, ops.shift(n, 1.0)), n, -ops.shift(n, 1.0))
+
+
+@query(f"WITH {PX} SELECT y, x, v FROM px")
+def gilbert_scramble_roundtrip(spark, sf_dir):
+    p = raster(spark, sf_dir)
+    h = height(p)
+    return ops.scramble(ops.scramble(p, 64, h), 64, h, back=True)
+
+
+@query()
+def gilbert_scramble(spark, sf_dir):
+    p = raster(spark, sf_dir)
+    return ops.scramble(p, 64, height(p))
+
+
+@query(f"""WITH {PX}, h AS (SELECT max(y) + 1 AS h, (max(y) + 1) * 64 AS n FROM px),
+c AS (SELECT s, r, row_number() OVER (ORDER BY s <> 10, s, r) AS visit FROM (SELECT unnest(range(21)) AS s), (SELECT unnest(range(1, 21)) AS r)),
+o AS (SELECT CAST(floor(s / 10.0::DOUBLE * ((sqrt(5.0::DOUBLE) - 1) / 2) * n + 0.5) AS BIGINT) % n * r % n AS off, arg_min(s, visit) AS s, arg_min(r, visit) AS r FROM c, h GROUP BY 1),
+line AS (SELECT y * 64 + x AS i, v FROM px), k AS (SELECT CAST(ceil(sqrt(n / 12000)) AS BIGINT) AS k FROM h),
+l2 AS (SELECT i, v, (i + 1) % n AS i1, (i + 64) % n AS i2 FROM line, h),
+st AS (SELECT a.i AS j, abs(a.v - b.v) AS dr, abs(a.v - c.v) AS dd FROM l2 a JOIN line b ON b.i = a.i1 JOIN line c ON c.i = a.i2),
+g AS (SELECT y * 64 + x AS i, CAST(x < 63 AS INT) AS gr, CAST(y < h - 1 AS INT) AS gd FROM px, h, k WHERE x % k = 0 AND y % k = 0),
+pr AS (SELECT off, s, r, gr, gd, (i + off) % n AS j FROM o, g, h),
+sc AS (SELECT off, s, r, sum(dr * gr + dd * gd) AS total, sum(gr + gd) AS n FROM pr JOIN st USING (j) GROUP BY off, s, r)
+SELECT s AS strength, r AS rounds, off AS "offset", round(total / n, 6) AS score FROM sc ORDER BY round(total / n, 6), abs(s - 10), r <> 1, r, s LIMIT 3""")
+def rank_shift_parameters(spark, sf_dir):
+    p = raster(spark, sf_dir)
+    return ops.rank_shifts(p, height(p))
+
+
+# --- windows -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX} SELECT y, x, CAST(sum(v) OVER w // count(v) OVER w AS INT) AS v FROM px WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def box_blur_rows(spark, sf_dir):
+    return ops.box_mean(raster(spark, sf_dir), 2, "x", "y").select("y", "x", "v")
+
+
+@query(f"""WITH {PX}, a AS (SELECT y, x, CAST(sum(v) OVER w // count(v) OVER w AS INT) AS v FROM px WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT y, x, CAST(sum(v) OVER w // count(v) OVER w AS INT) AS v FROM a WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+def box_blur_2d(spark, sf_dir):
+    return ops.box_mean(ops.box_mean(raster(spark, sf_dir), 3, "x", "y"), 3, "y", "x").select("y", "x", "v")
+
+
+@query(f"WITH {PX} SELECT y // 8 AS ty, CAST(x // 8 AS INT) AS tx, CAST(sum(v) // count(v) AS INT) AS v FROM px GROUP BY 1, 2")
+def mosaic(spark, sf_dir):
+    return raster(spark, sf_dir).groupBy(F.expr("y DIV 8").alias("ty"), F.expr("CAST(x DIV 8 AS INT)").alias("tx")).agg(F.floor(F.sum("v") / F.count("v")).cast("int").alias("v"))
+
+
+@query(f"WITH {PX}, d AS (SELECT v, lead(v) OVER (PARTITION BY y ORDER BY x) AS r, lead(v) OVER (PARTITION BY x ORDER BY y) AS b FROM px) SELECT CAST(sum(coalesce(abs(v - r), 0) + coalesce(abs(v - b), 0)) AS BIGINT) AS total, count(r) + count(b) AS pairs FROM d")
+def continuity(spark, sf_dir):
+    d = raster(spark, sf_dir).withColumn("r", F.lead("v").over(Window.partitionBy("y").orderBy("x"))).withColumn("b", F.lead("v").over(Window.partitionBy("x").orderBy("y")))
+    zero = F.lit(0)
+    return d.agg(F.sum(F.coalesce(F.abs(F.col("v") - F.col("r")), zero) + F.coalesce(F.abs(F.col("v") - F.col("b")), zero)).alias("total"), (F.count("r") + F.count("b")).alias("pairs"))
+
+
+@query(f"WITH {PX}, a AS (SELECT y, x, sum(v) OVER (PARTITION BY y ORDER BY x) AS s FROM px) SELECT y, x, CAST(sum(s) OVER (PARTITION BY x ORDER BY y) AS BIGINT) AS s FROM a")
+def integral_image(spark, sf_dir):
+    a = raster(spark, sf_dir).withColumn("s", F.sum("v").over(Window.partitionBy("y").orderBy("x")))
+    return a.select("y", "x", F.sum("s").over(Window.partitionBy("x").orderBy("y")).alias("s"))
+
+
+@query(f"""WITH {PX}, a AS (SELECT y, x, sum(v) OVER w AS s, count(v) OVER w AS n FROM px WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT y, x, CAST(least(211, greatest(96, sum(s) OVER w // sum(n) OVER w)) AS INT) AS threshold FROM a WINDOW w AS (PARTITION BY x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def box_threshold(spark, sf_dir):
+    w = Window.partitionBy("y").orderBy("x").rowsBetween(-2, 2)
+    a = raster(spark, sf_dir).select("y", "x", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"))
+    w = Window.partitionBy("x").orderBy("y").rowsBetween(-2, 2)
+    return a.select("y", "x", F.least(F.lit(211), F.greatest(F.lit(96), F.floor(F.sum("s").over(w) / F.sum("n").over(w)))).cast("int").alias("threshold"))
+
+
+@query(f"""WITH {PX}, n AS (SELECT y, x, v, coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), 0) AS a, coalesce(lag(v) OVER (PARTITION BY x ORDER BY y), 0) AS b FROM px),
+m AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY y ORDER BY x), 0) AS c FROM n),
+p AS (SELECT *, CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END AS e FROM m),
+r AS (SELECT y, unnest(range(5)) AS f, unnest([v, (v - a + 256) % 256, (v - b + 256) % 256, (v - (a + b) // 2 + 256) % 256, (v - e + 256) % 256]) AS q FROM p),
+s AS (SELECT y, f, sum(least(q, 256 - q)) AS cost FROM r GROUP BY y, f)
+SELECT y, CAST(f AS INT) AS filter, CAST(cost AS BIGINT) AS cost FROM s QUALIFY row_number() OVER (PARTITION BY y ORDER BY cost, f) = 1""")
+def png_filter_choice(spark, sf_dir):
+    return ops.predictor_costs(raster(spark, sf_dir)).groupBy("y").agg(F.min(F.struct("cost", "filter")).alias("b")).select("y", "b.filter", "b.cost")
+
+
+@query(f"""WITH {PX}, z AS (SELECT y, x, CASE WHEN v >= 120 THEN v END AS v FROM px)
+SELECT y, x, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v IGNORE NULLS) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS v FROM z""")
+def next_valid_fill(spark, sf_dir):
+    z = raster(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 120, F.col("v")))
+    w = Window.partitionBy("y").orderBy("x")
+    after, before = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    return z.select("y", "x", F.coalesce(F.first("v", True).over(after), F.last("v", True).over(before)).alias("v"))
+
+
+@query(f"""WITH RECURSIVE {PX}, m AS (SELECT y, x, y * 64 + x AS i FROM px WHERE v > 150 AND y < 48),
+e AS (SELECT a.i, b.i AS j FROM m a JOIN m b ON (a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)),
+r AS (SELECT i AS root, i FROM m UNION SELECT r.root, e.j FROM r JOIN e ON e.i = r.i)
+SELECT m.y, m.x, min(r.root) AS label FROM r JOIN m ON m.i = r.i GROUP BY m.y, m.x""")
+def grid_components(spark, sf_dir):
+    from tempfile import mkdtemp
+
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="quillgrid-"))
+    return ops.components(raster(spark, sf_dir).where("v > 150 AND y < 48"))
+
+
+@query(f"WITH {PX}, c AS (SELECT y // 8 AS ty, CAST(x // 8 AS INT) AS tx, CAST(sum(v) AS BIGINT) AS cost FROM px GROUP BY 1, 2) SELECT ty, tx, cost FROM c ORDER BY cost, ty, tx LIMIT 1")
+def placement_argmin(spark, sf_dir):
+    c = raster(spark, sf_dir).groupBy(F.expr("y DIV 8").alias("ty"), F.expr("CAST(x DIV 8 AS INT)").alias("tx")).agg(F.sum("v").alias("cost"))
+    return c.agg(F.min(F.struct("cost", "ty", "tx")).alias("m")).select("m.ty", "m.tx", "m.cost")
+
+
+# --- order, sets, look-ups ---------------------------------------------------------------------------------------
+
+
+@query("WITH s AS (SELECT doc_id, source, doc_id * 10 AS a, doc_id * 10 + 10 - CAST(doc_id % 7 = 0 AS INT) AS b FROM documents) SELECT doc_id, a = lag(b, 1, a) OVER (PARTITION BY source ORDER BY doc_id) AS ok FROM s")
+def contiguity_check(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") * 10).alias("a"), (F.col("doc_id") * 10 + 10 - (F.col("doc_id") % 7 == 0).cast("int")).alias("b"))
+    return s.select("doc_id", (F.col("a") == F.coalesce(F.lag("b").over(Window.partitionBy("source").orderBy("doc_id")), F.col("a"))).alias("ok"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def dedupe_first_seen(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query()
+def crc_chunk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.concat(F.lit(b"tEXt"), F.col("text").cast("binary"))).alias("crc"))
+
+
+def _kept(spark):
+    return spark.createDataFrame([(t,) for t in LIVE_TYPES], "event_type string")
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE event_type IN {LIVE_TYPES}")
+def allowlist_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "events").join(F.broadcast(_kept(spark)), "event_type", "left_semi").select("event_id", "event_type")
+
+
+@query(f"SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN {LIVE_TYPES} GROUP BY event_type")
+def leftover_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "events").join(F.broadcast(_kept(spark)), "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.doc_id, n_chars, quality, l.doc_id IS NOT NULL AND quality = 1 AS accepted FROM documents d JOIN labels l USING (doc_id)")
+def manifest_match(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", "n_chars", "quality", (F.col("quality") == 1).alias("accepted"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def manifest_missing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT source, bool_and(quality IS NOT NULL) AS complete, count(quality) AS verified, count(*) AS files FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def package_complete(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.groupBy("source").agg(F.bool_and(F.col("quality").isNotNull()).alias("complete"), F.count("quality").alias("verified"), F.count("*").alias("files"))
+
+
+@query("SELECT doc_id, coalesce(quality, CASE WHEN lang = 'en' THEN 2 END, 3) AS cover FROM documents LEFT JOIN labels USING (doc_id)")
+def cover_fallback(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select("doc_id", F.coalesce("quality", F.when(F.col("lang") == "en", 2), F.lit(3)).alias("cover"))
+
+
+@query("SELECT event_type, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS bytes, count(*) AS files, least(999, count(*) FILTER (WHERE value > 50) * 1000 // count(*)) AS per_mille FROM events GROUP BY event_type")
+def progress_overall(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.floor(F.col("value") * 100)).alias("bytes"), F.count("*").alias("files"), F.least(F.lit(999), F.floor(F.count_if(F.col("value") > 50) * 1000 / F.count("*"))).alias("per_mille"))
+
+
+@query("SELECT doc_id, source || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '_' || row_number() OVER w END AS name FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+def unique_output_names(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", n.alias("n")).select("doc_id", F.concat("source", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))).alias("name"))
+
+
+@query(r"SELECT page_id, regexp_matches(url, '^https?://[^/@\s?#]+([/?#]|$)') AND octet_length(encode(url)) <= 1100 AS ok FROM pages")
+def website_predicate(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (F.col("url").rlike(r"^https?://[^/@\s?#]+([/?#]|$)") & (F.octet_length("url") <= 1100)).alias("ok"))
+
+
+@query(r"SELECT conv_id, turn, octet_length(encode(text)) <= 1100 AND regexp_matches(text, '[^ \t\r\n]') AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS ok FROM conversations")
+def payload_predicate(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.octet_length(t) <= 1100) & t.rlike(r"[^ \t\r\n]") & ~t.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).alias("ok"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(^|[^a-zA-Z0-9_])(the|tree|vest)(s|es)?([^a-zA-Z0-9_]|$)') AS found FROM documents")
+def caption_terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"(^|[^a-zA-Z0-9_])(the|tree|vest)(s|es)?([^a-zA-Z0-9_]|$)").alias("found"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(lower(p_name), '[\s_-]+', '', 'g') AS key FROM part")
+def key_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), r"[\s_-]+", "").alias("key"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_field_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("WITH RECURSIVE up AS (SELECT max(event_id) AS id FROM events UNION ALL SELECT id // 2 FROM up WHERE id > 0) SELECT e.event_id, e.event_type FROM up JOIN events e ON e.event_id = up.id")
+def upstream_closure(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    events.createOrReplaceTempView("quillgrid_events")
+    return spark.sql("WITH RECURSIVE up(id) AS (SELECT max(event_id) FROM quillgrid_events UNION ALL SELECT id DIV 2 FROM up WHERE id > 0) SELECT e.event_id, e.event_type FROM up JOIN quillgrid_events e ON e.event_id = up.id")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, count(b.l_linenumber) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_quantity - b.l_quantity) <= 10 GROUP BY ALL")
+def neighbour_rectangles(spark, sf_dir):
+    """Rows near in value inside a group: a sliding range frame instead of a self-join."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_quantity").rangeBetween(-10, 10)
+    near = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.count("*").over(w).alias("n"))
+    return near.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 768 WHEN s_acctbal >= 4000 THEN 512 ELSE 384 END AS edge, CASE WHEN s_acctbal >= 8000 THEN 'none' WHEN s_acctbal >= 2000 THEN 'model' ELSE 'sequential' END AS offload FROM supplier""")
+def hardware_policy(spark, sf_dir):
+    b = F.col("s_acctbal")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(b >= 8000, 768).when(b >= 4000, 512).otherwise(384).alias("edge"), F.when(b >= 8000, "none").when(b >= 2000, "model").otherwise("sequential").alias("offload"))
+
+
+@query("SELECT p_partkey, list_min(list_filter(range(3, 65), lambda d: (p_size * 8) % d = 0)) AS divisor FROM part")
+def latent_divisor(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_min(F.filter(F.sequence(F.lit(3), F.lit(64)), lambda d: F.col("p_size") * 8 % d == 0)).cast("long").alias("divisor"))
+
+
+# --- containers and events ---------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text FROM documents")
+def png_roundtrip(spark, sf_dir):
+    chunks = table(spark, sf_dir, "documents").select("doc_id", containers.to_png("text").alias("png")).select("doc_id", containers.png_chunks("png").alias("c"))
+    return chunks.select("doc_id", containers.itxt_text(F.filter("c", lambda c: (c["type"] == "iTXt") & c["crc_ok"])[0]["data"]).alias("text"))
+
+
+@query("SELECT doc_id, lang AS record FROM documents")
+def trailer_roundtrip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", containers.tail_of(containers.with_tail(F.col("text").cast("binary"), F.col("lang"))).alias("record"))
+
+
+@query("SELECT user_id, event_id, event_type, n FROM (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def events_latest_wins(spark, sf_dir):
+    return latest(table(spark, sf_dir, "events"))
