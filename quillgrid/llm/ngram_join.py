@@ -188,6 +188,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 size.append(len(s))
                 sig.append(signature(s).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "k1", "k2", "s1", "s2", "n", "sig"])
+        _WORDS.clear()  # idle workers hold no words
 
     return _texts(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, s1 long, s2 long, n long, sig binary")
 
@@ -236,6 +237,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, threshold: fl
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(x.as_py()).tobytes() for x in batch.column(4)], pa.large_binary())], names=["label", "size", "node", "copies", "s"])
+        _WORDS.clear()
 
     sets = found.select("label", "size", "node", "copies", "text").mapInArrow(cut, "label long, size long, node long, copies long, s binary").dropDuplicates(["node"])
 

@@ -52,6 +52,7 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.most = CACHE_WORDS
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -99,7 +100,7 @@ class CachedTokenizer:
     def data(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         texts = [_words(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.most:
             self.cache.clear()
         if missing := set(chain.from_iterable(texts)).difference(self.cache):
             self.learn(missing)
@@ -134,12 +135,14 @@ def _encoded(encoder: CachedTokenizer, column: pa.Array, chars: int = 1_000_000)
     yield from encoder.data(some)
 
 
-def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: each document's ids and its end id, cut only
-    where longer than max_tokens. No shuffle; documents are tokenized one at a time."""
+    where longer than max_tokens. No shuffle. A worker's word cache
+    starts anew beyond cache_words words (about 200 bytes each), which it keeps while it lives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedTokenizer.of(tokenizer)
+        encoder.most = cache_words
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, found in enumerate(_encoded(encoder, batch.column(1))):
