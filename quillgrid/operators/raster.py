@@ -112,29 +112,62 @@ def predictor_costs(pixels: DataFrame) -> DataFrame:
     return sums.select("y", F.posexplode(F.array(*[F.col(str(k)) for k in range(5)])).alias("filter", "cost"))
 
 
+def scored_shifts(pixels: DataFrame, rows: int, offsets: DataFrame, tried: list[int]) -> DataFrame:
+    """offsets (offset and others, a few hundred rows; `tried` are theirs) with score: the mean difference of
+    neighbours on a sampled grid after a shift along the line by the offset is undone."""
+    n = WIDTH * rows
+    stride = max(1, math.isqrt(n // SAMPLE_PIXELS))
+    line = pixels.select((F.col("y") * WIDTH + F.col("x")).alias("i"), "v")
+    following = lambda k, name: line.select(F.pmod(F.col("i") - k, F.lit(n)).alias("i"), F.col("v").alias(name))
+    steps = line.join(following(1, "right"), "i").join(following(WIDTH, "down"), "i").select(F.col("i").alias("j"), F.abs(F.col("v") - F.col("right")).alias("dr"), F.abs(F.col("v") - F.col("down")).alias("dd"))
+    grid = pixels.where((F.col("x") % stride == 0) & (F.col("y") % stride == 0)).select((F.col("y") * WIDTH + F.col("x")).alias("i"), (F.col("x") < WIDTH - 1).cast("int").alias("r"), (F.col("y") < rows - 1).cast("int").alias("d"))
+    # at most 4 * SAMPLE_PIXELS samples, whatever the raster, for each offset
+    probes = grid.withColumn("offset", F.explode(F.array(*[F.lit(o).cast("long") for o in sorted(set(tried))]))).withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.lit(n)))
+    sums = probes.join(steps, "j").groupBy("offset").agg(F.sum(F.col("dr") * F.col("r") + F.col("dd") * F.col("d")).alias("total"), F.sum(F.col("r") + F.col("d")).alias("n"))
+    return sums.join(F.broadcast(offsets), "offset").withColumn("score", F.round(F.col("total") / F.col("n"), 6))
+
+
 def rank_shifts(pixels: DataFrame, rows: int, preferred: int = 10, rounds_first: int = 1, top: int = 3) -> DataFrame:
-    """The best (strength, rounds) for undoing a shift along the line: every distinct offset is scored once, by the
-    mean difference of neighbours on a sampled grid; ties by distance from the preferred strength, then rounds."""
-    spark, n = pixels.sparkSession, WIDTH * rows
+    """The best (strength, rounds) for undoing a shift along the line: every distinct offset is scored once; ties by
+    distance from the preferred strength, then rounds."""
+    n = WIDTH * rows
     strengths = [preferred, *[s for s in range(21) if s != preferred]]
     tried = [rounds_first, *[r for r in range(1, 21) if r != rounds_first]]
     seen: dict[int, tuple[int, int]] = {}
     for s in strengths:
         for r in tried:
             seen.setdefault(shift(n, s / 10) * r % max(1, n), (s, r))
-    offsets = spark.createDataFrame([(o, s, r) for o, (s, r) in seen.items()], "offset long, strength int, rounds int")  # at most 420 rows
-    stride = max(1, math.ceil(math.sqrt(n / SAMPLE_PIXELS)))
-    line = pixels.select((F.col("y") * WIDTH + F.col("x")).alias("i"), "v")
-    following = lambda k, name: line.select(F.pmod(F.col("i") - k, F.lit(n)).alias("i"), F.col("v").alias(name))
-    steps = line.join(following(1, "right"), "i").join(following(WIDTH, "down"), "i").select(F.col("i").alias("j"), F.abs(F.col("v") - F.col("right")).alias("dr"), F.abs(F.col("v") - F.col("down")).alias("dd"))
-    grid = pixels.where((F.col("x") % stride == 0) & (F.col("y") % stride == 0)).select((F.col("y") * WIDTH + F.col("x")).alias("i"), (F.col("x") < WIDTH - 1).cast("int").alias("r"), (F.col("y") < rows - 1).cast("int").alias("d"))
-    # about SAMPLE_PIXELS samples, whatever the raster, for each of at most 420 offsets
-    probes = grid.withColumn("offset", F.explode(F.array(*[F.lit(o).cast("long") for o in seen]))).withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.lit(n)))
-    scored = probes.join(steps, "j").groupBy("offset").agg(F.sum(F.col("dr") * F.col("r") + F.col("dd") * F.col("d")).alias("total"), F.sum(F.col("r") + F.col("d")).alias("n"))
-    ranked = scored.join(F.broadcast(offsets), "offset").withColumn("score", F.round(F.col("total") / F.col("n"), 6))
+    offsets = pixels.sparkSession.createDataFrame([(o, s, r) for o, (s, r) in seen.items()], "offset long, strength int, rounds int")  # at most 420 rows
+    ranked = scored_shifts(pixels, rows, offsets, list(seen))
     return ranked.orderBy("score", F.abs(F.col("strength") - preferred), (F.col("rounds") != rounds_first).cast("int"), "rounds", "strength").limit(top).select("strength", "rounds", "offset", "score")
 
 
+def rank_rounds(pixels: DataFrame, rows: int, strength: float = 1.0) -> DataFrame:
+    """1 to 20 rounds of one strength by score, then rounds."""
+    n = WIDTH * rows
+    tried = [shift(n, strength) * r % max(1, n) for r in range(1, 21)]
+    offsets = pixels.sparkSession.createDataFrame(list(zip(tried, range(1, 21))), "offset long, rounds int")
+    return scored_shifts(pixels, rows, offsets, tried).orderBy("score", "rounds").select("rounds", "offset", "score")
+
+
+def green_adjusted(red: Column, green: Column, blue: Column, enhance: bool) -> list[Column]:
+    """Red, green and blue (0-255) with greens (hue 75 to 165 degrees, neither gray nor near black or white) made
+    stronger or weaker in HSL terms; other colours stay."""
+    r, g, b = (c / F.lit(255.0) for c in (red, green, blue))
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    d, light = most - least, (most + least) / 2
+    s = F.when(d == 0, 0.0).when(light > 0.5, d / (F.lit(2.0) - most - least)).otherwise(d / (most + least)) * 100
+    hue = F.when(d == 0, 0.0).when(most == r, (g - b) / d + F.when(g < b, 6).otherwise(0)).when(most == g, (b - r) / d + 2).otherwise((r - g) / d + 4) / 6 * 360
+    hit = hue.between(75, 165) & (s > 8) & (light * 100 > 10) & (light * 100 < 90)
+    if enhance:
+        strong = F.least(s, F.lit(70.0)) / 100
+        fg, frb = 1 + strong * 0.6, F.greatest(F.lit(0.7), 1 - strong * 0.3)
+    else:
+        strong = F.least(s, F.lit(80.0)) / 100
+        fg, frb = F.greatest(F.lit(0.5), 1 - strong * 0.5), F.least(F.lit(1.3), 1 + strong * 0.3)
+    return [F.when(hit, F.least(F.lit(255), F.floor(c * f + 0.5))).otherwise(c).cast("int") for c, f in ((red, frb), (green, fg), (blue, frb))]
+
+
 def components(mask: DataFrame, most: int = 500) -> DataFrame:
     """(y, x, label) of the 4-connected parts of a mask: least place number, spread and jumped until it settles."""
     cells = mask.select("y", "x", (F.col("y") * WIDTH + F.col("x")).alias("i"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import containers
+from ..functions import containers, prompts, validators
+from ..operators import permutation
 from ..operators import raster as ops
 from ..sources.tables import WIDTH, ranked, raster, table
 from ..streaming.events import latest
@@ -119,7 +120,7 @@ def gilbert_scramble(spark, sf_dir):
 @query(f"""WITH {PX}, h AS (SELECT max(y) + 1 AS h, (max(y) + 1) * 64 AS n FROM px),
 c AS (SELECT s, r, row_number() OVER (ORDER BY s <> 10, s, r) AS visit FROM (SELECT unnest(range(21)) AS s), (SELECT unnest(range(1, 21)) AS r)),
 o AS (SELECT CAST(floor(s / 10.0::DOUBLE * ((sqrt(5.0::DOUBLE) - 1) / 2) * n + 0.5) AS BIGINT) % n * r % n AS off, arg_min(s, visit) AS s, arg_min(r, visit) AS r FROM c, h GROUP BY 1),
-line AS (SELECT y * 64 + x AS i, v FROM px), k AS (SELECT CAST(ceil(sqrt(n / 12000)) AS BIGINT) AS k FROM h),
+line AS (SELECT y * 64 + x AS i, v FROM px), k AS (SELECT greatest(1, CAST(floor(sqrt(n // 12000)) AS BIGINT)) AS k FROM h),
 l2 AS (SELECT i, v, (i + 1) % n AS i1, (i + 64) % n AS i2 FROM line, h),
 st AS (SELECT a.i AS j, abs(a.v - b.v) AS dr, abs(a.v - c.v) AS dd FROM l2 a JOIN line b ON b.i = a.i1 JOIN line c ON c.i = a.i2),
 g AS (SELECT y * 64 + x AS i, CAST(x < 63 AS INT) AS gr, CAST(y < h - 1 AS INT) AS gd FROM px, h, k WHERE x % k = 0 AND y % k = 0),
@@ -131,6 +132,67 @@ def rank_shift_parameters(spark, sf_dir):
     return ops.rank_shifts(p, height(p))
 
 
+@query(f"""WITH {PX}, h AS (SELECT max(y) + 1 AS h, (max(y) + 1) * 64 AS n FROM px),
+o AS (SELECT r, CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * n + 0.5) AS BIGINT) % n * r % n AS off FROM h, (SELECT unnest(range(1, 21)) AS r)),
+line AS (SELECT y * 64 + x AS i, v FROM px), k AS (SELECT greatest(1, CAST(floor(sqrt(n // 12000)) AS BIGINT)) AS k FROM h),
+l2 AS (SELECT i, v, (i + 1) % n AS i1, (i + 64) % n AS i2 FROM line, h),
+st AS (SELECT a.i AS j, abs(a.v - b.v) AS dr, abs(a.v - c.v) AS dd FROM l2 a JOIN line b ON b.i = a.i1 JOIN line c ON c.i = a.i2),
+g AS (SELECT y * 64 + x AS i, CAST(x < 63 AS INT) AS gr, CAST(y < h - 1 AS INT) AS gd FROM px, h, k WHERE x % k = 0 AND y % k = 0),
+sc AS (SELECT r, off, sum(dr * gr + dd * gd) AS total, sum(gr + gd) AS n FROM (SELECT r, off, gr, gd, (i + off) % n AS j FROM o, g, h) JOIN st USING (j) GROUP BY r, off)
+SELECT CAST(r AS INT) AS rounds, off AS "offset", round(total / n, 6) AS score FROM sc""")
+def rank_rounds(spark, sf_dir):
+    p = raster(spark, sf_dir)
+    return ops.rank_rounds(p, height(p))
+
+
+SEED = "00112233445566778899aabbccddeeff"
+
+
+@query(f"WITH {PX} SELECT y, x, v FROM px")
+def chaotic_scramble_roundtrip(spark, sf_dir):
+    how = {"key": 0.37, "columns": True}
+    return permutation.permuted(permutation.permuted(raster(spark, sf_dir), 64, permutation.chaotic, **how), 64, permutation.chaotic, back=True, **how)
+
+
+@query()
+def chaotic_scramble_rows(spark, sf_dir):
+    return permutation.permuted(raster(spark, sf_dir), 64, permutation.chaotic, key=0.37, columns=False)
+
+
+@query(f"WITH {PX} SELECT y, x, v FROM px")
+def block_scramble_roundtrip(spark, sf_dir):
+    return permutation.permuted(permutation.permuted(raster(spark, sf_dir), 64, permutation.blocks, seed=SEED), 64, permutation.blocks, back=True, seed=SEED)
+
+
+@query()
+def block_scramble(spark, sf_dir):
+    return permutation.permuted(raster(spark, sf_dir), 64, permutation.blocks, seed=SEED)
+
+
+def _green_sql(green: str, others: str) -> str:
+    return f"""WITH {PX}, c AS (SELECT y, x, v AS r0, (v * 3) % 256 AS g0, (v * 5) % 256 AS b0 FROM px),
+f AS (SELECT *, r0 / 255.0::DOUBLE AS r, g0 / 255.0::DOUBLE AS g, b0 / 255.0::DOUBLE AS b FROM c), m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM f),
+l AS (SELECT *, (hi + lo) / 2 AS li, CASE WHEN hi = lo THEN 0::DOUBLE WHEN (hi + lo) / 2 > 0.5 THEN (hi - lo) / (2 - hi - lo) ELSE (hi - lo) / (hi + lo) END * 100::DOUBLE AS s,
+CASE WHEN hi = lo THEN 0::DOUBLE WHEN hi = r THEN (g - b) / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END / 6 * 360 AS hue FROM m),
+k AS (SELECT *, hue >= 75 AND hue <= 165 AND s > 8 AND li * 100 > 10 AND li * 100 < 90 AS hit, {green} AS gf, {others} AS rb FROM l)
+SELECT y, x, CAST(CASE WHEN hit THEN least(255, floor(r0 * rb + 0.5)) ELSE r0 END AS INT) AS red, CAST(CASE WHEN hit THEN least(255, floor(g0 * gf + 0.5)) ELSE g0 END AS INT) AS green, CAST(CASE WHEN hit THEN least(255, floor(b0 * rb + 0.5)) ELSE b0 END AS INT) AS blue FROM k"""
+
+
+def _greens(spark, sf_dir, enhance):
+    v = F.col("v")
+    return raster(spark, sf_dir).select("y", "x", *[c.alias(n) for c, n in zip(ops.green_adjusted(v, v * 3 % 256, v * 5 % 256, enhance), ("red", "green", "blue"))])
+
+
+@query(_green_sql("1 + least(s, 70) / 100 * 0.6::DOUBLE", "greatest(0.7::DOUBLE, 1 - least(s, 70) / 100 * 0.3::DOUBLE)"))
+def green_enhance(spark, sf_dir):
+    return _greens(spark, sf_dir, True)
+
+
+@query(_green_sql("greatest(0.5::DOUBLE, 1 - least(s, 80) / 100 * 0.5::DOUBLE)", "least(1.3::DOUBLE, 1 + least(s, 80) / 100 * 0.3::DOUBLE)"))
+def green_reduce(spark, sf_dir):
+    return _greens(spark, sf_dir, False)
+
+
 # --- windows -----------------------------------------------------------------------------------------------------
 
 
@@ -350,3 +412,60 @@ def trailer_roundtrip(spark, sf_dir):
 @query("SELECT user_id, event_id, event_type, n FROM (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def events_latest_wins(spark, sf_dir):
     return latest(table(spark, sf_dir, "events"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 0 AS ok FROM documents")
+def mp4_check(spark, sf_dir):
+    data, empty = F.col("text").cast("binary"), F.lit(b"")
+    head = validators.box("ftyp", F.lit(b"isom\0\0\2\0"))
+    whole = F.concat(head, F.when(F.col("doc_id") % 4 == 0, empty).otherwise(validators.box("moov", empty)), validators.box("mdat", data))
+    return table(spark, sf_dir, "documents").select("doc_id", validators.valid_mp4(whole).alias("ok"))
+
+
+def _damaged(spark, sf_dir, make, check):
+    """Files made from all texts, each fifth one byte short."""
+    made = table(spark, sf_dir, "documents").select("doc_id", make("text").alias("c"))
+    return made.select("doc_id", check(F.expr("substring(c, 1, octet_length(c) - IF(doc_id % 5 = 0, 1, 0))")).alias("ok"))
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+def zip_check(spark, sf_dir):
+    return _damaged(spark, sf_dir, validators.to_zip, validators.valid_zip)
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+def seven_zip_check(spark, sf_dir):
+    return _damaged(spark, sf_dir, validators.to_7z, validators.valid_7z)
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+def safetensors_check(spark, sf_dir):
+    return _damaged(spark, sf_dir, validators.to_safetensors, validators.valid_safetensors)
+
+
+@query("SELECT doc_id, '47494638396101000100000000' || '2c0000000001000100000202' || '4c01003b' AS cleaned FROM documents")
+def gif_clean(spark, sf_dir):
+    note = F.concat(F.lit(b"\x21\xfe"), F.unhex(F.lpad(F.hex(F.octet_length("lang")), 2, "0")), F.col("lang").cast("binary"), F.lit(b"\0"))
+    gif = F.concat(F.lit(b"GIF89a\1\0\1\0\0\0\0"), note, F.lit(b"\x2c\0\0\0\0\1\0\1\0\0\x02\x02\x4c\x01\0\x3b"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(validators.gif_without_notes(gif))).alias("cleaned"))
+
+
+@query("SELECT doc_id, 'ffd8ffda0002' || 'aabbffd9' AS cleaned FROM documents")
+def jpeg_clean(spark, sf_dir):
+    note = F.concat(F.lit(b"\xff\xfe"), F.unhex(F.lpad(F.hex(F.octet_length("lang") + 2), 4, "0")), F.col("lang").cast("binary"))
+    jpeg = F.concat(F.lit(b"\xff\xd8"), note, F.lit(b"\xff\xda\x00\x02\xaa\xbb\xff\xd9"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(validators.jpeg_without_notes(jpeg))).alias("cleaned"))
+
+
+@query("SELECT doc_id, text AS prompt, coalesce(lang, '') AS negative, '18446744073709551615' AS seed, source || ', Size: 1' AS model FROM documents WHERE text NOT LIKE '%Negative prompt:%' AND text NOT LIKE '%' || chr(13) || '%' AND text = rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')")
+def webui_parameters(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("Negative prompt:") & ~F.col("text").contains("\r") & ~F.col("text").rlike(r"[\t\n\x0B\f\r ]\z"))
+    made = F.concat("text", F.lit("\nNegative prompt: "), F.coalesce("lang", F.lit("")), F.lit("\nSteps: 20, Seed: 18446744073709551615, Model: \""), "source", F.lit(", Size: 1\""))
+    p = d.select("doc_id", prompts.parameters(made).alias("p"))
+    return p.select("doc_id", "p.prompt", "p.negative", F.col("p.fields")["Seed"].alias("seed"), F.col("p.fields")["Model"].alias("model"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(city|cities|street|building|architecture)(s|es)?([^\p{L}\p{N}_]|$)') THEN 'coherent street architecture, varied windows, layered balconies, reflected daylight' WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(forest|tree|garden|plant)(s|es)?([^\p{L}\p{N}_]|$)') AND NOT regexp_matches(t, '(^|[^\p{L}\p{N}_])(room|window|indoor)(s|es)?([^\p{L}\p{N}_]|$)') THEN 'overlapping leaves and branches, varied foliage, dappled daylight' WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(sea|beach|ocean|water)(s|es)?([^\p{L}\p{N}_]|$)') THEN 'coastal scenery, rippling water, rocks and soft reflected daylight' WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(mountain|landscape|hill)(s|es)?([^\p{L}\p{N}_]|$)') THEN 'layered landscape, textured rocks and foliage, natural depth and soft shadows' ELSE 'quiet room, wooden window frames, a few leafy plants, soft side lighting' END || ', ' ||
+CASE WHEN regexp_matches(t, 'anime|cartoon|drawing|illustration') THEN 'illustration, clean coherent linework, matching original shading' WHEN regexp_matches(t, 'photo') THEN 'photograph, realistic surface detail, natural lighting' ELSE 'matching the original visual style, consistent colors and lighting' END AS prompt FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def scene_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.scene_prompt(F.col("text")).alias("prompt"))

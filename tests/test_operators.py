@@ -2,8 +2,8 @@ from collections import Counter
 
 import pytest
 
-from quillgrid.functions import containers
-from quillgrid.operators import raster
+from quillgrid.functions import containers, prompts, validators
+from quillgrid.operators import permutation, raster
 from quillgrid.streaming.events import fold_stream, latest
 
 
@@ -54,3 +54,90 @@ def test_entry_without_the_subpackage():
 
     code = "import sys; sys.modules['quillgrid.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'mosaic' in e.queries() and not any(q.startswith('op1') for q in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
+def test_chaotic_orders_against_a_plain_version():
+    import numpy as np
+
+    x, lines = 0.41, []
+    for _ in range(5):
+        values = [x]
+        for _ in range(6):
+            values.append(3.9999999 * values[-1] * (1 - values[-1]))
+        x = values[-1]
+        lines.append(sorted(range(7), key=lambda j: (values[j], j)))
+    assert permutation.chaotic_orders(0.41, 7, 5, True).tolist() == lines
+    assert permutation.chaotic_orders(0.41, 7, 3, False).tolist() == [lines[0]] * 3
+    assert np.array_equal(permutation.chaotic_orders(0.41, 1, 3, True), np.zeros((3, 1)))
+
+
+@pytest.mark.parametrize("w,h,block", [(1, 1, 8), (64, 64, 16), (37, 21, 8), (5, 40, 32)])
+def test_permutations_use_every_place_once(w, h, block):
+    for source in (permutation.blocks(w, h, "0" * 32, block), permutation.chaotic(w, h, 0.2, True), permutation.chaotic(w, h, 0.2, False, False)):
+        assert sorted(source.tolist()) == list(range(w * h))
+
+
+def test_draws_follow_the_generator():
+    draw, state = permutation.draws("00000001" + "0" * 24), 1
+    for _ in range(20):
+        state ^= state << 13 & 0xFFFFFFFF
+        state ^= state >> 17
+        state ^= state << 5 & 0xFFFFFFFF
+        assert draw(2**16) == state % 2**16
+
+
+def test_zip_reads_zip64_and_rejects_what_is_not_whole():
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        with z.open("a", "w", force_zip64=True) as f:
+            f.write(b"x" * 100)
+        z.writestr("b", "y")
+    ok, whole = validators.judged(validators.check_zip), held.getvalue()
+    assert ok(whole) and ok(b"PK\5\6" + bytes(18))
+    assert not any(map(ok, (whole[:-1], b"z" + whole, whole + b"z", b"", None, whole.replace(b"PK\3\4", b"PK\3\5"))))
+
+
+def test_mp4_sizes():
+    box = lambda kind, data=b"", size=None: (len(data) + 8 if size is None else size).to_bytes(4, "big") + kind + data
+    ok, head = validators.judged(validators.check_mp4), box(b"ftyp", b"isom0000") + box(b"moov")
+    assert ok(head + box(b"mdat", b"x")) and ok(head + box(b"mdat", b"tail", 0)) and ok(head + box(b"mdat", (20).to_bytes(8, "big") + b"data", 1))
+    assert not ok(head) and not ok(head + box(b"mdat", b"x", 99)) and not ok(head + box(b"mdat", b"x", 7)) and not ok(box(b"ftyp") + box(b"moov") + box(b"mdat"))
+
+
+def test_safetensors_rules():
+    def made(header: str, payload: int) -> bytes:
+        return len(header).to_bytes(8, "little") + header.encode() + bytes(payload)
+
+    ok = validators.judged(validators.safetensors_header)
+    one = '{"a":{"dtype":"F16","shape":[2,3],"data_offsets":[0,12]}'
+    assert ok(made(one + "}", 12)) and ok(made(one + ',"__metadata__":{"k":"v"}}', 12)) and ok(made("{}", 0))
+    wrong = ((one + "}", 13), (one + "}", 11), (one + "," + one[1:] + "}", 12), (one.replace("F16", "F17") + "}", 12), (one.replace("[0,12]", "[1,13]") + "}", 13), (one.replace("[2,3]", "[2,2]") + "}", 12), ("[]", 0), (one, 12))
+    assert not any(ok(made(*w)) for w in wrong)
+
+
+def test_cleaners_keep_pictures_and_orientation():
+    import struct
+
+    clean = validators.cleaned(validators.clean_jpeg)
+    tiff = b"MM" + struct.pack(">HIHHHIHHI", 42, 8, 1, 0x112, 3, 1, 6, 0, 0)
+    part = lambda marker, data: b"\xff" + bytes([marker]) + struct.pack(">H", len(data) + 2) + data
+    scan = part(0xDA, b"h") + b"\x01\xff\x00\xff\xd0\x02"
+    out = clean(b"\xff\xd8" + part(0xE0, b"JFIF\0rest") + part(0xE1, b"Exif\0\0" + tiff) + part(0xE1, b"http") + part(0xFE, b"note") + scan + b"\xff\xd9tail")
+    assert out.endswith(scan + b"\xff\xd9") and b"JFIF" in out and b"note" not in out and b"http" not in out
+    assert validators.orientation(out[out.index(b"Exif\0\0") + 6 :]) == 6
+    assert clean(b"\xff\xd8\xff\xda") is None and clean(None) is None and validators.orientation(b"") == 1
+    gif = b"GIF89a\1\0\1\0\0\0\0"
+    loop, note, image = b"\x21\xff\x0bNETSCAPE2.0\x03\1\0\0\0", b"\x21\xfe\x02hi\0", b"\x2c" + bytes(9) + b"\x02\x01\x44\0"
+    assert validators.cleaned(validators.clean_gif)(gif + loop + note + image + b"\x3bx") == gif + loop + image + b"\x3b"
+    assert validators.cleaned(validators.clean_gif)(gif + image) is None
+
+
+def test_parameter_lines():
+    text = 'a cat, (best:1.2)\nNegative prompt: bad\nworse\nSteps: 20, Seed: 18446744073709551615, Note: "a, Size: 3", Hashes: {"x": 1, y: 2}, Size: 5x6'
+    prompt, negative, fields = prompts.parse_parameters(text)
+    assert (prompt, negative) == ("a cat, (best:1.2)", "bad\nworse")
+    assert fields == {"Steps": "20", "Seed": "18446744073709551615", "Note": "a, Size: 3", "Hashes": '{"x": 1, y: 2}', "Size": "5x6"}
+    assert prompts.parse_parameters("Steps: 3") == ("Steps: 3", "", {}) and prompts.parse_parameters(None) == ("", "", {})
