@@ -123,7 +123,8 @@ def scored_shifts(pixels: DataFrame, rows: int, offsets: DataFrame, tried: list[
     grid = pixels.where((F.col("x") % stride == 0) & (F.col("y") % stride == 0)).select((F.col("y") * WIDTH + F.col("x")).alias("i"), (F.col("x") < WIDTH - 1).cast("int").alias("r"), (F.col("y") < rows - 1).cast("int").alias("d"))
     # at most 4 * SAMPLE_PIXELS samples, whatever the raster, for each offset
     probes = grid.withColumn("offset", F.explode(F.array(*[F.lit(o).cast("long") for o in sorted(set(tried))]))).withColumn("j", F.pmod(F.col("i") + F.col("offset"), F.lit(n)))
-    sums = probes.join(steps, "j").groupBy("offset").agg(F.sum(F.col("dr") * F.col("r") + F.col("dd") * F.col("d")).alias("total"), F.sum(F.col("r") + F.col("d")).alias("n"))
+    # neither side is small, though an exploded one is estimated to be
+    sums = probes.hint("merge").join(steps, "j").groupBy("offset").agg(F.sum(F.col("dr") * F.col("r") + F.col("dd") * F.col("d")).alias("total"), F.sum(F.col("r") + F.col("d")).alias("n"))
     return sums.join(F.broadcast(offsets), "offset").withColumn("score", F.round(F.col("total") / F.col("n"), 6))
 
 
