@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import containers, prompts, validators
-from ..operators import permutation
+from ..functions import cleaners, containers, graphs, metadata, naming, prompts, qr, validators
+from ..operators import models, permutation, regions, reveal
 from ..operators import raster as ops
 from ..sources.tables import WIDTH, ranked, raster, table
 from ..streaming.events import latest
+from ..streaming.history import active, replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -469,3 +470,240 @@ def webui_parameters(spark, sf_dir):
 CASE WHEN regexp_matches(t, 'anime|cartoon|drawing|illustration') THEN 'illustration, clean coherent linework, matching original shading' WHEN regexp_matches(t, 'photo') THEN 'photograph, realistic surface detail, natural lighting' ELSE 'matching the original visual style, consistent colors and lighting' END AS prompt FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def scene_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.scene_prompt(F.col("text")).alias("prompt"))
+
+
+# --- two pictures in one -----------------------------------------------------------------------------------------
+
+SIDES = "s AS (SELECT y, x, v AS lr, (v * 3) % 256 AS lg, (v * 5) % 256 AS lb, (v * 7) % 256 AS dr, (v * 11) % 256 AS dg, (v * 13) % 256 AS db FROM px)"
+
+
+def _two(spark, sf_dir):
+    """The raster as a light and a dark picture in colour."""
+    times = lambda k: (F.col("v") * k % 256)
+    p = raster(spark, sf_dir)
+    return p, [times(k) for k in (1, 3, 5)], [times(k) for k in (7, 11, 13)]
+
+
+def _argb(p, channels):
+    return p.select("y", "x", *[c.alias(n) for c, n in zip(channels, ("alpha", "red", "green", "blue"))])
+
+
+def _byte_sql(x: str) -> str:
+    return f"CAST(least(255, greatest(0, floor({x} + 0.5))) AS INT)"
+
+
+def _stored_sql(c: str) -> str:
+    return f"CASE WHEN a = 0 THEN 0 ELSE {_byte_sql(f'least(a::DOUBLE, greatest(0, (w{c} + b{c} - 255 + a) / 2)) * 255 / a')} END"
+
+
+@query(f"""WITH {PX}, {SIDES}, u AS (SELECT *, (299 * lr + 587 * lg + 114 * lb) / 1000.0::DOUBLE AS ly, (299 * dr + 587 * dg + 114 * db) / 1000.0::DOUBLE AS dy FROM s),
+k AS (SELECT y, x, {", ".join(f"127.5 + (ly + (l{c} - ly) * 0.75::DOUBLE) * 0.5::DOUBLE AS w{c}, (dy + (d{c} - dy) * 0.75::DOUBLE) * 0.5::DOUBLE AS b{c}" for c in "rgb")} FROM u),
+t AS (SELECT *, list_sort([{", ".join(f"abs(w{c} + b{c} - 255)" for c in "rgb")}]) AS t, {" + ".join(f"CASE WHEN w{c} + b{c} >= 255 THEN 2 * b{c} ELSE 2 * (255 - w{c}) END" for c in "rgb")} AS q FROM k),
+o AS (SELECT *, {_byte_sql("CASE WHEN q / 6 <= t[1] THEN q / 6 WHEN (q - t[1]) / 5 <= t[2] THEN (q - t[1]) / 5 WHEN (q - t[1] - t[2]) / 4 <= t[3] THEN (q - t[1] - t[2]) / 4 ELSE (q - t[1] - t[2] - t[3]) / 3 END")} AS a FROM t)
+SELECT y, x, a AS alpha, {_stored_sql("r")} AS red, {_stored_sql("g")} AS green, {_stored_sql("b")} AS blue FROM o""")
+def reveal_pixels(spark, sf_dir):
+    p, light, dark = _two(spark, sf_dir)
+    return _argb(p, reveal.reveal(light, dark, 0.75))
+
+
+@query()
+def reveal_source_colours(spark, sf_dir):
+    p, light, dark = _two(spark, sf_dir)
+    lit = lambda v: F.lit(float(v))
+    return _argb(p, reveal.source_coloured(light, dark, (lit(20), lit(240)), lit(0.8), lit(0.55), reveal.chroma_budget(lit(220), lit(80))))
+
+
+@query(f"""WITH {PX}, {SIDES}, u AS (SELECT *, (299 * lr + 587 * lg + 114 * lb) / 1000.0::DOUBLE AS ly, (299 * dr + 587 * dg + 114 * db) / 1000.0::DOUBLE AS dy FROM s),
+m AS (SELECT *, 190 + 60 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (ly - 20) / 220)) AS wt, 4 + 161 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (dy - 10) / 235)) AS bt FROM u),
+f AS (SELECT wt, bt, unnest([lr - dr, lg - dg, lb - db]) AS d, unnest([(lr - ly) * 0.5::DOUBLE, (lg - ly) * 0.5::DOUBLE, (lb - ly) * 0.5::DOUBLE]) AS wc, unnest([(dr - dy) * 0.5::DOUBLE, (dg - dy) * 0.5::DOUBLE, (db - dy) * 0.5::DOUBLE]) AS bc, greatest(lr - dr, lg - dg, lb - db) - least(lr - dr, lg - dg, lb - db) AS apart FROM m)
+SELECT CAST(round(min(least(CASE WHEN apart > 0 THEN 4.0::DOUBLE / apart ELSE 1 END, CASE WHEN wc > 0 THEN (255 - wt) / wc WHEN wc < 0 THEN -wt / wc ELSE 1 END, CASE WHEN bc > 0 THEN (255 - bt) / bc WHEN bc < 0 THEN -bt / bc ELSE 1 END)) * 1000000000) AS BIGINT) AS "limit" FROM f""")
+def colour_limit(spark, sf_dir):
+    p, light, dark = _two(spark, sf_dir)
+    lit = lambda v: F.lit(float(v))
+    light_tone = reveal.tone(reveal.luma(light), lit(20), lit(240), lit(190), lit(250))
+    dark_tone = reveal.tone(reveal.luma(dark), lit(10), lit(245), lit(4), lit(165))
+    return p.agg(F.round(F.min(reveal.colour_limit(light, dark, light_tone, dark_tone)) * 1e9).cast("long").alias("limit"))
+
+
+@query(f"""WITH {PX}, {SIDES}, m AS (SELECT y, x, (v * 7 + x) % 2 AS ink, least(255, greatest(181, floor(190 + 60 * least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((299 * lr + 587 * lg + 114 * lb) / 1000.0::DOUBLE - 20) / 220)) + 0.5))) AS w FROM s JOIN px USING (y, x)),
+a AS (SELECT y, x, CASE WHEN ink = 1 THEN 16 ELSE 112 END AS b, CAST(floor(255 * (1 - (w - CASE WHEN ink = 1 THEN 16 ELSE 112 END) / 250.0::DOUBLE) + 0.5) AS INT) AS alpha FROM m)
+SELECT y, x, alpha, CASE WHEN alpha = 0 THEN 0 ELSE CAST(floor(b * 255.0::DOUBLE / alpha + 0.5) AS INT) END AS gray FROM a""")
+def code_modules(spark, sf_dir):
+    p, light, _ = _two(spark, sf_dir)
+    a, gray = reveal.code_module(light, (F.col("v") * 7 + F.col("x")) % 2 == 1, F.lit(20.0), F.lit(240.0), F.lit(190.0))
+    return p.select("y", "x", a.alias("alpha"), gray.alias("gray"))
+
+
+def _constrained_sql(c: str) -> str:
+    return f"CAST(CASE WHEN ink AND u > 90 THEN round_even(l{c} * (90 / greatest(1, u)), 0) WHEN NOT ink AND u < 170 THEN round_even(l{c} + (255 - l{c}) * ((170 - u) / greatest(1, 255 - u)), 0) ELSE l{c} END AS INT)"
+
+
+@query(f"""WITH {PX}, {SIDES}, m AS (SELECT *, dr % 2 = 1 AS ink, 0.299::DOUBLE * lr + 0.587::DOUBLE * lg + 0.114::DOUBLE * lb AS u FROM s)
+SELECT y, x, {_constrained_sql("r")} AS red, {_constrained_sql("g")} AS green, {_constrained_sql("b")} AS blue FROM m""")
+def code_constraint(spark, sf_dir):
+    p, light, dark = _two(spark, sf_dir)
+    out = qr.constrained(light, dark[0] % 2 == 1, F.lit(90.0), F.lit(170.0))
+    return p.select("y", "x", *[c.alias(n) for c, n in zip(out, ("red", "green", "blue"))])
+
+
+@query("SELECT page_id, trim(url) AS url FROM pages WHERE octet_length(encode(url)) <= 1100 AND trim(url) <> ''")
+def qr_roundtrip(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where((F.octet_length("url") <= 1100) & (F.trim("url") != ""))
+    return pages.select("page_id", qr.symbol(F.trim("url")).alias("s")).select("page_id", qr.symbol_text("s.side", "s.modules").alias("url"))
+
+
+# --- regions -----------------------------------------------------------------------------------------------------
+
+IMG = "img AS (SELECT y // 64 AS image, y % 64 AS y, x, v FROM px)"
+BLK = """hs AS (SELECT image, max(y) + 1 AS h FROM img GROUP BY image HAVING max(y) + 1 >= 40),
+nb AS (SELECT image, h, unnest(range((h + 7) // 8)) AS gy FROM hs),
+blk AS (SELECT n.image, n.gy, i.x // 8 AS gx, min(v) AS low, max(v) AS high, sum(v) // 64 AS mean FROM nb n JOIN img i ON i.image = n.image AND i.y >= least(n.gy * 8, h - 8) AND i.y < least(n.gy * 8, h - 8) + 8 GROUP BY ALL)"""
+
+
+def _images(spark, sf_dir):
+    """The raster cut into images of 64 x 64."""
+    return raster(spark, sf_dir).select(F.floor(F.col("y") / 64).alias("image"), (F.col("y") % 64).cast("int").alias("y"), "x", "v")
+
+
+@query(f"WITH {PX}, {IMG}, {BLK} SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, low, high, CAST(mean AS INT) AS mean FROM blk")
+def block_stats(spark, sf_dir):
+    return regions.block_stats(_images(spark, sf_dir))
+
+
+@query(f"""WITH {PX}, {IMG}, {BLK}, m AS (SELECT image, gy, gx, CASE WHEN high - low > 24 THEN (high + low) // 2 ELSE 0 END AS m FROM blk),
+d AS (SELECT image, max(gy) + 1 AS bh, max(gx) + 1 AS bw FROM m GROUP BY image),
+t AS (SELECT a.image, a.gy, a.gx, (a.m * 2 + sum(b.m)) // nullif((a.m > 0)::INT * 2 + sum((b.m > 0)::INT), 0) AS t FROM m a JOIN d USING (image) JOIN m b ON b.image = a.image AND abs(b.gy - least(bh - 3, greatest(2, a.gy))) <= 2 AND abs(b.gx - least(bw - 3, greatest(2, a.gx))) <= 2 GROUP BY a.image, a.gy, a.gx, a.m)
+SELECT image, CAST(gy AS INT) AS gy, CAST(gx AS INT) AS gx, CAST(coalesce(first_value(nullif(t, 0) IGNORE NULLS) OVER (PARTITION BY image ORDER BY gy, gx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(nullif(t, 0) IGNORE NULLS) OVER (PARTITION BY image ORDER BY gy, gx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INT) AS threshold FROM t""")
+def contrast_thresholds(spark, sf_dir):
+    return regions.contrast_thresholds(regions.block_stats(_images(spark, sf_dir)))
+
+
+@query()
+def mean_thresholds(spark, sf_dir):
+    return regions.mean_thresholds(regions.block_stats(_images(spark, sf_dir)))
+
+
+@query(f"WITH {PX}, {IMG} SELECT a.image, a.y, a.x, max(b.v) AS v FROM img a JOIN img b ON a.image = b.image AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL")
+def grown(spark, sf_dir):
+    return regions.neighbourhood(_images(spark, sf_dir), 2, grow=True)
+
+
+@query(f"WITH {PX}, {IMG} SELECT a.image, a.y, a.x, min(b.v) AS v FROM img a JOIN img b ON a.image = b.image AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL")
+def shrunk(spark, sf_dir):
+    return regions.neighbourhood(_images(spark, sf_dir), 1, grow=False)
+
+
+@query()
+def box_suppression(spark, sf_dir):
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    line = table(spark, sf_dir, "lineitem")
+    boxes = line.select(F.col("l_orderkey").alias("image"), F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("box_id"), F.col("l_extendedprice").alias("score"), q.alias("left"), (n * 3).alias("top"), (q + 20).alias("right"), (n * 3 + 20).alias("bottom"))
+    return regions.suppressed(boxes, "image")
+
+
+@query("""WITH r0 AS (SELECT l_suppkey AS image, l_orderkey * 8 + l_linenumber AS id, l_quantity AS x, l_tax * 500 AS y, 4 + l_discount * 20 AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY 4 + l_discount * 20 DESC, l_orderkey * 8 + l_linenumber) AS n FROM (SELECT l_suppkey, l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_tax) AS l_tax, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)),
+r AS (SELECT * FROM r0 WHERE n <= 24),
+t AS (SELECT p.image, p.id AS p, q.id AS q, s.id AS s, q.x - p.x AS xu, q.y - p.y AS yu, s.x - p.x AS xv, s.y - p.y AS yv, (p.d + q.d + s.d) / 3 AS mean, greatest(p.d, q.d, s.d) / least(p.d, q.d, s.d) AS uneven
+FROM r p JOIN r q ON p.image = q.image AND p.n <> q.n JOIN r s ON s.image = p.image AND s.n <> p.n AND CASE WHEN p.n BETWEEN least(q.n, s.n) AND greatest(q.n, s.n) THEN q.n > s.n ELSE q.n < s.n END),
+l AS (SELECT *, sqrt(xu * xu + yu * yu) AS lu, sqrt(xv * xv + yv * yv) AS lv, xu * yv - yu * xv AS z FROM t)
+SELECT image, p AS corner, least(q, s) AS low, greatest(q, s) AS high FROM l WHERE lu >= 1.8 * mean AND lv >= 1.8 * mean AND abs(xu * xv + yu * yv) <= 0.12 * lu * lv AND lu / lv BETWEEN 0.85 AND 1.18 AND uneven <= 1.25""")
+def ring_corners(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
+    rings = line.select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x"), (F.col("l_tax") * 500).alias("y"), (4 + F.col("l_discount") * 20).alias("d"))
+    found = regions.corners(rings, "image")
+    return found.select("image", "corner", F.least("one", "other").alias("low"), F.greatest("one", "other").alias("high"))
+
+
+# --- more files, graphs, names, histories -------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 0 AS notes, 3 AS chunks FROM documents")
+def png_clean(spark, sf_dir):
+    png = table(spark, sf_dir, "documents").select("doc_id", containers.png_chunks(cleaners.png_without_notes(containers.to_png("text"))).alias("c"))
+    return png.select("doc_id", F.size(F.filter("c", lambda c: c["type"].isin("tEXt", "iTXt", "zTXt", "comf"))).alias("notes"), F.size("c").alias("chunks"))
+
+
+@query("SELECT doc_id, '524946460e00000057454250' || '5650384c02000000' || '2f00' AS cleaned FROM documents")
+def webp_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(cleaners.webp_without_notes(metadata.to_exif_webp("text")))).alias("cleaned"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def exif_comment(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", metadata.picture_fields(metadata.to_exif_webp("text"))["parameters"].alias("text"))
+
+
+@query("SELECT doc_id, true AS same_length, false AS left_over FROM documents")
+def mp4_clean(spark, sf_dir):
+    box, text = validators.box, F.col("text").cast("binary")
+    film = F.concat(box("ftyp", F.lit(b"isom\0\0\2\0")), box("moov", F.concat(box("udta", text), box("trak", F.lit(b"")))), box("mdat", F.lit(b"x")))
+    d = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", film.alias("film"), text.alias("t")).withColumn("out", cleaners.mp4_without_notes("film"))
+    return d.select("doc_id", (F.octet_length("film") == F.octet_length("out")).alias("same_length"), F.contains("out", "t").alias("left_over"))
+
+
+@query("SELECT conv_id, text AS positive, 'worse, ' || role AS negative FROM conversations WHERE turn = 0 AND text <> ''")
+def graph_prompts(spark, sf_dir):
+    link = lambda node, slot=0: F.array(F.lit(node), F.lit(str(slot)))
+    node = lambda kind, *inputs: F.to_json(F.struct(F.lit(kind).alias("class_type"), F.struct(*inputs).alias("inputs")))
+    parts = {
+        "1": node("KSampler", link("2").alias("positive"), link("3").alias("negative"), F.lit(20).alias("steps"), F.lit(7).alias("cfg"), F.lit(1).alias("seed")),
+        "2": node("CLIPTextEncode", link("4").alias("text"), F.lit("x").alias("clip")),
+        "3": node("StringConcatenate", F.lit("worse").alias("string_a"), F.col("role").alias("string_b"), F.lit(", ").alias("delimiter")),
+        "4": node("PrimitiveString", F.col("text").alias("value")),
+    }
+    graph = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
+    c = table(spark, sf_dir, "conversations").where((F.col("turn") == 0) & (F.col("text") != ""))
+    return c.select("conv_id", graphs.samplers(graph, F.lit(None).cast("string"))[0].alias("s")).select("conv_id", "s.positive", "s.negative")
+
+
+@query(r"""SELECT p_partkey, regexp_matches(n, '\S') AND NOT regexp_matches(n, '[\x00-\x1F<>:"/\\|?*]') AND NOT regexp_matches(n, '[. ]$') AND NOT regexp_matches(upper(n), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)') AS ok
+FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'con.' || p_name WHEN 1 THEN p_name || ' ' WHEN 2 THEN p_name || '/x' ELSE p_name END AS n FROM part)""")
+def safe_names(spark, sf_dir):
+    n, k = F.col("p_name"), F.col("p_partkey") % 5
+    name = F.when(k == 0, F.concat(F.lit("con."), n)).when(k == 1, F.concat(n, F.lit(" "))).when(k == 2, F.concat(n, F.lit("/x"))).otherwise(n)
+    return table(spark, sf_dir, "part").select("p_partkey", naming.safe_name(name).alias("ok"))
+
+
+@query(r"SELECT conv_id, turn, CAST(turn + 1 AS VARCHAR) || ' · ' || CASE WHEN t = '' THEN '(empty)' WHEN length(t) > 18 THEN left(t, 18) || '…' ELSE t END AS label FROM (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM conversations)")
+def layer_captions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", naming.caption(F.col("turn"), F.col("text")).alias("label"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 20 THEN chr(9311 + p_size) WHEN p_size BETWEEN 21 AND 35 THEN chr(12860 + p_size) WHEN p_size BETWEEN 36 AND 50 THEN chr(12941 + p_size) ELSE CAST(p_size AS VARCHAR) END AS mark FROM part")
+def ordinal_marks(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", naming.circled(F.col("p_size")).alias("mark"))
+
+
+@query("""SELECT doc_id, CASE WHEN n >= 1048576 THEN CAST(CAST(floor(n / 1048576.0::DOUBLE * 10 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(n / 1048576.0::DOUBLE * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR) || ' MiB'
+WHEN n >= 1024 THEN CAST(CAST(floor(n / 1024.0::DOUBLE * 10 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(n / 1024.0::DOUBLE * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR) || ' KiB' ELSE CAST(n AS VARCHAR) || ' B' END AS size FROM (SELECT doc_id, n_chars * 7 AS n FROM documents)""")
+def size_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", naming.size_text(F.col("n_chars") * 7).alias("size"))
+
+
+@query("SELECT p_partkey, CAST(greatest(1, round_even(w * least(1, 640.0::DOUBLE / greatest(w, h)), 0)) AS INT) AS width, CAST(greatest(1, round_even(h * least(1, 640.0::DOUBLE / greatest(w, h)), 0)) AS INT) AS height FROM (SELECT p_partkey, p_size * 37 AS w, CAST(p_partkey % 2000 + 1 AS INT) AS h FROM part)")
+def output_sizes(spark, sf_dir):
+    w, h = naming.output_size(F.col("p_size") * 37, (F.col("p_partkey") % 2000 + 1).cast("int"), 640)
+    return table(spark, sf_dir, "part").select("p_partkey", w.alias("width"), h.alias("height"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'sd15' ELSE 'sdxl' END AS family, CASE WHEN p_partkey % 3 = 0 THEN 'lora' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 'base' ELSE 'unknown' END AS role FROM part")
+def model_roles(spark, sf_dir):
+    """Files of tensors, told by which names they have: one in three has adapter names, the others a whole base model but
+    for the output layer in one of three; odd ones have the wider attention without its second text encoder."""
+    k = F.col("p_partkey")
+    whole = F.array(*map(F.lit, ("unet.conv_in.weight", "vae.encoder.a", "vae.decoder.a", "text_encoder.a", "x.attn2.to_k.weight")))
+    more = F.when(k % 3 == 0, "a.lora_up.weight").when(k % 3 == 1, "unet.conv_out.weight").otherwise("other")
+    names = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_append(whole, more)).alias("name"))
+    return models.classified(names.withColumn("shape", F.array(F.lit(320), F.when(k % 2 == 0, 768).otherwise(2048))), "p_partkey")
+
+
+@query()
+def undo_history(spark, sf_dir):
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("push")
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "ts", action.alias("action"), F.floor(F.col("value") * 1000).alias("bytes"))
+    return replayed(events, "user_id", ["ts", "id"])
+
+
+@query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND event_type NOT IN ('purchase', 'error')")
+def active_transfers(spark, sf_dir):
+    return active(table(spark, sf_dir, "events"), "user_id", "event_type", ("purchase", "error"), ["ts", "event_id"])

@@ -141,3 +141,149 @@ def test_parameter_lines():
     assert (prompt, negative) == ("a cat, (best:1.2)", "bad\nworse")
     assert fields == {"Steps": "20", "Seed": "18446744073709551615", "Note": "a, Size: 3", "Hashes": '{"x": 1, y: 2}', "Size": "5x6"}
     assert prompts.parse_parameters("Steps: 3") == ("Steps: 3", "", {}) and prompts.parse_parameters(None) == ("", "", {})
+
+
+def test_code_symbols_follow_the_standard():
+    from quillgrid.functions import qr
+
+    # worked examples of the standard's literature: check bytes, format bits, version bits, alignment places, capacities
+    assert list(qr.check_bytes(bytes([32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17]), 10)) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
+    assert (16 << 10 | qr.remainder(16, qr.FORMAT_CODE, 10)) ^ qr.FORMAT_XOR == 0b001011010001001
+    assert 7 << 12 | qr.remainder(7, qr.VERSION_CODE, 12) == 0x07C94
+    assert qr.centres(32) == [6, 34, 60, 86, 112, 138] and qr.centres(40) == [6, 30, 58, 86, 114, 142, 170]
+    assert [qr.capacity(v)[1] for v in (1, 2, 7, 40)] == [9, 16, 66, 1276]
+    for text in ("a", "http://a.b/ß", "x" * 300, "y" * 1100):
+        for mask in (-1, 0, 7):
+            assert qr.read(qr.encode(text, mask)) == text
+
+
+def test_graph_texts():
+    import json
+
+    from quillgrid.functions.graphs import sampler_texts, side
+
+    n = lambda kind, **inputs: {"class_type": kind, "inputs": inputs}
+    graph = {
+        "1": n("KSampler", positive=["2", 0], negative=["3", 1], steps=1, cfg=1, seed=2**64 - 1),
+        "2": n("ControlNetApply", positive=["4", 0], negative=["5", 0], strength=1.0),
+        "3": n("ControlNetApply", positive=["4", 0], negative=["5", 0]),
+        "4": n("Odd", anything=["6", 0]), "5": n("CLIPTextEncode", text="bad"), "6": n("Text Join", a="x", b="y", separator="; "),
+        "7": n("BasicGuider", conditioning=["4", 0]), "8": n("SamplerCustomAdvanced", guider=["7", 0], latent_image=["9", 0]),
+        "9": n("Loop", text=["9", 0]), "10": n("FancySampler", conditioning=["11", 0]), "11": n("ConditioningZeroOut", conditioning=["4", 0]),
+    }
+    got = {s["node"]: (s["positive"], s["negative"]) for s in sampler_texts(json.dumps(graph))}
+    assert got == {"1": ("x; y", "bad"), "8": ("x; y", ""), "10": ("[ConditioningZeroOut：该分支置零]", "")}
+    saved = {
+        "nodes": [
+            {"id": 1, "type": "KSampler", "inputs": [{"name": "positive", "link": 7}], "widgets_values": [5, "fixed", 20, 7.0]},
+            {"id": 2, "type": "CLIPTextEncode", "widgets_values": ["a cat"], "outputs": [{"name": "CONDITIONING"}]},
+        ],
+        "links": [[7, 2, 0, 1, 0, "CONDITIONING"]],
+    }
+    assert [(s["node"], s["positive"], s["upstream"]) for s in sampler_texts("{}", json.dumps(saved))] == [("1", "a cat", 2)]
+    assert sampler_texts("not json") == sampler_texts(None) == sampler_texts("[]") == []
+    assert [side(x) for x in ("negative_prompt", "Pos Prompt", "conditioning +", "conditioning -", "seed")] == [-1, 1, 1, -1, 0]
+
+
+def test_more_cleaners():
+    import struct
+    import zlib
+
+    from quillgrid.functions import cleaners, metadata
+    from quillgrid.functions.containers import chunk_list, png_bytes
+
+    exif = struct.pack(">2sHIHHHIHHI", b"MM", 42, 8, 1, 0x112, 3, 1, 6, 0, 0)
+    chunks = [(c["type"], c["data"]) for c in chunk_list(png_bytes("note"))]
+    out = chunk_list(cleaners.clean_png(cleaners.png_of([chunks[0], ("eXIf", exif), *chunks[1:]])))
+    assert [c["type"] for c in out] == ["IHDR", "eXIf", "IDAT", "IEND"] and validators.orientation(out[1]["data"]) == 6
+    assert validators.cleaned(cleaners.clean_png)(png_bytes("n")[:-20] + b"x" + png_bytes("n")[-19:]) is None
+    part = lambda kind, data: kind + struct.pack("<I", len(data)) + data + bytes(len(data) % 2)
+    riff = lambda body: b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    head = part(b"VP8X", bytes([0x3C]) + bytes(9))
+    got = dict(cleaners.riff_parts(cleaners.clean_webp(riff(head + part(b"VP8L", b"abc") + part(b"EXIF", b"Exif\0\0" + exif) + part(b"XMP ", b"secret")))))
+    assert list(got) == [b"VP8X", b"VP8L", b"EXIF"] and got[b"VP8X"][0] == 0x38 and validators.orientation(got[b"EXIF"]) == 6
+    assert dict(cleaners.riff_parts(cleaners.clean_webp(riff(head + part(b"XMP ", b"secret")))))[b"VP8X"][0] == 0x30
+    assert validators.cleaned(cleaners.clean_webp)(riff(head)[:-1]) is None
+
+    box = lambda kind, data=b"": (len(data) + 8).to_bytes(4, "big") + kind + data
+    film = box(b"ftyp", b"isom0000") + box(b"moov", box(b"mvhd", bytes(4) + b"DATEDATE" + b"rest") + box(b"meta", b"who") + box(b"uuid", cleaners.XMP_UUID + b"x")) + box(b"mdat", b"meta")
+    done = validators.cleaned(cleaners.clean_mp4)(film)
+    assert len(done) == len(film) and b"DATE" not in done and b"who" not in done and b"rest" in done and done.endswith(b"mdatmeta") and done.count(b"free") == 2
+    assert validators.cleaned(cleaners.clean_mp4)(film + box(b"pssh")) is None and validators.cleaned(cleaners.clean_mp4)(film[:-1]) is None
+
+    one = lambda kind, data: kind + bytes([0x80 | len(data)]) + data
+    tags, info = bytes.fromhex("1254c367"), bytes.fromhex("1549a966")
+    mkv = one(b"\x1a\x45\xdf\xa3", b"head") + b"\x18\x53\x80\x67\xff" + one(info, one(b"\x7b\xa9", b"Title") + one(b"\x44\x89", b"dura")) + one(tags, b"tagged") + one(b"\x1f\x43\xb6\x75", b"frames")
+    done = validators.cleaned(cleaners.clean_ebml)(mkv)
+    assert len(done) == len(mkv) and not any(w in done for w in (b"Title", b"tagged")) and b"dura" in done and b"frames" in done
+    assert [k for k, *_ in cleaners.elements(done, 14, len(done))][1:] == [0xEC, 0x1F43B675] and validators.cleaned(cleaners.clean_ebml)(mkv[:-1]) is None
+
+    def old(kind, flags, rest=b"", data=b""):
+        body = struct.pack("<BHH", kind, flags, 7 + len(rest)) + rest
+        return struct.pack("<H", zlib.crc32(body) & 0xFFFF) + body + data
+
+    def new(body, data=b""):
+        sized = bytes([len(body)]) + body
+        return struct.pack("<I", zlib.crc32(sized)) + sized + data
+
+    ok, mark = validators.judged(cleaners.check_rar), b"Rar!\x1a\7"
+    rar4 = mark + b"\0" + old(0x73, 0, bytes(6)) + old(0x74, 0x8000, struct.pack("<I", 3) + bytes(21), b"abc") + old(0x7B, 0)
+    rar5 = mark + b"\1\0" + new(bytes([1, 0, 0])) + new(bytes([2, 2, 3]), b"abc") + new(bytes([5, 0, 0]))
+    assert ok(rar4) and ok(rar5) and not ok(rar5[:-8]) and not ok(rar4[:20]) and not ok(mark + b"\2")
+    assert not ok(mark + b"\0" + old(0x73, 1, bytes(6))) and not ok(mark + b"\1\0" + new(bytes([1, 0, 1])) + new(bytes([5, 0, 0]))) and not ok(rar5.replace(bytes([2, 2, 3]), bytes([2, 2, 4])))
+
+    fields = metadata.text_fields(cleaners.png_of([chunks[0], ("tEXt", b"Name\0one"), ("tEXt", b"name\0two"), ("zTXt", b"z\0\0" + zlib.compress(b"packed")), ("zTXt", b"bad\0\0x"), *chunks[1:]]))
+    assert fields == {"name": "two", "z": "packed", "text": "note"}
+    assert metadata.text_fields(b"GIF89a") is None and metadata.text_fields(None) is None
+
+
+def test_reveal_opacity_is_the_least_error(spark):
+    import random
+
+    from quillgrid.operators import reveal
+
+    rng = random.Random(5)
+    rows = [(tuple(rng.uniform(127.5, 255) for _ in range(3)), tuple(rng.uniform(0, 127.5) for _ in range(3))) for _ in range(60)]
+    df = spark.createDataFrame([(*w, *b) for w, b in rows], "wr double, wg double, wb double, br double, bg double, bb double")
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in df.select(reveal.opacity([F.col(f"w{c}") for c in "rgb"], [F.col(f"b{c}") for c in "rgb"])).collect()]
+
+    def error(w, b, a):
+        p = [min(a, max(0, (x + y - 255 + a) / 2)) for x, y in zip(w, b)]
+        return sum((q + 255 - a - x) ** 2 + (q - y) ** 2 for q, x, y in zip(p, w, b))
+
+    for (w, b), a in zip(rows, got):
+        assert error(w, b, a) <= min(error(w, b, k / 4) for k in range(1021)) + 1e-9
+
+
+def test_history_and_suppression(spark):
+    from quillgrid.operators.regions import mean_thresholds, suppressed
+    from quillgrid.streaming.history import History, replayed
+
+    h = History()
+    for i in range(60):
+        h.apply("push", (i, 1))
+    assert len(h.undo) == 50 and h.undo[0][0] == 10 and h.apply("undo", (60, 1)) == 59 and h.apply("redo", (59, 1)) == 60
+    assert h.apply("undo", (60, 1)) == 59 and h.apply("push", (61, 1)) is None and not h.redo and h.apply("redo", (0, 1)) is None
+    h.apply("push", (62, 300 * 2**20))
+    assert h.undo == [(62, 300 * 2**20)]
+    rows = [(k, i, "push" if i < 3 else "undo", 1) for k in "ab" for i in range(5)]
+    got = sorted(map(tuple, replayed(spark.createDataFrame(rows, "k string, id long, action string, bytes long"), "k", ["id"]).collect()))
+    assert [r[1:] for r in got if r[0] == "b"] == [(0, None, 1, 0), (1, None, 2, 0), (2, None, 3, 0), (3, 2, 2, 1), (4, 1, 1, 2)]
+
+    boxes = [(0, 1, 0.9, 0, 0, 10, 10), (0, 2, 0.8, 1, 1, 11, 11), (0, 3, 0.7, 2, 8, 12, 18), (1, 4, 0.1, 1, 1, 11, 11), (0, 5, 0.8, 0, 9, 10, 19)]
+    df = spark.createDataFrame(boxes, "image int, box_id int, score double, left int, top int, right int, bottom int")
+    assert sorted(r.box_id for r in suppressed(df, "image").collect()) == [1, 4, 5]
+
+    low = [[10, 10, 10, 10, 10, 10]] * 6
+    blocks = [(0, y, x, low[y][x], 200 if x == 0 else 11, 100) for y in range(6) for x in range(6)]
+    out = {(r.gy, r.gx): r.threshold for r in mean_thresholds(spark.createDataFrame(blocks, "image long, gy int, gx int, low int, high int, mean int")).collect()}
+    point = [[100 if x == 0 else 0 for x in range(6)] for _ in range(6)]
+    for y in range(6):
+        for x in range(1, 6):
+            point[y][x] = 5
+            if y and (n := (point[y - 1][x] + 2 * point[y][x - 1] + point[y - 1][x - 1]) // 4) > 10:
+                point[y][x] = n
+    near = lambda i: range(min(3, max(2, i)) - 2, min(3, max(2, i)) + 3)
+    assert out == {(y, x): sum(point[a][b] for a in near(y) for b in near(x)) // 25 for y in range(6) for x in range(6)}
