@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import cleaners, containers, graphs, metadata, naming, prompts, qr, validators
+from ..functions import cleaners, containers, graphs, images, metadata, naming, packaging, prompts, qr, validators
 from ..operators import models, permutation, regions, reveal
 from ..operators import raster as ops
 from ..sources.tables import WIDTH, ranked, raster, table
@@ -385,15 +385,30 @@ def neighbour_rectangles(spark, sf_dir):
     return near.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 768 WHEN s_acctbal >= 4000 THEN 512 ELSE 384 END AS edge, CASE WHEN s_acctbal >= 8000 THEN 'none' WHEN s_acctbal >= 2000 THEN 'model' ELSE 'sequential' END AS offload FROM supplier""")
+@query("""WITH m AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS large, s_suppkey % 5 = 0 AS saving, greatest(0, s_acctbal) / 300 AS total, greatest(0, s_acctbal) / 400 AS free FROM supplier),
+q AS (SELECT *, total >= 16 AND free >= 12 AND NOT saving AS quality FROM m)
+SELECT s_suppkey, CASE WHEN quality THEN 1024 WHEN large OR total >= 7 THEN 768 ELSE 512 END AS edge, CASE WHEN quality THEN 40 WHEN total >= 8 THEN 32 ELSE 24 END AS steps, total < 16 OR free < 12 OR saving AS offload, free < 5 AND total > 0 AS sequential FROM q""")
 def hardware_policy(spark, sf_dir):
-    b = F.col("s_acctbal")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(b >= 8000, 768).when(b >= 4000, 512).otherwise(384).alias("edge"), F.when(b >= 8000, "none").when(b >= 2000, "model").otherwise("sequential").alias("offload"))
+    """Picture size, steps and memory saving for a machine's total and free memory in GB, a model family and a preference."""
+    b = F.greatest(F.lit(0), F.col("s_acctbal"))
+    large, saving, total, free = F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 5 == 0, b / 300, b / 400
+    quality = (total >= 16) & (free >= 12) & ~saving
+    edge = F.when(quality, 1024).when(large | (total >= 7), 768).otherwise(512)
+    steps = F.when(quality, 40).when(total >= 8, 32).otherwise(24)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", edge.alias("edge"), steps.alias("steps"), ((total < 16) | (free < 12) | saving).alias("offload"), ((free < 5) & (total > 0)).alias("sequential"))
 
 
-@query("SELECT p_partkey, list_min(list_filter(range(3, 65), lambda d: (p_size * 8) % d = 0)) AS divisor FROM part")
+@query("""WITH m AS (SELECT p_partkey, p_size AS module, p_size * 64 AS width, (p_partkey % 3 + 1) * p_size * 32 AS height, p_size * (p_partkey % 7) AS place FROM part)
+SELECT p_partkey, (SELECT min(d) FROM (SELECT unnest(range(1, 51)) AS d) WHERE d >= greatest(1, ceil(greatest(width, height) / 512)) AND d <= module AND module % d = 0 AND width % d = 0 AND height % d = 0 AND place % d = 0 AND width // d % 8 = 0 AND height // d % 8 = 0) AS divisor FROM m""")
 def latent_divisor(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_min(F.filter(F.sequence(F.lit(3), F.lit(64)), lambda d: F.col("p_size") * 8 % d == 0)).cast("long").alias("divisor"))
+    """The least reduction to 512 pixels that keeps a code's grid whole, and each side a multiple of 8; null if none."""
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    m = table(spark, sf_dir, "part").select("p_partkey", size.alias("module"), (size * 64).alias("width"), ((key % 3 + 1) * size * 32).alias("height"), (size * (key % 7)).alias("at"))
+    whole = lambda d: (F.col("module") % d == 0) & (F.col("width") % d == 0) & (F.col("height") % d == 0) & (F.col("at") % d == 0)
+    eighths = lambda d: F.expr("width") % (d * 8) == 0
+    least = F.greatest(F.lit(1), F.ceil(F.greatest("width", "height") / 512))
+    fits = F.filter(F.sequence(F.lit(1).cast("long"), F.col("module")), lambda d: (d >= least) & whole(d) & eighths(d) & (F.col("height") % (d * 8) == 0))
+    return m.select("p_partkey", F.array_min(fits).alias("divisor"))
 
 
 # --- containers and events ---------------------------------------------------------------------------------------
@@ -707,3 +722,45 @@ def undo_history(spark, sf_dir):
 @query("SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND event_type NOT IN ('purchase', 'error')")
 def active_transfers(spark, sf_dir):
     return active(table(spark, sf_dir, "events"), "user_id", "event_type", ("purchase", "error"), ["ts", "event_id"])
+
+
+# --- pictures as files -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PX} SELECT y // 64 AS image, CAST(y % 64 AS INT) AS y, x, v FROM px")
+def image_png_roundtrip(spark, sf_dir):
+    return images.from_png(images.as_png(_images(spark, sf_dir)))
+
+
+@query(f"WITH {PX} SELECT y // 64 AS image, CAST(y % 64 AS INT) AS y, x, v FROM px")
+def dual_png_roundtrip(spark, sf_dir):
+    return images.from_png(images.as_dual(_images(spark, sf_dir)), last=True)
+
+
+@query()
+def image_gif(spark, sf_dir):
+    whole = Window.partitionBy("image")
+    tall = _images(spark, sf_dir).withColumn("h", F.max("y").over(whole)).where(F.col("h") == 63).drop("h")
+    return images.as_gif(tall.withColumn("job", F.floor(F.col("image") / 4)), "job")
+
+
+def _packed(spark, sf_dir, mode, cover):
+    made = packaging.packed_file(mode)(cover, validators.to_zip("text"), F.concat("lang", F.lit(".zip")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", validators.to_zip("text").alias("zip"), made.alias("carrier"))
+    out = d.select("doc_id", "lang", "zip", "carrier", packaging.unpacked_file("carrier").alias("f"))
+    return out.select("doc_id", (F.col("f.content") == F.col("zip")).alias("same"), (F.col("f.name") == F.concat("lang", F.lit(".zip"))).alias("named"))
+
+
+@query("SELECT doc_id, true AS same, true AS named FROM documents")
+def png_package_roundtrip(spark, sf_dir):
+    return _packed(spark, sf_dir, "png", containers.to_png("source"))
+
+
+@query("SELECT doc_id, true AS same, true AS named FROM documents")
+def jpeg_package_roundtrip(spark, sf_dir):
+    return _packed(spark, sf_dir, "jpeg", F.lit(b"\xff\xd8\xff\xda\x00\x02\xaa\xbb\xff\xd9"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def behind_package_roundtrip(spark, sf_dir):
+    return _packed(spark, sf_dir, "behind", containers.to_png("source")).select("doc_id", "same")

@@ -229,7 +229,7 @@ def test_more_cleaners():
     ok, mark = validators.judged(cleaners.check_rar), b"Rar!\x1a\7"
     rar4 = mark + b"\0" + old(0x73, 0, bytes(6)) + old(0x74, 0x8000, struct.pack("<I", 3) + bytes(21), b"abc") + old(0x7B, 0)
     rar5 = mark + b"\1\0" + new(bytes([1, 0, 0])) + new(bytes([2, 2, 3]), b"abc") + new(bytes([5, 0, 0]))
-    assert ok(rar4) and ok(rar5) and not ok(rar5[:-8]) and not ok(rar4[:20]) and not ok(mark + b"\2")
+    assert ok(rar4) and ok(rar5) and not ok(rar5[:-8]) and not ok(rar4[:25]) and not ok(mark + b"\2")
     assert not ok(mark + b"\0" + old(0x73, 1, bytes(6))) and not ok(mark + b"\1\0" + new(bytes([1, 0, 1])) + new(bytes([5, 0, 0]))) and not ok(rar5.replace(bytes([2, 2, 3]), bytes([2, 2, 4])))
 
     fields = metadata.text_fields(cleaners.png_of([chunks[0], ("tEXt", b"Name\0one"), ("tEXt", b"name\0two"), ("zTXt", b"z\0\0" + zlib.compress(b"packed")), ("zTXt", b"bad\0\0x"), *chunks[1:]]))
@@ -287,3 +287,51 @@ def test_history_and_suppression(spark):
                 point[y][x] = n
     near = lambda i: range(min(3, max(2, i)) - 2, min(3, max(2, i)) + 3)
     assert out == {(y, x): sum(point[a][b] for a in near(y) for b in near(x)) // 25 for y in range(6) for x in range(6)}
+
+
+def test_pictures_and_packages():
+    import io
+    import zipfile
+
+    import numpy as np
+
+    from quillgrid.functions import images, packaging
+    from quillgrid.functions.containers import png_bytes
+
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1, 4), (7, 5, 4), (40, 90, 4)):
+        for a in (rng.integers(0, 256, shape, np.uint8), np.add.outer(np.arange(shape[0]), np.arange(shape[1]))[..., None].repeat(4, 2).astype(np.uint8)):
+            assert (images.pictures(images.png(a))[0] == a).all()
+            cover, real = images.pictures(images.dual_png(255 - a, a))
+            assert (cover == 255 - a).all() and (real == a).all()
+    frames = [rng.integers(0, 256, (30, 20, 4), np.uint8) for _ in range(2)]
+    made = images.gif(frames, 100)
+    kinds = [(k, a, b) for k, a, b in validators.gif_segments(made)]
+    assert [k for k, *_ in kinds] == [b"head", b"NETSCAPE2.0", b"\xf9", b"image", b"\xf9", b"image", b"end"] and kinds[-1][2] == len(made)
+    a, b = kinds[3][1:]
+    data, at = b"", a + 11
+    while made[at]:
+        data += made[at + 1 : at + 1 + made[at]]
+        at += 1 + made[at]
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    codes = bits[: len(bits) // 9 * 9].reshape(-1, 9) @ (1 << np.arange(9))
+    codes = codes[: list(codes).index(257)]
+    f = frames[0].reshape(-1, 4).astype(int)
+    assert (codes[codes < 256] == (f[:, 0] >> 5 << 5 | f[:, 1] >> 5 << 2 | f[:, 2] >> 6)).all()
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "hello" * 50)
+        with z.open("b", "w", force_zip64=True) as g:
+            g.write(b"x" * 100)
+    jpeg = b"\xff\xd8\xff\xda\x00\x02\xaa\xbb\xff\xd9"
+    for mode, cover in (("png", png_bytes("c")), ("jpeg", jpeg), ("behind", jpeg), ("behind", png_bytes("c"))):
+        carrier = packaging.PACKERS[mode](cover, held.getvalue(), "n.zip")
+        assert packaging.unpack(carrier) == ("restored.zip" if mode == "behind" else "n.zip", held.getvalue())
+        with zipfile.ZipFile(io.BytesIO(carrier)) as z:  # also opens as it is
+            assert z.read("a.txt") == b"hello" * 50
+        damaged = bytearray(carrier)
+        damaged[-len(held.getvalue()) // 2] ^= 1
+        if mode != "behind":
+            assert validators.cleaned(packaging.unpack)(bytes(damaged)) is None
+    assert validators.cleaned(lambda c: packaging.pack_png(c, b"no archive", "n"))(png_bytes("c")) is None
