@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,11 +45,18 @@ def times(a: int, b: int) -> int:
     return EXP[(LOG[a] + LOG[b]) % 255] if a and b else 0
 
 
-def check_bytes(data: bytes, n: int) -> bytes:
-    """The Reed-Solomon remainder of degree n."""
+@lru_cache(None)
+def divisor_of(n: int) -> list[int]:
+    """The Reed-Solomon generator of degree n, highest power first."""
     divisor = [1]
     for i in range(n):
         divisor = [a ^ times(b, EXP[i]) for a, b in zip([*divisor, 0], [0, *divisor])]
+    return divisor
+
+
+def check_bytes(data: bytes, n: int) -> bytes:
+    """The Reed-Solomon remainder of degree n."""
+    divisor = divisor_of(n)
     left = list(data) + [0] * n
     for i in range(len(data)):
         lead = left[i]
@@ -65,6 +74,7 @@ def centres(version: int) -> list[int]:
     return [6, *sorted(last - step * i for i in range(n - 1))]
 
 
+@lru_cache(None)
 def template(version: int) -> tuple[np.ndarray, np.ndarray]:
     """(modules, taken): the marks of a symbol, and which places are no data."""
     side = version * 4 + 17
@@ -91,8 +101,10 @@ def template(version: int) -> tuple[np.ndarray, np.ndarray]:
     return dark, taken
 
 
-def places(taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(None)
+def places(version: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the data places in reading order: pairs of columns from the right, up and down by turns."""
+    taken = template(version)[1]
     side, out = len(taken), []
     for turn, right in enumerate([*range(side - 1, 6, -2), *range(5, 0, -2)]):
         rows = range(side) if turn % 2 else range(side - 1, -1, -1)
@@ -100,6 +112,7 @@ def places(taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(out).T)
 
 
+@lru_cache(None)
 def capacity(version: int) -> tuple[int, int]:
     """(all bytes, data bytes) of a symbol."""
     whole = int((~template(version)[1]).sum()) // 8
@@ -163,8 +176,8 @@ def encode(text: str, mask: int = -1, margin: int = 4) -> np.ndarray:
     """The modules of a text's symbol, True for dark; mask -1 takes the one with the least penalty, the first at ties."""
     data = text.encode()
     version = version_for(len(data))
-    dark, taken = template(version)
-    y, x = places(taken)
+    dark, _ = template(version)
+    y, x = places(version)
     bits = np.unpackbits(np.frombuffer(codewords(data, version), np.uint8))
     options = []
     for m in range(8) if mask < 0 else (mask,):
@@ -178,8 +191,7 @@ def read(modules: np.ndarray, margin: int = 4) -> str:
     """The text of an undamaged symbol that `encode` made."""
     m = modules[margin : len(modules) - margin, margin : len(modules) - margin]
     version = (len(m) - 17) // 4
-    _, taken = template(version)
-    y, x = places(taken)
+    y, x = places(version)
     mask = int(np.dot(m[8, 2:5], (4, 2, 1))) ^ FORMAT_XOR >> 10 & 7
     bits = m[y, x] ^ (MASKS[mask](y, x) == 0)
     whole, room = capacity(version)

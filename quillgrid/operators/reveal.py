@@ -6,7 +6,7 @@ arithmetic on columns; channels are lists of three columns, red, green, blue.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Channels = list[Column]
@@ -52,11 +52,25 @@ def stored(white: Channels, black: Channels, a: Column) -> Channels:
     return [F.when(a == 0, 0).otherwise(byte(bounded((w + b - 255 + a) / 2, F.lit(0), a) * 255 / a)) for w, b in zip(white, black)]
 
 
-def reveal(light: Channels, dark: Channels, strength: float) -> Channels:
-    """Opacity, red, green, blue."""
+def staged(pixels: DataFrame, name: str, channels: Channels) -> tuple[DataFrame, Channels]:
+    """The channels as columns of their own, so that what is used many times is computed once."""
+    names = [f"_{name}{i}" for i in range(len(channels))]
+    return pixels.withColumns(dict(zip(names, channels))), [F.col(n) for n in names]
+
+
+def shown(pixels: DataFrame, parts: Channels, *keys: str) -> DataFrame:
+    return pixels.select(*keys, *[c.cast("int").alias(n) for c, n in zip(parts, ("alpha", "red", "green", "blue"))])
+
+
+def reveal(pixels: DataFrame, light: Channels, dark: Channels, strength: float, *keys: str) -> DataFrame:
+    """(keys, alpha, red, green, blue)."""
+    p, light = staged(pixels, "l", light)
+    p, dark = staged(p, "d", dark)
     white, black = appearances(light, dark, strength)
-    a = byte(opacity(white, black))
-    return [a, *stored(white, black, a)]
+    p, white = staged(p, "w", white)
+    p, black = staged(p, "b", black)
+    p, (a,) = staged(p, "a", [byte(opacity(white, black))])
+    return shown(p, [a, *stored(white, black, a)], *keys)
 
 
 def true_on_black(black: Channels, white_luma: Column) -> Channels:
@@ -100,13 +114,17 @@ def balanced(white: Channels, black: Channels) -> Channels:
     return [a, *stored(white, black, a)]
 
 
-def source_coloured(light: Channels, dark: Channels, white_range: tuple[Column, Column], strength: Column, exposure: Column, limit: Column) -> Channels:
-    """Opacity and colours with the dark picture's own colour, as much as the limit and the gamut allow."""
-    y = luma(dark)
+def source_coloured(pixels: DataFrame, light: Channels, dark: Channels, white_range: tuple[Column, Column], strength: Column, exposure: Column, limit: Column, *keys: str) -> DataFrame:
+    """(keys, alpha, red, green, blue) with the dark picture's own colour, as much as the limit and the gamut allow."""
+    p, dark = staged(pixels, "d", dark)
+    p, (y, white) = staged(p, "y", [luma(dark), tone(luma(light), *white_range, F.lit(185), F.lit(236))])
     chroma, at, apart = [v - y for v in dark], y * exposure, spread(dark)
-    k = F.least(strength * exposure, F.when(apart > 0, limit / apart).otherwise(strength * exposure))
-    k = F.greatest(F.lit(0.0), F.least(k, *[gamut(at, c) for c in chroma]))
-    return true_on_black([at + c * k for c in chroma], tone(luma(light), *white_range, F.lit(185), F.lit(236)))
+    most = strength * exposure
+    k = F.least(most, F.when(apart > 0, limit / apart).otherwise(most))
+    p, (k,) = staged(p, "k", [F.greatest(F.lit(0.0), F.least(k, *[gamut(at, c) for c in chroma]))])
+    p, black = staged(p, "b", [at + c * k for c in chroma])
+    p, looks = staged(p, "s", true_on_black(black, white))
+    return shown(p, looks, *keys)
 
 
 def code_module(cover: Channels, ink: Column, low: Column, high: Column, floor: Column) -> Channels:

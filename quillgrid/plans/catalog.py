@@ -499,10 +499,6 @@ def _two(spark, sf_dir):
     return p, [times(k) for k in (1, 3, 5)], [times(k) for k in (7, 11, 13)]
 
 
-def _argb(p, channels):
-    return p.select("y", "x", *[c.alias(n) for c, n in zip(channels, ("alpha", "red", "green", "blue"))])
-
-
 def _byte_sql(x: str) -> str:
     return f"CAST(least(255, greatest(0, floor({x} + 0.5))) AS INT)"
 
@@ -518,14 +514,14 @@ o AS (SELECT *, {_byte_sql("CASE WHEN q / 6 <= t[1] THEN q / 6 WHEN (q - t[1]) /
 SELECT y, x, a AS alpha, {_stored_sql("r")} AS red, {_stored_sql("g")} AS green, {_stored_sql("b")} AS blue FROM o""")
 def reveal_pixels(spark, sf_dir):
     p, light, dark = _two(spark, sf_dir)
-    return _argb(p, reveal.reveal(light, dark, 0.75))
+    return reveal.reveal(p, light, dark, 0.75, "y", "x")
 
 
 @query()
 def reveal_source_colours(spark, sf_dir):
     p, light, dark = _two(spark, sf_dir)
     lit = lambda v: F.lit(float(v))
-    return _argb(p, reveal.source_coloured(light, dark, (lit(20), lit(240)), lit(0.8), lit(0.55), reveal.chroma_budget(lit(220), lit(80))))
+    return reveal.source_coloured(p, light, dark, (lit(20), lit(240)), lit(0.8), lit(0.55), reveal.chroma_budget(lit(220), lit(80)), "y", "x")
 
 
 @query(f"""WITH {PX}, {SIDES}, u AS (SELECT *, (299 * lr + 587 * lg + 114 * lb) / 1000.0::DOUBLE AS ly, (299 * dr + 587 * dg + 114 * db) / 1000.0::DOUBLE AS dy FROM s),

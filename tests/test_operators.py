@@ -335,3 +335,33 @@ def test_pictures_and_packages():
         if mode != "behind":
             assert validators.cleaned(packaging.unpack)(bytes(damaged)) is None
     assert validators.cleaned(lambda c: packaging.pack_png(c, b"no archive", "n"))(png_bytes("c")) is None
+
+
+def test_source_colours_against_plain_arithmetic(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillgrid.operators import reveal
+
+    rng = random.Random(9)
+    rows = [(i, *(rng.randrange(256) for _ in range(6))) for i in range(80)] + [(80, 0, 0, 0, 0, 0, 0), (81, 255, 255, 255, 255, 255, 255)]
+    df = spark.createDataFrame(rows, "i long, lr int, lg int, lb int, dr int, dg int, db int")
+    cols = lambda n: [F.col(n + c) for c in "rgb"]
+    lit = lambda v: F.lit(float(v))
+    got = {r.i: (r.alpha, r.red, r.green, r.blue) for r in reveal.source_coloured(df, cols("l"), cols("d"), (lit(20), lit(240)), lit(0.8), lit(0.55), lit(30), "i").collect()}
+    byte = lambda v: max(0, min(255, math.floor(v + 0.5)))
+    for i, *v in rows:
+        light, dark = v[:3], v[3:]
+        luma = lambda c: (299 * c[0] + 587 * c[1] + 114 * c[2]) / 1000
+        y, k = luma(dark), 0.8 * 0.55
+        at = y * 0.55
+        if max(dark) > min(dark):
+            k = min(k, 30 / (max(dark) - min(dark)))
+        for c in dark:
+            k = min(k, (255 - at) / (c - y) if c > y else -at / (c - y) if c < y else 1)
+        black = [at + (c - y) * max(0, k) for c in dark]
+        white = 185 + 51 * max(0, min(1, (luma(light) - 20) / 220))
+        a = max(math.ceil(max(black)), byte(255 + sum(black) / 3 - white))
+        assert got[i] == (a, *(byte(b * 255 / a) if a else 0 for b in black))
