@@ -365,3 +365,14 @@ def test_source_colours_against_plain_arithmetic(spark):
         white = 185 + 51 * max(0, min(1, (luma(light) - 20) / 220))
         a = max(math.ceil(max(black)), byte(255 + sum(black) / 3 - white))
         assert got[i] == (a, *(byte(b * 255 / a) if a else 0 for b in black))
+
+
+def test_crc_of_chunks(spark, sf_dir):
+    import zlib
+
+    from quillgrid.plans import catalog
+
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    rows = catalog.crc_chunk(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    assert all(r.crc == zlib.crc32(b"tEXt" + texts[r.doc_id].encode()) for r in rows)
