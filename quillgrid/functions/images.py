@@ -161,10 +161,13 @@ def from_png(images: DataFrame, last: bool = False) -> DataFrame:
 
 
 def as_gif(pixels: DataFrame, job: str, delay_ms: int = 100) -> DataFrame:
-    """(job, gif) of (`job`, image, y, x, v): one frame an image, in the order of images."""
+    """(job, gif) of (`job`, image, y, x, v): one frame an image, in the order of images. A smaller image is padded with
+    white below and to the right."""
 
     def made(p: pd.DataFrame) -> pd.DataFrame:
         frames = [_canvas(f) for _, f in p.groupby("image", sort=True)]
+        height, width = (max(f.shape[i] for f in frames) for i in (0, 1))
+        frames = [np.pad(f, ((0, height - f.shape[0]), (0, width - f.shape[1]), (0, 0)), constant_values=255) for f in frames]
         return pd.DataFrame({job: p[job].iloc[:1], "gif": [gif(frames, delay_ms)]})
 
     return pixels.groupBy(job).applyInPandas(made, f"{job} long, gif binary")
