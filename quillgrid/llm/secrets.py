@@ -2,8 +2,10 @@
 
 Strict spans (assignments, access keys, long hex) always stay. Weak parts (account names, mixed-character tokens,
 endpoints) are reported only where complementary parts stand within one scope: an interval join of identifiers,
-secrets and endpoints on |distance| <= SCOPE code points inside a document, done as a sorted sweep that gives each
-secret its nearest identifier and its nearest endpoint, so nothing grows with the number of pairs.
+secrets and endpoints on |distance| <= SCOPE code points inside a document, done as a sorted sweep. Parts of one kind
+don't overlap, so those in scope of a secret are one run of them, found by bisection; a scope holds a bounded number of
+identifiers or endpoints, so links grow with the text. Each pair of a secret and an identifier or endpoint in its scope
+is in one link: the first link of a secret has the nearest of both, the second the next nearest, and so on.
 
 Cases: null or empty text has no spans; texts of any length are read whole, with patterns that cannot go back over
 more than one run of characters; null, equal or repeated doc_ids are handled row by row; equal starts are ordered by
@@ -14,8 +16,9 @@ ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,8 +76,19 @@ def _nearest(parts: list[tuple[int, int]], starts: list[int], span: tuple[int, i
     return before if gap_before <= gap_after else after
 
 
+def _near(parts: list[tuple[int, int]], starts: list[int], stops: list[int], span: tuple[int, int], scope: int) -> list[tuple[int, int]]:
+    """All parts within scope, the nearest first; starts and stops must both be sorted."""
+    first = _nearest(parts, starts, span, scope)
+    if first is None:
+        return []
+    run = parts[bisect_left(stops, span[0] - scope) : bisect_right(starts, span[1] + scope)]
+    gap = lambda x: max(0, x[0] - span[1]) if x[0] >= span[0] else max(0, span[0] - x[1])
+    return [first, *sorted((x for x in run if x != first), key=lambda x: (gap(x), x[0] >= span[0], x))]
+
+
 def scan(text: str | None, scope: int = SCOPE) -> tuple[list[tuple[int, int, int]], list[tuple]]:
-    """All spans by start, then kind; and for each linked secret its identifier and endpoint (or None)."""
+    """All spans by start, then kind; and for each linked secret its identifiers and endpoints, paired by nearness (None
+    where one kind has fewer)."""
     text = text or ""
     lower = text.lower()
     strict = strict_spans(text, lower)
@@ -96,11 +110,10 @@ def scan(text: str | None, scope: int = SCOPE) -> tuple[list[tuple[int, int, int
     ids = sorted({(s, e) for k, s, e in strict if k == 1} | {x for x in names if free(x)})
     secrets = sorted({(s, e) for k, s, e in strict if k != 1} | {x for x in tokens if free(x)})
     ends = sorted(set(places))
-    id_at, end_at = [x[0] for x in ids], [x[0] for x in ends]
+    id_at, end_at = [[x[i] for x in ids] for i in (0, 1)], [[x[i] for x in ends] for i in (0, 1)]
     links, used = [], set()
     for secret in secrets:
-        who, where = _nearest(ids, id_at, secret, scope), _nearest(ends, end_at, secret, scope)
-        if who or where:
+        for who, where in zip_longest(_near(ids, *id_at, secret, scope), _near(ends, *end_at, secret, scope)):
             links.append((who, secret, where))
             used |= {(3, who), (4, secret), (5, where)}
     strict_set = {(s, e) for _, s, e in strict}
