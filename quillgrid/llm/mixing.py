@@ -2,7 +2,7 @@
 
 1. A naive Bayes classifier, fitted on at most SAMPLE labelled documents (those with the least hash of doc_id), gives
    every document a posterior over the domains good, poor and toxic. Its features: at most WORDS_PER_DOMAIN telling
-   words each of poor and toxic (whether any is there, and which), and how varied the words are.
+   words of each domain (whether any is there, and which), and how varied the words are.
 2. Nonnegative rates r are fitted to the expected tokens of each domain, sum of r * tokens * posterior, by projected
    gradient least squares: r <- clip(r - posterior . M (A r - t)), where M inverts the domains' token Gram matrix. One
    round is one aggregation to as many numbers as there are domains; a rate is the same function of the posterior
@@ -33,7 +33,7 @@ SAMPLE = 20_000
 WORDS_PER_DOMAIN = 256
 LEAST_SEEN = 4
 #: A telling word is at least so many times as frequent in its domain as outside.
-TELLS = 4
+TELLS = 2
 LOOKUP = 128
 VARIETY = (0.2, 0.35, 0.5, 0.7)
 ROUNDS = 12
@@ -62,7 +62,7 @@ def _variety(distinct: Column, words: Column) -> Column:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Log likelihoods by domain: priors, listed words, whether any word listed for a domain is there, and level of
-    variety. The driver sees at most 2 * WORDS_PER_DOMAIN words and a few sums."""
+    variety. The driver sees at most 3 * WORDS_PER_DOMAIN words and a few sums."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(domain).alias("domain"))
     few = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -77,7 +77,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         model["variety"][v] = [math.log((sums.get((k, v), 0) + 0.5) / (size[k] + 0.5 * (len(VARIETY) + 1))) for k in range(3)]
     seen = known.select("domain", F.explode("w").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == k).alias(f"n{k}") for k in range(3)])
     seen = checkpointed(seen.where(F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_SEEN))
-    for k in (1, 2):
+    for k in range(3):
         inside = (F.col(f"n{k}") + 0.1) / (size[k] + 1)
         outside = (sum(F.col(f"n{j}") for j in range(3) if j != k) + 0.1) / (total - size[k] + 1)
         # how much a document with the word tells, times how often it does
@@ -85,8 +85,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for r in seen.where(inside > TELLS * outside).orderBy(F.desc(tells), "word").limit(WORDS_PER_DOMAIN).collect():
             model["words"][k][r["word"]] = [math.log((r[f"n{j}"] + 0.5) / (size[j] + 1)) for j in range(3)]
     listed = [F.array(*map(F.lit, sorted(words) or [""])) for words in model["words"]]
-    found = known.groupBy("domain", *[F.arrays_overlap("w", listed[k]).alias(f"any{k}") for k in (1, 2)]).agg(F.count("*").alias("n")).collect()
-    for k in (1, 2):
+    found = known.groupBy("domain", *[F.arrays_overlap("w", listed[k]).alias(f"any{k}") for k in range(3)]).agg(F.count("*").alias("n")).collect()
+    for k in range(3):
         for there in (False, True):
             n = [sum(r["n"] for r in found if r["domain"] == j and bool(r[f"any{k}"]) == there) for j in range(3)]
             model["any"][k, there] = [math.log((n[j] + 0.5) / (size[j] + 1)) for j in range(3)]
@@ -98,13 +98,14 @@ def _judged(docs: DataFrame, keep: list[Column], model: dict) -> DataFrame:
     number = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     listed = sorted({w for words in model["words"] for w in words}) or [""]
     # words and scores by a hash of the word: looking one up in a map or a long array would pass all others
-    places: list[list[tuple[str, int, list[float]]]] = [[] for _ in range(LOOKUP)]
+    places: list[dict[str, list[list[float]]]] = [{} for _ in range(LOOKUP)]
     for k, words in enumerate(model["words"]):
         for w, x in sorted(words.items()):
-            # being there at all is counted once for a domain's words; a word adds how it differs from its like
-            places[zlib.crc32(w.encode()) % LOOKUP].append((w, k, [a - b for a, b in zip(x, model["any"][k, True])]))
-    words_at = F.array(*[F.array(*[F.lit(w) for w, _, _ in at]).cast("array<string>") for at in places])
-    scores_at = F.array(*[F.array(*[number([k, *x]) for _, k, x in at]).cast("array<array<double>>") for at in places])
+            # being there at all is counted once for a domain's words; a word adds how it differs from its like. A word
+            # may be telling for two domains.
+            places[zlib.crc32(w.encode()) % LOOKUP].setdefault(w, []).append([k, *[a - b for a, b in zip(x, model["any"][k, True])]])
+    words_at = F.array(*[F.array(*map(F.lit, at)).cast("array<string>") for at in places])
+    scores_at = F.array(*[F.array(*[F.array(*map(number, x)) for x in at.values()]).cast("array<array<array<double>>>") for at in places])
 
     def looked_up(w: Column) -> Column:
         place = (F.crc32(w.cast("binary")) % LOOKUP).cast("int")
@@ -120,7 +121,7 @@ def _judged(docs: DataFrame, keep: list[Column], model: dict) -> DataFrame:
 
     def score(level: Column, by: list[Column], j: int) -> Column:
         z = F.lit(float(model["prior"][j])) + F.get(F.get(levels, level), j)
-        for k, hits in zip((1, 2), by):
+        for k, hits in zip(range(3), by):
             # the mean of what the words found say, as they seldom are independent
             mean = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x[j + 1]) / F.greatest(F.lit(1), F.size(hits))
             z = z + F.when(F.size(hits) > 0, F.lit(float(model["any"][k, True][j])) + mean).otherwise(F.lit(float(model["any"][k, False][j])))
@@ -128,10 +129,10 @@ def _judged(docs: DataFrame, keep: list[Column], model: dict) -> DataFrame:
 
     def scores(level: Column, hits: Column) -> Column:
         of = lambda k: F.filter(hits, lambda x: x[0] == k)
-        return _let(F.struct(of(1).alias("a"), of(2).alias("b")), lambda x: F.array(*[score(level, [x["a"], x["b"]], j) for j in range(3)]))
+        return _let(F.struct(*[of(k).alias(d) for k, d in enumerate(DOMAINS)]), lambda x: F.array(*[score(level, [x[d] for d in DOMAINS], j) for j in range(3)]))
 
     def judged(x: Column) -> Column:
-        hits = F.filter(F.transform(x["_found"], looked_up), lambda h: h.isNotNull())
+        hits = F.flatten(F.filter(F.transform(x["_found"], looked_up), lambda h: h.isNotNull()))
         level = _variety(x["_distinct"], x["tokens"])
         odds = _let(_let(hits, lambda h: scores(level, h)), lambda s: _let(F.array_max(s), lambda top: F.transform(s, lambda z: F.exp(F.greatest(F.lit(-60.0), z - top)))))
         return _let(odds, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda z: z / total)))
