@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join: which documents have word 5-gram sets of similarity 0.8 or more.
 
 1. Documents with equal 5-gram sets are one node (with its number of copies).
-2. A MinHash LSH forest proposes pairs: TREES prefix tries over signatures. Matched prefixes start at full DEPTH and
-   shorten until the chance to share a prefix in some tree reaches RECALL for a pair at the threshold. A trie node's
-   members are compared by signature, in blocks of BLOCK, and leave a spanning forest of likely pairs (LIKELY is far
-   enough below the threshold to lose none).
+2. MinHash bands propose pairs: TREES bands of at most DEPTH values each, grouped by a hash. There are no sorted tries; a
+   formula chooses the length of a band, the longest at which the chance to share one reaches RECALL for a pair at the
+   threshold (at 0.8 that is DEPTH). A band's members are compared by signature, in blocks of BLOCK, and leave a spanning
+   forest of likely pairs (LIKELY is far enough below the threshold to lose none).
 3. The forest's components gather their members' whole 5-gram sets once; every pair in a component is verified exactly,
    block against block. What leaves a block is a count of links per node and a spanning forest, never the pairs.
 
