@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read from there: like `checkpointed`, for tables of which later
+    steps read few columns."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}")
+    return df.sparkSession.read.parquet(path)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, spread: str = "rid", buckets: int = NUMBER_BUCKETS) -> DataFrame:
     """Add `name`: 0, 1, 2, ... within each combination of `keys`, without ever sorting one key's rows in one task.
 

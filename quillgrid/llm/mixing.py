@@ -4,9 +4,12 @@
    every document a posterior over the domains good, poor and toxic. Its features: at most WORDS_PER_DOMAIN telling
    words of each domain (whether any is there, and which), and how varied the words are.
 2. Nonnegative rates r are fitted to the expected tokens of each domain, sum of r * tokens * posterior, by projected
-   gradient least squares: r <- clip(r - posterior . M (A r - t)), where M inverts the domains' token Gram matrix. One
-   round is one aggregation to as many numbers as there are domains; a rate is the same function of the posterior
-   for every document, so no state is joined.
+   gradient least squares: r = clip(1 - posterior . sum of M (A r - t)), where M inverts the token Gram matrix of the
+   documents inside their bounds. One round is one aggregation to a few numbers; a rate is the same function of the
+   posterior for every document, so no state is joined. Rounds go on until the totals stand.
+
+Targets may be out of reach: no mix holds more of a domain than the document surest of it. The fit then comes as near as
+rates up to `most` can, and says so (`met`).
 
 Cases: null or empty text has no tokens and a rate like any other with its posterior; texts of any length are read
 whole; null doc_ids are never labelled; repeated rows count each; a document with several labels takes the worst;
@@ -19,25 +22,34 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of the mix. The budget is the one at which the first domain keeps its own tokens.
-TARGETS = {"good": 0.98, "poor": 0.015, "toxic": 0.005}
+TARGETS = {"good": 0.9775, "poor": 0.015, "toxic": 0.0075}
 SAMPLE = 20_000
 WORDS_PER_DOMAIN = 256
 LEAST_SEEN = 4
 #: A telling word is at least so many times as frequent in its domain as outside.
 TELLS = 2
+#: and its count times the log of that ratio is at least this: with some thousand words, a few pass by chance.
+SURE = 6.0
 LOOKUP = 128
 VARIETY = (0.2, 0.35, 0.5, 0.7)
-ROUNDS = 12
+#: Rounds at most; some ten are needed.
+ROUNDS = 60
+#: The greatest rate unless a caller says otherwise: a text seen more often than this is learnt by heart.
 MOST = 4.0
+#: How much the targets weigh against rates near 1, and the share of all tokens by which totals may miss a target.
+STIFF = 1e5
+CLOSE = 1e-3
+SEED = 61
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,7 +94,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         outside = (sum(F.col(f"n{j}") for j in range(3) if j != k) + 0.1) / (total - size[k] + 1)
         # how much a document with the word tells, times how often it does
         tells = F.log(inside / outside) * F.sqrt(inside)
-        for r in seen.where(inside > TELLS * outside).orderBy(F.desc(tells), "word").limit(WORDS_PER_DOMAIN).collect():
+        sure = F.col(f"n{k}") * F.log(inside / outside) >= SURE
+        for r in seen.where((inside > TELLS * outside) & sure).orderBy(F.desc(tells), "word").limit(WORDS_PER_DOMAIN).collect():
             model["words"][k][r["word"]] = [math.log((r[f"n{j}"] + 0.5) / (size[j] + 1)) for j in range(3)]
     listed = [F.array(*map(F.lit, sorted(words) or [""])) for words in model["words"]]
     found = known.groupBy("domain", *[F.arrays_overlap("w", listed[k]).alias(f"any{k}") for k in range(3)]).agg(F.count("*").alias("n")).collect()
@@ -140,46 +153,87 @@ def _judged(docs: DataFrame, keep: list[Column], model: dict) -> DataFrame:
     return split.select(*names, "tokens", _let(F.struct("_found", "_distinct", "tokens"), judged).alias("p"))
 
 
-def _rate(steps: list[np.ndarray], most: float) -> Column:
-    """The rate of a document with posteriors p after these steps."""
-    r = F.lit(1.0)
-    for g in steps:
-        r = F.least(F.lit(most), F.greatest(F.lit(0.0), r - sum(F.get("p", i) * float(x) for i, x in enumerate(g))))
-    return r
+def _members(judged: DataFrame) -> DataFrame:
+    """judged with one column for each domain's posterior instead of p."""
+    names = [c for c in judged.columns if c != "p"]
+    return judged.select(*names, *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
+
+
+def _rate(steps: np.ndarray, most: float) -> Column:
+    """The rate of a document: 1 less the steps' sum along its posteriors, projected to 0 ... most."""
+    r = F.lit(1.0) - sum(F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, steps))
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r))
+
 
+@dataclass(frozen=True)
+class Fit:
+    """What a fit came to: the steps' sum, wanted and reached tokens by domain, and whether those agree."""
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, most: float = MOST) -> list[np.ndarray]:
-    """The steps of projected gradient from members (tokens, p): one aggregation to three numbers each."""
+    steps: np.ndarray
+    wanted: np.ndarray
+    reached: np.ndarray
+    met: bool
+
+
+def _totals(members: DataFrame, tried: list[np.ndarray], most: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of some steps the domains' expected tokens, and the Gram matrix of documents within their bounds: one
+    aggregation to as many numbers as there are pairs of domains."""
+    share = [F.col(f"p_{d}") for d in DOMAINS]
     n = len(DOMAINS)
-    share = [F.get("p", i) for i in range(n)]
-    first = members.agg(*[F.sum(F.col("tokens") * share[i] * share[j]).alias(f"g{i}{j}") for i in range(n) for j in range(i, n)], *[F.sum(F.col("tokens") * s).alias(f"t{i}") for i, s in enumerate(share)]).first()
-    if not first["t0"]:
-        return []
-    gram = np.array([[first[f"g{min(i, j)}{max(i, j)}"] for j in range(n)] for i in range(n)])
-    inverse = np.linalg.inv(gram + np.eye(n) * 1e-9 * np.trace(gram))
-    wanted = np.array([targets[d] for d in DOMAINS]) * first["t0"] / targets[DOMAINS[0]]
-    steps: list[np.ndarray] = []
+    rated = members.select("tokens", *share, *[_rate(x, most).alias(f"r{k}") for k, x in enumerate(tried)])
+    sums = []
+    for k in range(len(tried)):
+        r = F.col(f"r{k}")
+        inside = F.when((r > 0) & (r < most), F.col("tokens")).otherwise(0)
+        sums += [F.sum(r * F.col("tokens") * s).alias(f"t{k}{i}") for i, s in enumerate(share)]
+        sums += [F.sum(inside * share[i] * share[j]).alias(f"g{k}{i}{j}") for i in range(n) for j in range(i, n)]
+    got = rated.agg(*sums).first()
+    number = lambda name: float(got[name] or 0)
+    return [(np.array([number(f"t{k}{i}") for i in range(n)]), np.array([[number(f"g{k}{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)])) for k in range(len(tried))]
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, rounds: int = ROUNDS, most: float = MOST) -> Fit:
+    """Projected gradient least squares over members (tokens, p_<domain>): rates 0 ... most with the least
+    |A r - t|^2 + sum of tokens * (r - 1)^2 / STIFF. A round's gradient is scaled by the Gram matrix of the documents
+    that are inside their bounds; several lengths of the step are tried in the round's one aggregation."""
+    n = len(DOMAINS)
+    steps = np.zeros(n)
+    (first, gram), = _totals(members, [steps], most)
+    total = first.sum()
+    if not total:
+        return Fit(steps, first, first, True)
+    wanted = np.array([targets[d] for d in DOMAINS]) * first[0] / targets[DOMAINS[0]]
+    error = lambda x, t: x / STIFF - (t - wanted) / total
+    now = first
     for _ in range(rounds):
-        got = members.select("tokens", "p", _rate(steps, most).alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * s).alias(f"t{i}") for i, s in enumerate(share)]).first()
-        error = np.array([got[f"t{i}"] for i in range(n)]) - wanted
-        if np.abs(error).max() <= 1e-6 * wanted.sum():
+        e = error(steps, now)
+        if np.abs(e).max() < 1e-9:
+            break
+        step = np.linalg.solve(np.eye(n) / STIFF + gram / total, e)
+        tried = [steps - step * 0.3**k for k in range(3)]
+        found = _totals(members, tried, most)
+        best = min(range(len(tried)), key=lambda k: float(np.linalg.norm(error(tried[k], found[k][0]))))
+        if np.linalg.norm(error(tried[best], found[best][0])) > 0.995 * np.linalg.norm(e):  # out of reach
             break
-        steps.append(inverse @ error)
-    return steps
+        steps, (now, gram) = tried[best], found[best]
+    return Fit(steps, wanted, now, bool(np.abs(now - wanted).max() <= CLOSE * wanted.sum()))
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, tokens, p_<domain> and rate for each document."""
-    members = checkpointed(_judged(docs, [F.col("doc_id")], fit_classifier(docs, labels)))
-    rate = _rate(fit_rates(members, targets), MOST)
-    return members.select("doc_id", "tokens", *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> DataFrame:
+    """doc_id, tokens, p_<domain>, rate for each document, and met: whether the rates reach the targets (false where no
+    rates up to `most` can)."""
+    members = checkpointed(_members(_judged(docs, [F.col("doc_id")], fit_classifier(docs, labels))))
+    fit = fit_rates(members, targets, most=most)
+    return members.select("doc_id", "tokens", *[f"p_{d}" for d in DOMAINS], _rate(fit.steps, most).alias("rate"), F.lit(fit.met).alias("met"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs, all columns as they were, each row as often as its rate rounds to (so a rate below 0.5 drops it)."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> DataFrame:
+    """docs, all columns as they were, each row as often as its rate says: the whole part of the rate, and once more
+    where a hash of the row's number falls below the rest. Sums over the domains stay at their targets by that."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    model = fit_classifier(docs, labels)
-    members = checkpointed(_judged(docs, [], model))
-    times = F.floor(_rate(fit_rates(members, targets), MOST) + 0.5).cast("int")
-    rated = _judged(docs, [row], model).select("row", times.alias("times"))
-    return rated.where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    # Texts are judged once. As Parquet the fit reads its few columns only.
+    judged = written(_members(_judged(docs, [row], fit_classifier(docs, labels))).withColumn("nth", F.monotonically_increasing_id()))
+    rate = _rate(fit_rates(judged.select("tokens", *[f"p_{d}" for d in DOMAINS]), targets, most=most).steps, most)
+    chance = F.pmod(F.xxhash64("nth", F.lit(SEED)), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    times = F.floor(rate + 1 - chance).cast("int")
+    return judged.select("row", times.alias("times")).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
