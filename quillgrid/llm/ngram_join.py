@@ -1,12 +1,18 @@
-"""N-gram Jaccard self-join: which documents have word 5-gram sets of similarity 0.8 or more.
+"""N-gram Jaccard self-join: which documents have word 5-gram sets of similarity 0.8 or more, by a MinHash LSH forest.
 
 1. Documents with equal 5-gram sets are one node (with its number of copies).
-2. MinHash bands propose pairs: TREES bands of at most DEPTH values each, grouped by a hash. There are no sorted tries; a
-   formula chooses the length of a band, the longest at which the chance to share one reaches RECALL for a pair at the
-   threshold (at 0.8 that is DEPTH). A band's members are compared by signature, in blocks of BLOCK, and leave a spanning
-   forest of likely pairs (LIKELY is far enough below the threshold to lose none).
-3. The forest's components gather their members' whole 5-gram sets once; every pair in a component is verified exactly,
-   block against block. What leaves a block is a count of links per node and a spanning forest, never the pairs.
+2. The forest: TREES prefix tries over signatures of DEPTH MinHash values each. A trie's subtrees below the shortest prefix
+   that may be needed are dealt to tasks and read there in the order of their signatures; two nodes meet at the length of
+   the longest prefix they share in any tree. Pairs whose whole signatures could not come from similar sets are left out.
+3. Prefixes begin long and are shortened step by step: at each length the pairs that meet there, and not before, are
+   verified exactly on their whole 5-gram sets. A verified pair of similarity s had the chance 1 - (1 - s^length)^TREES to
+   be met so far; when the links found, each counted by one over that chance, say that RECALL of all links is found (and a
+   pair just at the threshold would be with chance LEAST), shortening ends. At the shortest length even such a pair is met
+   with chance RECALL.
+4. A pair is verified once, in the first tree where it shares the shortest prefix. What leaves a block is a count of links
+   for each node and a few edges, never the pairs; a subtree too large for a task is cut into blocks, and each pair of
+   blocks is a piece of work of its own. Nothing is compared but nodes of one subtree, so chains of similar texts stay
+   apart until the links themselves are put together.
 
 Words are runs of anything but the six ASCII white-space characters. A text of one to four words is one n-gram; texts
 without words form one group of copies. Links count documents: copies of a text link to one another and to all copies
@@ -20,6 +26,7 @@ result; other columns are ignored by `classes` and kept by `keep_one`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +38,17 @@ from .common import checkpointed
 
 WIDTH = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 4
-RECALL = 0.9999
-LIKELY = 0.55
-BLOCK = 512
+TREES, DEPTH = 20, 6
+#: Share of links to find, and the least chance of a pair at the threshold at the length shortening may end.
+RECALL, LEAST = 0.99995, 0.995
+#: Chance to lose a pair at the threshold by looking at its signatures first.
+LOSS = 1e-5
+#: Nodes of a block, and n-grams.
+BLOCK, BLOCK_GRAMS = 256, 4_000_000
+#: Of how many copies on a class is joined by broadcast: more than a thousandth of all rows, and more than this.
+HOT = 1000
+#: Places a key is met in where it may hold a third of all rows.
+SALTS = 16
 SEED = 977
 CACHE_WORDS = 400_000
 
@@ -80,24 +94,43 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def depth_for(threshold: float, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of this similarity meets in some tree with the wanted chance."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < recall:
-        depth -= 1
-    return depth
+def meets(similarity: float | np.ndarray, length: int) -> float | np.ndarray:
+    """The chance to share a prefix of this length in some tree."""
+    return 1 - (1 - similarity**length) ** TREES
 
 
-def _spanning(linked: np.ndarray) -> np.ndarray:
-    """The first member of each row's component in a symmetric boolean matrix."""
-    root = np.full(len(linked), -1)
-    for i in range(len(linked)):
-        if root[i] < 0:
-            root[i], edge = i, np.array([i])
+def lengths(threshold: float) -> list[int]:
+    """The prefix lengths to go through, from the longest at which a pair at the threshold meets with chance LEAST to the
+    longest at which it does with chance RECALL."""
+    reach = lambda wanted: max((d for d in range(1, DEPTH + 1) if meets(threshold, d) >= wanted), default=1)
+    return list(range(reach(LEAST), reach(RECALL) - 1, -1))
+
+
+def least_equal(threshold: float) -> int:
+    """How many signature values a pair at the threshold shares but for a chance of LOSS."""
+    n, below = TREES * DEPTH, 0.0
+    for k in range(n + 1):
+        below += comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if below > LOSS:
+            return k
+    return n
+
+
+def _chained(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) that connect each component of a symmetric boolean matrix, as paths: no node has many."""
+    done, one, other = np.zeros(len(linked), dtype=bool), [], []
+    for i in np.flatnonzero(linked.any(axis=0)):
+        if not done[i]:
+            part = edge = np.array([i])
+            done[i] = True
             while len(edge):
-                edge = np.flatnonzero(linked[edge].any(axis=0) & (root < 0))
-                root[edge] = i
-    return root
+                edge = np.flatnonzero(linked[edge].any(axis=0) & ~done)
+                done[edge] = True
+                part = np.concatenate([part, edge])
+            one.append(part[:-1])
+            other.append(part[1:])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *other])
 
 
 def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
@@ -144,30 +177,36 @@ def _sides(mine: list[int], a: int, b: int) -> np.ndarray:
     return np.ones((len(side), len(side)), dtype=bool) if a == b else side[:, None] != side[None, :]
 
 
-def _block_pairs(df: DataFrame, key: str, size: str) -> DataFrame:
-    """Each row once for every pair of blocks (a, b), a <= b, that its block takes part in."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    cut = df.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _block_pairs(df: DataFrame, key: str) -> DataFrame:
+    """Each row once for every pair of blocks (a, b), a <= b, that its block takes part in; `blocks` tells how many."""
+    cut = df.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-    return cut.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "node")
+    return cut.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "sig", "node")
+
+
+def _salted(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """many join one, where a key may have a third of all rows of `many` and has one row of `one`: they meet it in SALTS
+    places, by a hash of `spread`."""
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(one, [*keys, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (the component's smallest node) for all nodes of edges (node, to), by spreading least labels and
-    jumping to labels' labels, until nothing changes."""
+    jumping to labels' labels, until nothing changes: labels only fall, so it ends."""
     both = checkpointed(edges.select("node", "to").union(edges.select("to", "node")).distinct())
     labels = checkpointed(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")))
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = checkpointed(spread.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
-        changed = not after.where(F.col("label") != F.col("old")).isEmpty()
+        # where a label's node has a smaller label by now
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further")).where("label != further")
+        jump = jump.join(labels.select("label").distinct(), "label")
+        after = checkpointed(_salted(spread, jump, ["label"], ["node"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = after.select("node", "label")
-        if not changed:
+        if after.where(F.col("label") != F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -193,87 +232,181 @@ def _signed(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, s1 long, s2 long, n long, sig binary")
 
 
-def _likely(nodes: DataFrame, depth: int) -> DataFrame:
-    """Edges (node, to) of a spanning forest over each trie node's likely pairs."""
+def _prefixes(sig: np.ndarray, length: int) -> np.ndarray:
+    """Nodes x trees: a hash of the tree and the first values of each signature there."""
+    h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sig.shape[:2])
+    for d in range(length):
+        h = _mix(h, _M1) + sig[:, :, d].astype(np.uint64)
+    return _mix(h, _M2)
+
+
+def _signatures(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), TREES, DEPTH)
+
+
+class _Meetings:
+    """Where the pairs of some nodes of a tree's subtree meet."""
+
+    def __init__(self, sig: np.ndarray, tree: int, steps: list[int], side: np.ndarray) -> None:
+        self.sig, self.steps = sig, steps
+        short = _prefixes(sig, steps[-1])
+        first = side.copy()
+        for t in range(tree):  # a pair counts in the first tree where it shares the shortest prefix
+            first &= short[:, t][:, None] != short[:, t][None, :]
+        np.fill_diagonal(first, False)
+        self.first = first
+
+    def at(self, k: int) -> np.ndarray:
+        """Pairs whose longest shared prefix in any tree has the k-th of the lengths (the first: or is longer)."""
+        now = self.first.copy()
+        if k < len(self.steps) - 1:
+            now &= self._share(self.steps[k])
+        return now & ~self._share(self.steps[k - 1]) if k else now
+
+    def _share(self, length: int) -> np.ndarray:
+        h = _prefixes(self.sig, length)
+        out = np.zeros(self.first.shape, dtype=bool)
+        for c in h.T:
+            out |= c[:, None] == c[None, :]
+        return out
+
+    def equal(self) -> np.ndarray:
+        """How many signature values each pair shares."""
+        same = np.zeros(self.first.shape, dtype=np.uint8)
+        for c in self.sig.reshape(len(self.sig), -1).T:
+            same += c[:, None] == c[None, :]
+        return same
+
+
+def _subtrees(nodes: DataFrame, length: int) -> DataFrame:
+    """key, tree, node: the nodes of each subtree below a prefix of this length that holds two or more. Of subtrees with the
+    very same nodes the first tree's is taken, where all their pairs count."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, TREES, DEPTH)
-                node = batch.column(0).to_numpy()
+                h = _prefixes(_signatures(batch.column(1).to_pylist()), length)
                 for t in range(TREES):
-                    h = np.full(len(node), t + 1, dtype=np.uint64)
-                    for d in range(depth):
-                        h = _mix(h, _M1) + sig[:, t, d].astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(_mix(h, _M2).astype(np.int64)), pa.array(node)], names=["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, t].astype(np.int64)), pa.array(np.full(len(h), t, dtype=np.int32)), batch.column(0)], names=["key", "tree", "node"])
+
+    entries = checkpointed(nodes.where("n > 0").select("node", "sig").mapInArrow(prefixes, "key long, tree int, node long"))
+    met = entries.groupBy("key", "tree").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
+    once = met.groupBy("size", "who").agg(F.min(F.struct("tree", "key")).alias("first"))
+    return _salted(entries, once.select("first.key", "first.tree"), ["key", "tree"], ["node"])
+
 
-    entries = checkpointed(nodes.where("n > 0").select("node", "sig").mapInArrow(prefixes, "key long, node long"))
-    met = entries.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
-    # trees that meet in the very same members are looked at once
-    once = met.groupBy("size", "who").agg(F.min("key").alias("key"))
-    members = entries.join(once.select("key", "size"), "key").join(nodes.select("node", "sig"), "node")
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (key, n and others) with the number of blocks their key is cut into, by nodes and by n-grams."""
+    size = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("size"))
+    return _salted(members, size.where("size > 1").drop("size"), ["key"], ["node"])
+
+
+def _likely(nodes: DataFrame, threshold: float, steps: list[int]) -> DataFrame:
+    """key, tree, node, at: which nodes of a subtree may be similar to others that they meet there, as a bit for each of the
+    lengths (the k-th) at which they meet."""
+    members = _blocks(_subtrees(nodes, steps[-1]).join(nodes.select("node", "n", "sig"), "node"))
+    enough = least_equal(threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b), (node, sig, mine) in _groups(batches, 3):
-            x = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(len(node), -1)
-            same = np.zeros((len(node), len(node)), dtype=np.uint8)
-            for c in x.T:
-                same += c[:, None] == c[None, :]
-            root = _spanning((same >= LIKELY * x.shape[1]) & _sides(mine, a, b))
-            at = np.flatnonzero(root != np.arange(len(root)))
+        for (key, a, b), (tree, node, sig, mine) in _groups(batches, 3):
+            met = _Meetings(_signatures(sig), tree[0], steps, _sides(mine, a, b))
+            if not met.first.any():
+                continue
+            close = met.equal() >= enough
+            bits = np.zeros(len(node), dtype=np.int32)
+            for k in range(len(steps)):
+                bits |= (met.at(k) & close).any(axis=1).astype(np.int32) << k
+            at = np.flatnonzero(bits)
             if len(at):
-                n = np.array(node)
-                yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(n[root[at]])], names=["node", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(np.full(len(at), tree[0], dtype=np.int32)), pa.array(np.array(node)[at]), pa.array(bits[at])], names=["key", "tree", "node", "at"])
 
-    return _block_pairs(members, "key", "size").select("key", "a", "b", "node", "sig", "mine").mapInArrow(compare, "node long, to long")
+    pairs = _block_pairs(members, "key").select("key", "a", "b", "tree", "node", "sig", "mine")
+    return pairs.mapInArrow(compare, "key long, tree int, node long, at int").groupBy("key", "tree", "node").agg(F.bit_or("at").alias("at"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """node, links, to: for each node and block pair the linked documents in it and an edge of a spanning forest."""
-    sizes = parts.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
-    wanted = parts.join(sizes, "label").join(nodes.select("node", "k1", "k2", "copies"), "node")
+def _sets(docs: DataFrame, nodes: DataFrame, likely: DataFrame) -> DataFrame:
+    """node, copies, n, sig, s: the whole n-gram sets of the nodes that may have links."""
+    wanted = nodes.join(likely.select("node").distinct(), "node").select("node", "k1", "k2", "copies", "n", "sig")
     found = _texts(docs).select("k1", "k2", "text").join(wanted, ["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(x.as_py()).tobytes() for x in batch.column(4)], pa.large_binary())], names=["label", "size", "node", "copies", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(x.as_py()).tobytes() for x in batch.column(4)], pa.large_binary())], names=["node", "copies", "n", "sig", "s"])
         _WORDS.clear()
 
-    sets = found.select("label", "size", "node", "copies", "text").mapInArrow(cut, "label long, size long, node long, copies long, s binary").dropDuplicates(["node"])
+    return found.select("node", "copies", "n", "sig", "text").mapInArrow(cut, "node long, copies long, n long, sig binary, s binary").dropDuplicates(["node"])
+
+
+def _verified(sets: DataFrame, likely: DataFrame, threshold: float, steps: list[int], k: int) -> DataFrame:
+    """For each node and block pair at the k-th length: node, links (documents linked to it), to (null, or the end of an
+    edge), and w0, w1, ...: its linked nodes, each by one over its chance to be met at that length or before."""
+    members = _blocks(likely.where(F.col("at").bitwiseAND(1 << k) != 0).select("key", "tree", "node").join(sets, "node"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b), (node, copies, s, mine) in _groups(batches, 3):
-            close = (_jaccard([np.frombuffer(x, dtype=np.uint64) for x in s]) >= threshold - 1e-12) & _sides(mine, a, b)
-            np.fill_diagonal(close, False)
+        for (_, a, b), (tree, node, copies, sig, s, mine) in _groups(batches, 3):
+            now = _Meetings(_signatures(sig), tree[0], steps, _sides(mine, a, b)).at(k)
+            if not now.any():
+                continue
+            alike = _jaccard([np.frombuffer(x, dtype=np.uint64) for x in s])
+            close = (alike >= threshold - 1e-12) & now
             links = close @ np.array(copies, dtype=np.int64)
-            n = np.array(node)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(links.astype(np.int64)), pa.array(n[_spanning(close)])], names=["node", "links", "to"])
-
-    return _block_pairs(sets, "label", "size").select("label", "a", "b", "node", "copies", "s", "mine").mapInArrow(verify, "node long, links long, to long")
+            # n-grams are not empty here, so similarities that count are above 0
+            weights = [np.where(close, 1 / meets(np.where(close, alike, 1.0), d), 0.0).sum(axis=1) for d in steps]
+            one, other = _chained(close)
+            n, at = np.array(node), np.flatnonzero(links)
+            to = pa.array(np.concatenate([np.zeros(len(at), dtype=np.int64), n[other]]), mask=np.arange(len(at) + len(one)) < len(at))
+            none = np.zeros(len(one))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([n[at], n[one]])), pa.array(np.concatenate([links[at], none]).astype(np.int64)), to, pa.array(np.concatenate([close.sum(axis=1)[at], none]).astype(np.int64)), *[pa.array(np.concatenate([w[at], none])) for w in weights]], names=names)
+
+    names = ["node", "links", "to", "partners", *[f"w{i}" for i in range(len(steps))]]
+    layout = "node long, links long, to long, partners long, " + ", ".join(f"w{i} double" for i in range(len(steps)))
+    return _block_pairs(members, "key").select("key", "a", "b", "tree", "node", "copies", "sig", "s", "mine").mapInArrow(verify, layout)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """node, links, to: all verified links, prefixes shortened until enough of them are found."""
+    steps = lengths(threshold)
+    likely = checkpointed(_likely(nodes, threshold, steps))
+    sets = checkpointed(_sets(docs, nodes, likely))
+    out = None
+    for k in range(len(steps)):
+        new = checkpointed(_verified(sets, likely, threshold, steps, k))
+        out = new if out is None else out.unionByName(new)
+        seen = out.agg(F.sum("partners"), F.sum(f"w{k}")).first()
+        if seen[0] and seen[0] >= RECALL * seen[1]:
+            break
+    return out.select("node", "links", "to")
 
 
 def _joined(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, k1, k2, s1, s2), and nodes (s1, s2, class_id, n_links, best: is it the class's first, k1, k2)."""
+    """Documents (doc_id, k1, k2, s1, s2), and nodes (s1, s2, copies, n_links, head: the class's first (doc_id, k1, k2))."""
     signed = checkpointed(_signed(docs))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
     nodes = signed.groupBy("s1", "s2", "n").agg(F.count("*").alias("copies"), F.min(first).alias("f"), F.min("sig").alias("sig"))
     nodes = checkpointed(nodes.select("s1", "s2", "n", "copies", "f", "f.k1", "f.k2", "sig", F.monotonically_increasing_id().alias("node")))
-    likely = _likely(nodes, depth_for(threshold))
-    checked = checkpointed(_verified(docs, nodes, components(likely), threshold))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(checked.where("node != to").select("node", "to"))
+    found = _links(docs, nodes, threshold)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(found.where("to is not null"))
     named = nodes.join(links, "node", "left").join(labels, "node", "left")
-    named = named.select("s1", "s2", "f", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "node").alias("label"))
-    named = checkpointed(named)
-    heads = named.groupBy("label").agg(F.min("f").alias("head"))
-    return signed.select("doc_id", "k1", "k2", "s1", "s2"), named.join(heads, "label").select("s1", "s2", "n_links", "head")
+    named = checkpointed(named.select("s1", "s2", "copies", "f", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "label"))
+    heads = named.where("label is not null").groupBy("label").agg(F.min("f").alias("head"))
+    linked = _salted(named.where("label is not null"), heads, ["label"], ["s1", "s2"])
+    columns = ["s1", "s2", "copies", "n_links", "head"]
+    every = linked.select(*columns).unionByName(named.where("label is null").withColumn("head", F.col("f")).select(*columns))
+    return signed.select("doc_id", "k1", "k2", "s1", "s2"), checkpointed(every)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest doc_id of all that links of similarity >= threshold
     connect) and n_links (documents linked directly, copies among them)."""
     rows, nodes = _joined(docs, threshold)
-    return rows.join(nodes, ["s1", "s2"]).select("doc_id", F.col("head.doc_id").alias("class_id"), "n_links")
+    nodes = nodes.select("s1", "s2", "copies", F.col("head.doc_id").alias("class_id"), "n_links")
+    most = max(HOT, rows.count() // 1000)
+    # at most a thousand sets have that many copies
+    hot = nodes.where(F.col("copies") > most).select("s1", "s2", F.col("class_id").alias("hot_id"), F.col("n_links").alias("hot_links"))
+    told = rows.select("doc_id", "s1", "s2").join(F.broadcast(hot), ["s1", "s2"], "left")
+    rest = told.where("hot_links is null").select("doc_id", "s1", "s2").join(nodes.where(F.col("copies") <= most), ["s1", "s2"])
+    return told.where("hot_links is not null").select("doc_id", F.col("hot_id").alias("class_id"), F.col("hot_links").alias("n_links")).unionByName(rest.select("doc_id", "class_id", "n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

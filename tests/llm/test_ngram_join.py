@@ -106,8 +106,66 @@ def test_exact_similarity_matrix():
             assert abs(got[i, j] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 1e-12
 
 
-def test_depth():
-    assert ngram_join.depth_for(0.8) == 4 and ngram_join.depth_for(0.6) < 4
+def test_lengths_shorten_from_least_to_recall():
+    assert ngram_join.lengths(0.8) == [6, 5, 4]
+    for t in (0.5, 0.6, 0.8, 0.95):
+        steps = ngram_join.lengths(t)
+        assert ngram_join.meets(t, steps[0]) >= ngram_join.LEAST or steps == [1]
+        assert ngram_join.meets(t, steps[-1]) >= ngram_join.RECALL and steps == sorted(steps, reverse=True)
+
+
+def test_least_equal_loses_no_pair_at_the_threshold():
+    r = np.random.default_rng(1)
+    for t in (0.5, 0.8):
+        assert (r.binomial(ngram_join.TREES * ngram_join.DEPTH, t, 200_000) < ngram_join.least_equal(t)).mean() < 1e-4
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_recall_at_other_thresholds(spark, rows, threshold):
+    some = [x for x in rows if x[0] is None or x[0] < 20_030]
+    got = Counter()
+    for r in ngram_join.classes(spark.createDataFrame(some, "doc_id long, text string"), threshold).collect():
+        got[r["doc_id"]] += r["n_links"]
+    want = Counter()
+    for (d, _, n), k in brute(some, threshold).items():
+        want[d] += n * k
+    assert all(got[d] <= want[d] for d in want) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_pairs_are_met_once_and_at_their_longest_prefix():
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 3, size=(30, ngram_join.TREES, ngram_join.DEPTH)).astype(np.uint32)
+    steps = [4, 3, 2]
+    everywhere = np.ones((30, 30), dtype=bool)
+    seen = np.zeros((len(steps), 30, 30), dtype=int)
+    for tree in range(ngram_join.TREES):
+        met = ngram_join._Meetings(sig, tree, steps, everywhere)
+        same = (sig[:, tree, : steps[-1]][:, None] == sig[:, tree, : steps[-1]][None]).all(axis=2)
+        for k in range(len(steps)):
+            seen[k] += met.at(k) & same
+    shared = lambda d: (sig[:, None, :, :d] == sig[None, :, :, :d]).all(axis=3).any(axis=2)
+    for k, d in enumerate(steps):
+        want = shared(d) & (~shared(steps[k - 1]) if k else True)
+        np.fill_diagonal(want, False)
+        assert (seen[k] == want).all()
+
+
+def test_chained_edges_connect_components_and_give_no_node_many():
+    r = np.random.default_rng(5)
+    linked = r.random((40, 40)) < 0.03
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    one, other = ngram_join._chained(linked)
+    assert np.bincount(np.concatenate([one, other])).max() <= 2
+    paths = np.zeros_like(linked)
+    paths[one, other] = paths[other, one] = True
+    reach = lambda m: np.linalg.matrix_power(m.astype(float) + np.eye(40), 40) > 0
+    assert (reach(linked) == reach(paths)).all()
+
+
+def test_a_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(700)], "node long, to long")
+    assert {r["label"] for r in ngram_join.components(edges).collect()} == {0}
 
 
 def test_empty(spark):
