@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 from .containers import SIGNATURE, chunk_list
 from .validators import _predicate, _rewrite, need, orientation
@@ -125,12 +126,9 @@ def clean_mp4(content: bytes) -> bytes:
             out[data + 4 : data + 4 + dates] = bytes(dates)
         elif kind == b"stsd":
             need(end - data >= 8)
-            at = data + 8
-            for _ in range(int.from_bytes(content[data + 4 : data + 8], "big")):
-                need(end - at >= 8)
-                size, form = struct.unpack_from(">I4s", content, at)
-                need(8 <= size <= end - at and form not in (b"encv", b"enca"))
-                at += size
+            count = int.from_bytes(content[data + 4 : data + 8], "big")
+            forms = [form for form, *_ in islice(nested_boxes(content, data + 8, end), count)]
+            need(len(forms) == count and not {b"encv", b"enca"} & set(forms))
     need({b"moov", b"mdat"} <= seen)
     return bytes(out)
 
@@ -156,29 +154,38 @@ def elements(content: bytes, at: int, end: int):  # noqa: ANN201
         at = data + size
 
 
+#: What happens to an element by the ids on the way to it: looked into, or replaced by filler. All others stay.
+LOOK_INTO, FILL = "look into", "fill"
+EBML_RULES = {(EBML_SEGMENT,): LOOK_INTO, (EBML_SEGMENT, EBML_TAGS): FILL, (EBML_SEGMENT, EBML_ATTACHMENTS): FILL, (EBML_SEGMENT, EBML_INFO): LOOK_INTO}
+EBML_RULES |= {(EBML_SEGMENT, EBML_INFO, note): FILL for note in EBML_INFO_NOTES}
+
+
+def filler(length: int) -> bytes:
+    """A filler element of that many bytes in all."""
+    width = 1 + sum(length > (1 << 7 * w) + w - 1 for w in range(1, 8))
+    need(length > width)
+    return bytes([EBML_FILLER]) + (1 << 7 * width | length - 1 - width).to_bytes(width, "big") + bytes(length - 1 - width)
+
+
 def clean_ebml(content: bytes) -> bytes:
     """Tags, attachments, and the title, programs and date of the segment's description become filler elements."""
-    out, found = bytearray(content), False
-    need(content[:4] == EBML_HEAD.to_bytes(4, "big") and len(content) >= 8)
-
-    def blank(start: int, end: int) -> None:
-        width = next(w for w in range(1, 9) if end - start - 1 - w < (1 << 7 * w) - 1)
-        size = end - start - 1 - width
-        need(size >= 0)
-        out[start:end] = bytes([EBML_FILLER]) + (size | 1 << 7 * width).to_bytes(width, "big") + bytes(size)
-
-    for kind, _, data, end in elements(content, 0, len(content)):
-        if kind == EBML_SEGMENT:
-            found = True
-            for inner, start, inside, stop in elements(content, data, end):
-                if inner in (EBML_TAGS, EBML_ATTACHMENTS):
-                    blank(start, stop)
-                elif inner == EBML_INFO:
-                    for note, a, _, b in elements(content, inside, stop):
-                        if note in EBML_INFO_NOTES:
-                            blank(a, b)
-    need(found)
-    return bytes(out)
+    need(len(content) >= 8 and int.from_bytes(content[:4], "big") == EBML_HEAD)
+    levels, filled, ways = [((), 0, len(content))], [], set()
+    while levels:
+        way, at, end = levels.pop()
+        for kind, start, data, stop in elements(content, at, end):
+            rule = EBML_RULES.get(here := (*way, kind))
+            if rule == LOOK_INTO:
+                levels.append((here, data, stop))
+                ways.add(here)
+            elif rule == FILL:
+                filled.append((start, stop))
+    need((EBML_SEGMENT,) in ways)
+    kept, at = [], 0
+    for start, stop in sorted(filled):
+        kept += [content[at:start], filler(stop - start)]
+        at = stop
+    return b"".join([*kept, content[at:]])
 
 
 # --- archives -----------------------------------------------------------------------------------------------------

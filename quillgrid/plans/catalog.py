@@ -662,19 +662,26 @@ def mp4_clean(spark, sf_dir):
     return d.select("doc_id", (F.octet_length("film") == F.octet_length("out")).alias("same_length"), F.contains("out", "t").alias("left_over"))
 
 
-@query("SELECT conv_id, text AS positive, 'worse, ' || role AS negative FROM conversations WHERE turn = 0 AND text <> ''")
+@query(rf"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '(?i)^(enable|disable|enabled|disabled|fixed|populate|reproduce|randomize|increment|decrement|normal|default|none|cpu|cuda|auto)$|(\.(safetensors|ckpt|gguf|pth|pt)|[\\/])$') THEN '' ELSE coalesce(text, '') END AS t FROM conversations)
+SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'seen' WHEN 1 THEN CASE WHEN t = '' THEN 'near' ELSE t || chr(10) || 'near' END ELSE t END AS positive,
+CASE WHEN conv_id % 4 = 3 THEN '{graphs.ZEROED}' ELSE 'worse' || coalesce(CASE WHEN role <> '' THEN ', ' || role END, '') END AS negative, CAST(CASE WHEN turn % 3 = 1 THEN 5 ELSE 4 END AS INT) AS upstream FROM c""")
 def graph_prompts(spark, sf_dir):
+    """A graph of each turn: its text as a primitive, next to another text or behind a snapshot by turn, and its role joined
+    to a word or zeroed by conversation."""
     link = lambda node, slot=0: F.array(F.lit(node), F.lit(str(slot)))
     node = lambda kind, *inputs: F.to_json(F.struct(F.lit(kind).alias("class_type"), F.struct(*inputs).alias("inputs")))
+    encoded = lambda *more: node("CLIPTextEncode", link("4").alias("text"), F.lit("x").alias("clip"), *more)
+    third, zeroed = F.col("turn") % 3, F.col("conv_id") % 4 == 3
     parts = {
         "1": node("KSampler", link("2").alias("positive"), link("3").alias("negative"), F.lit(20).alias("steps"), F.lit(7).alias("cfg"), F.lit(1).alias("seed")),
-        "2": node("CLIPTextEncode", link("4").alias("text"), F.lit("x").alias("clip")),
-        "3": node("StringConcatenate", F.lit("worse").alias("string_a"), F.col("role").alias("string_b"), F.lit(", ").alias("delimiter")),
+        "2": F.when(third == 2, encoded(F.lit("seen").alias("populated_text"))).when(third == 1, encoded(link("5").alias("text_2"))).otherwise(encoded()),
+        "3": F.when(zeroed, node("ConditioningZeroOut", F.lit("x").alias("conditioning"))).otherwise(node("StringConcatenate", F.lit("worse").alias("string_a"), F.col("role").alias("string_b"), F.lit(", ").alias("delimiter"))),
         "4": node("PrimitiveString", F.col("text").alias("value")),
+        "5": node("PrimitiveString", F.lit("near").alias("value")),
     }
     graph = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
-    c = table(spark, sf_dir, "conversations").where((F.col("turn") == 0) & (F.col("text") != ""))
-    return c.select("conv_id", graphs.samplers(graph, F.lit(None).cast("string"))[0].alias("s")).select("conv_id", "s.positive", "s.negative")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", graphs.samplers(graph, F.lit(None).cast("string"))[0].alias("s"))
+    return c.select("conv_id", "turn", "s.positive", "s.negative", "s.upstream")
 
 
 @query(r"""SELECT p_partkey, regexp_matches(n, '\S') AND NOT regexp_matches(n, '[\x00-\x1F<>:"/\\|?*]') AND NOT regexp_matches(n, '[. ]$') AND NOT regexp_matches(upper(n), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)') AS ok
