@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -55,9 +56,69 @@ def test_reliabilities():
     good = {"kind": 0, "strict": True, "n": 90, **dict.fromkeys(pii.VOTES, 1)}
     bad = {"kind": 0, "strict": False, "n": 90, **dict.fromkeys(pii.VOTES, -1)}
     noise = [{"kind": 0, "strict": True, "n": 10, **dict.fromkeys(pii.VOTES, 1), "context": -1}, {"kind": 0, "strict": False, "n": 10, **dict.fromkeys(pii.VOTES, -1), "context": 1}]
-    odds, _, post = pii.estimate([good, bad, *noise])
+    # for another kind the labelers may be wrong in other ways
+    other = [{**p, "kind": 3, "n": 50} for p in (good, bad)] + [{**good, "kind": 3, "grouping": -1, "n": 45}, {**bad, "kind": 3, "grouping": 1, "n": 45}]
+    odds, post = pii.estimate([good, bad, *noise, *other])
     assert post[0] > 0.99 and post[1] < 0.01 and post[2] > 0.9 and post[3] < 0.1
-    assert odds["format"][1] > odds["context"][1] > 0
+    assert odds[0]["format"][1] > odds[0]["context"][1] > 0 and odds[0]["grouping"][1] > odds[3]["grouping"][1] + 1 and abs(odds[3]["grouping"][1]) < 0.5
+    weights = pii.train([{**p, **dict.fromkeys(pii.FEATURES, 0)} for p in (good, bad)], [0.99, 0.01])
+    assert weights["format:1"] > 0 > weights["format:-1"] and weights["0:format:1"] > 0 == weights["1:format:1"]
+
+
+def test_labelled_set_of_loose_spans(spark):
+    """Precision and recall on texts whose loose spans are known."""
+    r = random.Random(21)
+    d = lambda n: "".join(r.choices("123456789", k=n))
+    rows, want = [], {}
+    for i in range(240):
+        rows.append((i, f"mail p{i}@mail.example.com, phone +1 (212) 555-{1000 + i}, host 81.2.69.{i % 250}, card 4111 1111 1111 1111 now"))
+    made = {
+        "email": lambda: f"joe{d(2)} [at] mail [dot] com", "phone": lambda: f"({r.randrange(212, 890)}) 555-{d(4)}",
+        "ip": lambda: f"81[.]2[.]69[.]{r.randrange(1, 250)}", "card": lambda: f"4{d(3)}.{d(4)}.{d(4)}.{d(4)}",
+    }
+    cues = {"email": "write e-mail: ", "phone": "call phone: ", "ip": "server ip: ", "card": "credit card: "}
+    decoys = [lambda: f"section 1.{d(1)} of {d(4)}.{d(4)}", lambda: f"order no. {d(9)}", lambda: "version 1.2.3", lambda: f"figure {d(2)}/{d(2)}"]
+    for i in range(1000, 1200):
+        kind = r.choice(list(made))
+        span, decoy = made[kind](), r.choice(decoys)()
+        text = f"so {cues[kind]}{span} , then {decoy} end"
+        rows.append((i, text))
+        want[i] = (text.index(span), pii.KINDS.index(kind), text.index(span) + len(span))
+    got = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).where("doc_id >= 1000").collect()
+    added = {(x["doc_id"], (s["start"], s["kind"], s["end"])) for x in got for s in x["spans"] if not s["base"]}
+    right = added & set(want.items())
+    assert len(right) >= 0.95 * len(added) and len(right) >= 0.7 * len(want)
+
+
+def test_redaction_is_plain_and_linear(spark, texts):
+    import time
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9999, "a@b.c 1.2.3.4 " * 8000)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(df, ["doc_id"]).collect()}
+    began = time.time()
+    out = {r["doc_id"]: r["text"] for r in pii.redact_documents(df).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        want, pos = [], 0
+        for s in spans[i]:
+            if s["start"] >= pos:
+                want += [t[pos : s["start"]], f"<{pii.KINDS[s['kind']].upper()}>"]
+            pos = max(pos, s["end"])
+        assert out[i] == (None if t is None else "".join(want) + t[pos:])
+    assert out[9999] == "<EMAIL> <IP> " * 8000
+
+
+def test_query_columns_come_from_the_operator(spark, tmp_path, texts):
+    from quillgrid.llm import queries
+
+    spark.createDataFrame(list(enumerate(texts[:200] + [None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_personal_data(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", **{f"n_{k}": "bigint" for k in pii.KINDS}, "base_sha256": "string", "spans": "string"}
+    for row in out.collect():
+        base = plain((texts[:200] + [None])[row["doc_id"]])
+        written = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert row["base_sha256"] == hashlib.sha256(written.encode()).hexdigest() and set(filter(None, written.split(","))) <= set(row["spans"].split(","))
+        assert [row[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
 
 
 def test_redaction(spark, docs):
