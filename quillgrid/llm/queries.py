@@ -44,7 +44,9 @@ def op4_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] < 3)
     count = lambda i: F.size(F.filter("spans", lambda x: x["kind"] == i)).cast("long").alias(f"n_{secrets.KINDS[i]}")
-    return found.select("doc_id", *map(count, range(3)), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    part = lambda x: F.coalesce(F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")), F.lit(""))
+    linked = F.array_join(F.transform("links", lambda x: F.concat_ws("/", *[F.when(x[k].isNotNull(), part(x[k])).otherwise("") for k in secrets.KINDS[3:]])), ",")
+    return found.select("doc_id", *map(count, range(3)), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), linked.alias("links"))
 
 
 def op5_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
-Strict spans (assignments, access keys, long hex) always stay. Weak parts (account names, mixed-character tokens,
-endpoints) are reported only where complementary parts stand within one scope: an interval join of identifiers,
+Strict spans (assignments, access keys, long hex) always stay. Weak parts (account names and mail addresses, mixed-character
+tokens, endpoints and addresses of hosts) are reported only where complementary parts stand within one scope: an interval join of identifiers,
 secrets and endpoints on |distance| <= SCOPE code points inside a document, done as a sorted sweep. Parts of one kind
 don't overlap, so those in scope of a secret are one run of them, found by bisection; a scope holds a bounded number of
 identifiers or endpoints, so links grow with the text. Each pair of a secret and an identifier or endpoint in its scope
@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import zip_longest
+from itertools import accumulate, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +34,15 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Weak patterns.
-IDENTIFIER = re.compile(r"(?:user_?name|user|login|client_?id|account|key_?id|access_?key)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9_.@-]{3,64})", re.I | re.A)
-IDENTIFIER_WORDS = ("user", "login", "client", "account", "keyid", "key_id", "access")
+IDENTIFIER = re.compile(r"(?:user_?name|user|login|client_?id|account|key_?id|access_?key)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9_.@-]{3,})|(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.I | re.A)
+IDENTIFIER_WORDS = ("user", "login", "client", "account", "keyid", "key_id", "access", "@")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,30}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![A-Za-z0-9.-])[a-z0-9-]{1,63}\.(?:amazonaws|windows|googleapis|database)\.[a-z.]{2,20})")
+ENDPOINT = re.compile(
+    r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]+://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?<![A-Za-z0-9-])[a-z0-9-]+\.(?:amazonaws|windows|googleapis|database)\.[a-z.]{2,}"
+    r"|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.]*[0-9])"
+)
 ENDPOINT_WORDS = ("://", ".amazonaws.", ".windows.", ".googleapis.", ".database.")
+HOST = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
 
 SCHEMA = "spans array<struct<kind:int,start:bigint,end:bigint>>, links array<struct<identifier:struct<start:bigint,end:bigint>,secret:struct<start:bigint,end:bigint>,endpoint:struct<start:bigint,end:bigint>>>"
 
@@ -59,9 +63,9 @@ def strict_spans(text: str, lower: str) -> list[tuple[int, int, int]]:
 
 def weak_parts(text: str, lower: str) -> tuple[list, list, list]:
     """Identifiers, secrets and endpoints that mean nothing alone, each by start."""
-    names = [m.span(1) for m in IDENTIFIER.finditer(text)] if any(w in lower for w in IDENTIFIER_WORDS) else []
+    names = [m.span(m.lastindex) for m in IDENTIFIER.finditer(text)] if any(w in lower for w in IDENTIFIER_WORDS) else []
     tokens = [m.span() for m in TOKEN.finditer(text) if _mixed(m[0])] if max(map(len, text.split()), default=0) >= 32 else []
-    places = [m.span() for m in ENDPOINT.finditer(text)] if any(w in lower for w in ENDPOINT_WORDS) else []
+    places = [m.span() for m in ENDPOINT.finditer(text)] if any(w in lower for w in ENDPOINT_WORDS) or HOST.search(text) else []
     return names, tokens, places
 
 
@@ -96,16 +100,11 @@ def scan(text: str | None, scope: int = SCOPE) -> tuple[list[tuple[int, int, int
     if not strict and not (tokens and (names or places)):
         return [], []
     taken = sorted((s, e) for _, s, e in strict)
-    starts = [s for s, _ in taken]
-    longest = max((e - s for s, e in taken), default=0)
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(span: tuple[int, int]) -> bool:
-        i = bisect_left(starts, span[1]) - 1
-        while i >= 0 and starts[i] > span[0] - longest:
-            if taken[i][1] > span[0]:
-                return False
-            i -= 1
-        return True
+        i = bisect_left(starts, span[1])
+        return not i or furthest[i - 1] <= span[0]
 
     ids = sorted({(s, e) for k, s, e in strict if k == 1} | {x for x in names if free(x)})
     secrets = sorted({(s, e) for k, s, e in strict if k != 1} | {x for x in tokens if free(x)})

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -31,6 +32,11 @@ def test_weak_parts_need_company():
     assert secrets.scan("login: joe_user at https://db.example.com")[0] == []
     spans, links = secrets.scan(f"login: joe_user key {KEY} at https://db.example.com/x")
     assert [s[0] for s in spans] == [3, 4, 5] and len(links) == 1
+    mail, key = "joe.x@mail.example.org", 'token = "abcdef123456"'
+    text = f"{mail} said {key} on 10.1.2.3:8080 and version 1.2.3.4.5"
+    assert [(secrets.KINDS[k], text[a:b]) for k, a, b in secrets.scan(text)[0]] == [("identifier", mail), ("assign", key[:-1]), ("endpoint", "10.1.2.3:8080")]
+    assert secrets.scan(f"{mail} and 10.1.2.3")[0] == []
+    assert secrets.scan("user: " + "n" * 500 + f" {KEY}")[0][0][1:] == (6, 506)
     far = secrets.scan(f"login: joe_user {'. ' * 400} key {KEY}")[0]
     assert far == []
 
@@ -49,3 +55,21 @@ def test_nearest_is_brute_force():
 
 def test_empty(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_query_columns_come_from_the_operator(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm import queries
+
+    texts = [f"login: joe_user key {KEY} at https://db.example.com", "password=abcdef1", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_credential_linking(spark, str(tmp_path))
+    assert dict(out.dtypes) == {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string", "links": "string"}
+    rows = {r["doc_id"]: r for r in out.collect()}
+    key = texts[0].index(KEY)
+    assert rows[0]["links"] == f"7:15/{key}:{key + len(KEY)}/{texts[0].index('https')}:{len(texts[0])}" and rows[0]["n_assign"] == 0
+    for i, t in enumerate(texts):
+        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain(t))
+        assert rows[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert rows[1]["spans"] == "assign:0:16" and rows[2]["spans"] == rows[3]["spans"] == ""
