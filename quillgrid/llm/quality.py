@@ -31,11 +31,12 @@ WHOLE_BANDS = (
     (32768, 1.45, 3.1),
     (float("inf"), 1.5, 3.4),
 )
-#: The same for chunks; a last chunk under 1024 bytes is not judged.
+#: The same for chunks. A last chunk under 1024 bytes is judged as part of the one before.
 CHUNK_BANDS = ((1024, 0.0, 99.0), (2048, 1.2, 2.7), (float("inf"), 1.3, 2.8))
-CHUNK_BYTES = 4096
-#: The text goes when more than this share of its judged chunks lies outside the bands.
-BAD_CHUNK_SHARE = 0.5
+CHUNK_BYTES, LEAST_CHUNK = 4096, 1024
+#: (chunks below which a row holds, share of chunks outside their band above which the text goes): in a text of a few chunks
+#: each is much of it, in a long one chance puts some just outside.
+BAD_CHUNKS = ((5, 0.5), (17, 0.25), (float("inf"), 0.15))
 LEVEL = 3
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks long, n_chunks long, kept boolean"
@@ -50,6 +51,14 @@ def band(bands: tuple, n_bytes: int, ratio: float) -> bool:
     return low <= ratio <= high
 
 
+def cut(raw: bytes) -> list[bytes]:
+    """The chunks of a text that has more than one: of CHUNK_BYTES, the last one up to LEAST_CHUNK longer."""
+    edges = list(range(0, len(raw), CHUNK_BYTES))
+    if len(raw) - edges[-1] < LEAST_CHUNK if edges else False:
+        edges.pop()
+    return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)])] if len(edges) > 1 else []
+
+
 def repeated_window_words(words: list[bytes], width: int = 8) -> int:
     """Words that lie in a window of `width` words found at least twice in the text."""
     starts = len(words) - width + 1
@@ -88,14 +97,11 @@ def assess_text(text: str | None, compressor: zstandard.ZstdCompressor | None =
     failed = n_words < 20 or 100 * repeats > 30 * n_words
     compressor = compressor or zstandard.ZstdCompressor(level=LEVEL)
     ratio = len(raw) / len(compressor.compress(raw)) if raw else 0.0
-    judged = bad = 0
-    if len(raw) > CHUNK_BYTES:
-        for i in range(0, len(raw), CHUNK_BYTES):
-            chunk = raw[i : i + CHUNK_BYTES]
-            if len(chunk) >= CHUNK_BANDS[0][0]:
-                judged += 1
-                bad += not band(CHUNK_BANDS, len(chunk), len(chunk) / len(compressor.compress(chunk)))
-    kept = not failed and band(WHOLE_BANDS, len(raw), ratio) and bad <= BAD_CHUNK_SHARE * judged
+    chunks = cut(raw)
+    bad = sum(not band(CHUNK_BANDS, len(x), len(x) / len(compressor.compress(x))) for x in chunks)
+    share = next(share for top, share in BAD_CHUNKS if len(chunks) < top)
+    judged = len(chunks)
+    kept = not failed and band(WHOLE_BANDS, len(raw), ratio) and bad <= share * judged
     return n_words, word_chars, n_symbols, len(lines) - len(set(lines)), repeats, failed, ratio, bad, judged, kept
 
 

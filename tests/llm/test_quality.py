@@ -37,6 +37,33 @@ def test_bands():
     assert not quality.assess_text("\n".join(menu))[-1]
 
 
+def test_chunks_and_verdict_are_plain():
+    import base64
+    import random
+
+    import zstandard
+
+    r = random.Random(5)
+    prose = lambda k: " ".join(r.choices([a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnrst"], k=k))
+    junk = lambda n: " ".join(base64.b85encode(r.randbytes(20)).decode() for _ in range(n))
+    clean = [prose(k) for k in (30, 300, 1030, 1300, 2100, 5000, 15000)]
+    mixed = [prose(5000) + " " + junk(700), prose(9000) + " " + junk(900), prose(1000) + " " + junk(80)]
+    for text in clean + mixed + ["x" * 4096 + "y" * 1023, "", None]:
+        raw = (text or "").encode()
+        size = lambda x: len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(x))
+        chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        if len(chunks) > 1 and len(chunks[-1]) < 1024:
+            chunks[-2:] = [chunks[-2] + chunks[-1]]
+        chunks = chunks if len(chunks) > 1 else []
+        bad = sum(not quality.band(quality.CHUNK_BANDS, len(c), len(c) / size(c)) for c in chunks)
+        got = quality.assess_text(text)
+        assert got[-3:-1] == (bad, len(chunks))
+        share = 0.5 if len(chunks) < 5 else 0.25 if len(chunks) < 17 else 0.15
+        whole = quality.band(quality.WHOLE_BANDS, len(raw), len(raw) / size(raw) if raw else 0.0)
+        assert got[-1] == (not got[5] and whole and bad <= share * len(chunks))
+    assert all(quality.assess_text(t)[-1] for t in clean) and not any(quality.assess_text(t)[-1] for t in mixed[:2])
+
+
 def test_stage_keeps_columns(docs):
     kept = quality.keep_documents(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
