@@ -49,3 +49,16 @@ def output_size(width: Column, height: Column, most: int) -> list[Column]:
     """Width and height shrunk to a longest side, rounded half to even, at least 1."""
     ratio = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
     return [F.greatest(F.lit(1), F.rint(side * ratio).cast("int")) for side in (width, height)]
+
+
+def fitted(width: Column, height: Column, frame_width: int, frame_height: int) -> list[Column]:
+    """Width, height, left and top of a picture that fills a frame as far as its sides allow."""
+    r = F.least(F.lit(float(frame_width)) / width, F.lit(float(frame_height)) / height)
+    w, h = (F.greatest(F.lit(1).cast("long"), F.rint(side * r).cast("long")) for side in (width, height))
+    return [w, h, F.floor((frame_width - w) / 2), F.floor((frame_height - h) / 2)]
+
+
+def stem(text: Column) -> Column:
+    """A file name's stem: characters that file systems refuse as underscores, no dots at its end, 70 characters at most."""
+    clean = F.rtrim(F.left(F.rtrim(F.trim(F.regexp_replace(text, r"[\x00-\x1F<>:\x22/\\|?*]", "_")), F.lit(".")), F.lit(70)))
+    return F.when(clean == "", "picture").otherwise(clean)

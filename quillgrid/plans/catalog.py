@@ -35,7 +35,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def height(pixels: DataFrame) -> int:
-    return (pixels.agg(F.max("y")).first()[0] or -1) + 1
+    last = pixels.agg(F.max("y")).first()[0]
+    return 0 if last is None else last + 1
 
 
 # --- histograms and profiles -------------------------------------------------------------------------------------
@@ -254,26 +255,19 @@ def next_valid_fill(spark, sf_dir):
     return z.select("y", "x", F.coalesce(F.first("v", True).over(after), F.last("v", True).over(before)).alias("v"))
 
 
-def _components(spark, mask):
-    from tempfile import mkdtemp
+def _kept_folder(spark) -> None:
+    """Lineage is cut in the folder that spark.checkpoint.dir names; without one (and none set by tests) it can't be."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="quillgrid-"))
-    return ops.components(mask)
 
-
-@query(f"""WITH RECURSIVE {PX}, m AS (SELECT y, x, y * 64 + x AS i FROM px WHERE v > 150 AND y < 48),
-e AS (SELECT a.i, b.i AS j FROM m a JOIN m b ON (a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1)),
+@query(f"""WITH RECURSIVE {PX}, m AS (SELECT y, x, y * 64 + x AS i FROM px WHERE v > 150),
+e AS ({" UNION ALL ".join(f"SELECT a.i, b.i AS j FROM m a JOIN m b ON b.i = a.i + {d} AND b.x - a.x = {dx}" for d, dx in ((1, 1), (-1, -1), (64, 0), (-64, 0)))}),
 r AS (SELECT i AS root, i FROM m UNION SELECT r.root, e.j FROM r JOIN e ON e.i = r.i)
 SELECT m.y, m.x, min(r.root) AS label FROM r JOIN m ON m.i = r.i GROUP BY m.y, m.x""")
 def grid_components(spark, sf_dir):
-    return _components(spark, raster(spark, sf_dir).where("v > 150 AND y < 48"))
-
-
-@query()
-def grid_components_whole(spark, sf_dir):
-    """The parts of all rows; grid_components and its SQL keep to a slice."""
-    return _components(spark, raster(spark, sf_dir).where("v > 150"))
+    _kept_folder(spark)
+    return ops.components(raster(spark, sf_dir).where("v > 150"))
 
 
 @query(f"WITH {PX}, c AS (SELECT y // 8 AS ty, CAST(x // 8 AS INT) AS tx, CAST(sum(v) AS BIGINT) AS cost FROM px GROUP BY 1, 2) SELECT ty, tx, cost FROM c ORDER BY cost, ty, tx LIMIT 1")
@@ -382,9 +376,8 @@ def json_field_text(spark, sf_dir):
 
 @query("WITH RECURSIVE up AS (SELECT max(event_id) AS id FROM events UNION ALL SELECT id // 2 FROM up WHERE id > 0) SELECT e.event_id, e.event_type FROM up JOIN events e ON e.event_id = up.id")
 def upstream_closure(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    events.createOrReplaceTempView("quillgrid_events")
-    return spark.sql("WITH RECURSIVE up(id) AS (SELECT max(event_id) FROM quillgrid_events UNION ALL SELECT id DIV 2 FROM up WHERE id > 0) SELECT e.event_id, e.event_type FROM up JOIN quillgrid_events e ON e.event_id = up.id")
+    # no view is registered: two threads may ask for different tables
+    return spark.sql("WITH RECURSIVE up(id) AS (SELECT max(event_id) FROM {events} UNION ALL SELECT id DIV 2 FROM up WHERE id > 0) SELECT e.event_id, e.event_type FROM up JOIN {events} e ON e.event_id = up.id", events=table(spark, sf_dir, "events"))
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber, count(b.l_linenumber) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_quantity - b.l_quantity) <= 10 GROUP BY ALL")

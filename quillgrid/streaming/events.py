@@ -12,7 +12,17 @@ def latest(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(last, F.count("*").alias("n")).select(key, "last.event_id", "last.event_type", "n")
 
 
-def fold_stream(spark: SparkSession, folder: str, schema, name: str, checkpoint: str):  # noqa: ANN001, ANN201
-    """Run all available parquet files of a folder through `latest` into the in-memory table `name`."""
-    stream = spark.readStream.schema(schema).parquet(folder)
-    return latest(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def fold_stream(spark: SparkSession, folder: str, schema, out: str, checkpoint: str):  # noqa: ANN001, ANN201
+    """Run all available parquet files of a folder through `latest` in update mode: each batch writes the keys it changed to
+    a folder of its own, so that a batch run again after a failure writes the same place. See `folded`."""
+    stream = latest(spark.readStream.schema(schema).parquet(folder))
+    write = lambda changed, batch: changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folded(spark: SparkSession, out: str, key: str = "user_id") -> DataFrame:
+    """What a stream wrote last for each key."""
+    rows = spark.read.parquet(out)
+    others = [c for c in rows.columns if c not in (key, "batch")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("last"))
+    return last.select(key, *[F.col(f"last.{c}").alias(c) for c in others])

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgrid.plans import catalog
+from quillgrid.plans import catalog, extras  # noqa: F401 (registers its queries)
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ import pytest
 
 from quillgrid.functions import containers, prompts, validators
 from quillgrid.operators import permutation, raster
-from quillgrid.streaming.events import fold_stream, latest
+from quillgrid.streaming.events import fold_stream, folded, latest
 
 
 @pytest.mark.parametrize("w,h", [(1, 1), (1, 7), (7, 1), (2, 2), (5, 3), (8, 8), (64, 64), (64, 52), (13, 40)])
@@ -44,8 +44,44 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     folder.mkdir()
     shutil.copy(f"{sf_dir}/events.parquet", folder)
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
-    fold_stream(spark, str(folder), batch.schema, "folded", str(tmp_path / "cp")).awaitTermination(60)
-    assert Counter(map(tuple, spark.table("folded").collect())) == Counter(map(tuple, latest(batch).collect()))
+    out = str(tmp_path / "out")
+    fold_stream(spark, str(folder), batch.schema, out, str(tmp_path / "cp")).awaitTermination(60)
+    assert Counter(map(tuple, folded(spark, out).collect())) == Counter(map(tuple, latest(batch).collect()))
+    # more events: only keys that changed are written again
+    more = batch.limit(40).selectExpr("event_id + 1000000 AS event_id", "ts + INTERVAL 400 DAYS AS ts", "user_id", "event_type", "value", "props")
+    more.coalesce(1).write.mode("append").parquet(str(folder))
+    fold_stream(spark, str(folder), batch.schema, out, str(tmp_path / "cp")).awaitTermination(60)
+    assert Counter(map(tuple, folded(spark, out).collect())) == Counter(map(tuple, latest(spark.read.parquet(str(folder))).collect()))
+    assert spark.read.parquet(out).where("batch = 1").count() == more.select("user_id").distinct().count()
+
+
+def test_newest_frames_of_a_stream_are_those_of_a_batch(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillgrid.streaming.frames import POLL_MS, newest, stream_newest
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("epoch", (F.col("event_id") % 3 == 0).cast("int"))
+    # ticks that hold several frames, and a late end that closes all of them
+    near = events.withColumn("ts", F.timestamp_millis(F.unix_millis(F.lit("2024-01-01").cast("timestamp")) + F.col("event_id") * 37 % 5000))
+    end = near.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("epoch", F.lit(1)).withColumn("event_id", F.lit(-1).cast("long"))
+    near.write.parquet(str(tmp_path / "in"))
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(near.schema).parquet(str(tmp_path / "in"))
+    stream_newest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), epoch=1).awaitTermination(90)
+    got = spark.read.parquet(str(tmp_path / "out")).select("user_id", F.floor(F.unix_millis("tick") / POLL_MS).alias("tick"), "event_id", "event_type", "frames")
+    want = newest(near.where("epoch = 1"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and want.where("frames > 1").count()
+
+
+def test_a_raster_of_one_row_is_permuted_whole(spark):
+    from quillgrid.operators import raster as ops
+    from quillgrid.plans.catalog import height
+
+    row = spark.createDataFrame([(0, x, x * 3) for x in range(64)], "y long, x int, v int")
+    assert height(row) == 1 and height(row.limit(0)) == 0
+    moved = ops.scramble(row, 64, height(row))
+    assert moved.count() == 64 and sorted(map(tuple, ops.scramble(moved, 64, 1, back=True).select("y", "x", "v").collect())) == [(0, x, x * 3) for x in range(64)]
+    assert [tuple(r) for r in moved.orderBy("x").collect()] != [(0, x, x * 3) for x in range(64)]
 
 
 def test_entry_without_the_subpackage():

@@ -17,7 +17,7 @@ def test_components_of_all_rows_equal_a_flood_fill(spark, sf_dir):
                     if near in left and near not in want:
                         want[near] = want[cell]
                         edge.append(near)
-    got = catalog.QUERIES["grid_components_whole"](spark, sf_dir).collect()
+    got = catalog.QUERIES["grid_components"](spark, sf_dir).collect()
     assert {(r["y"], r["x"]): r["label"] for r in got} == want and len(got) == len(want)
     assert max(y for y, _ in want) >= 48
 
