@@ -15,7 +15,7 @@ def test_round_trip(spark):
     df = spark.createDataFrame([(*r, "clash") for r in ROWS], "conv_id long, turn long, role string, text string, formatted string")
     formatted = chat.format_conversations(df).cache()
     for r in formatted.collect():
-        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert all("<|" not in r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["mask"])
     want = defaultdict(list)
     for c, t, role, text in ROWS:
         want[c].append((-1 if t is None else t, role or "", text or ""))
@@ -29,6 +29,25 @@ def test_round_trip(spark):
     assert merged.count("<|start|>") == 1 and merged.count("<|next|>") == 1
 
 
+def test_rows_without_a_conversation_are_apart(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    got = [(r["conv_id"], [t["text"] for t in r["turns"]]) for r in chat.read_back(chat.format_conversations(df)).collect()]
+    assert sorted(got, key=str) == sorted([(None, ["a"]), (None, ["b"]), (1, ["c"])], key=str)
+
+
+def test_many_turns_take_linear_time(spark):
+    import time
+
+    rows = [(c, i, "user" if c == 1 or i % 2 else "assistant", f"text {i} <| & {'y' * (i % 7)}") for c in (1, 2, 3) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert time.time() - began < 60
+    for c in (1, 2, 3):
+        assert [t["text"] for t in got[c]["turns"]] == [x for k, _, _, x in rows if k == c]
+        assert got[c]["trained"] == "".join(x for k, _, r, x in rows if k == c and r == "assistant")
+
+
 def test_query(spark, sf_dir):
     from quillgrid.llm.queries import op2_chat_formatting
 
