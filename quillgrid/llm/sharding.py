@@ -8,8 +8,8 @@ shards with their counts by (text, shard):
 2. In each round the documents of a smaller text ask to move to the shard that holds most of their text; quotas admit as
    many as the shard can take in exchange, unlinked documents fill the gaps the other way, and the sizes stay as they
    were: the law `rows`.
-Rows of large texts are joined by broadcast or by parts, so no key holds many rows in any join. DataFrame operations
-only; the driver sees nothing but the (shard x shard) table of requests and the (large text x shard) table of counts.
+Rows of large texts are joined by broadcast, all others meet their text's row in several places, and numberings and parts
+hold a bounded number of rows, so no key's rows come together in a task. DataFrame operations only; the driver sees nothing but the (shard x shard) table of requests and the (large text x shard) table of counts.
 
 Cases: null text is empty (size 1); null, equal or repeated doc_ids are placed row by row; ties between shards go to
 the one the text's hash names, then to the higher number; fewer rows than shards leave shards empty; an empty table
@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered
+from .common import buckets_for, checkpointed, numbered, salted
 
 SHARDS = 8
 ROUNDS = 3
 #: A text of more than rows / (shards * PARTS) rows is large; only one larger than a shard is cut into parts.
 PARTS = 16
+#: Rows of a part at most, and of a text that ask to move together.
+PART_ROWS = 100_000
 
 
 def quotas(asked: dict[tuple[int, int], int], single: list[int]) -> tuple[list[list[int]], list[list[int]]]:
@@ -90,12 +92,13 @@ def _settled(state: DataFrame, shards: int, rows: int) -> DataFrame:
     goes, free = places(held, [rows // shards + (s < rows % shards) for s in range(shards)])
     plan = state.sparkSession.createDataFrame([(t, by) for t, by in goes.items()], "text_id long, goes array<long>")
     # numbers within a text, and how many rows of it go to this shard or one before
-    large = numbered(state.where("large"), ["text_id"], ["rid"], "k", buckets=128).join(F.broadcast(plan), "text_id")
+    # a text may hold a third of all rows; fewer than shards * PARTS texts are numbered so
+    large = numbered(state.where("large"), ["text_id"], ["rid"], "k", buckets=min(buckets_for(rows), 4096)).join(F.broadcast(plan), "text_id")
     upto = [sum((F.get("goes", j) for j in range(1, s + 1)), F.get("goes", 0)) for s in range(shards)]
     home = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):
         home = F.when(F.col("k") < upto[s], F.lit(s)).otherwise(home)
-    others = numbered(state.where("not large"), [], ["rid"], "k").withColumn("shard", _dealt("k", free))
+    others = numbered(state.where("not large"), [], ["rid"], "k", buckets=buckets_for(rows)).withColumn("shard", _dealt("k", free))
     return checkpointed(large.withColumn("shard", home).select(*columns).unionByName(others.select(*columns)))
 
 
@@ -111,13 +114,12 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     share, most = max(1, rows // (shards * PARTS)), -(-rows // shards)
     # fewer than shards * PARTS groups are as large as that, so they can be sent to every task
     large = base.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > share)
-    parts = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / share))).otherwise(F.lit(0))
-    # no key of a join holds more rows than a part
+    parts = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / min(share, PART_ROWS)))).otherwise(F.lit(0))
     state = base.join(F.broadcast(large), ["h1", "h2"], "left").withColumn("text_id", F.xxhash64("h1", "h2")).withColumn("part", F.xxhash64("h1", "h2", parts))
-    state = numbered(state.select("rid", "doc_id", "size", "text_crc32", "text_id", "part", "n"), [], ["rid"], "i")
+    state = numbered(state.select("rid", "doc_id", "size", "text_crc32", "text_id", "part", "n"), [], ["rid"], "i", buckets=buckets_for(rows))
     state = state.select("rid", "doc_id", "size", "text_crc32", "text_id", "part", "n", F.pmod("i", F.lit(shards)).cast("int").alias("shard"))
     alike = state.groupBy("part").agg(F.count("*").alias("alike"))
-    state = state.join(alike, "part").withColumn("copies", F.coalesce("n", "alike"))
+    state = salted(state, alike, ["part"], ["rid"]).withColumn("copies", F.coalesce("n", "alike"))
     whole = F.col("copies") <= most
     state = state.withColumn("unit", F.when(whole, F.col("text_id")).otherwise(F.col("part"))).withColumn("linked", F.when(whole, F.col("copies")).otherwise(F.col("alike")))
     state = checkpointed(state.select("rid", "doc_id", "size", "text_crc32", "text_id", "copies", "unit", "linked", F.col("n").isNotNull().alias("large"), "shard"))
@@ -129,7 +131,7 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         named = F.pmod(F.xxhash64("unit"), F.lit(shards)) == F.col("shard")
         wanted = held.groupBy("unit").agg(F.max(F.struct("n", named.alias("named"), "shard")).alias("best"), F.count("*").alias("over"))
         wanted = wanted.where("over > 1").select("unit", F.col("best.shard").alias("to"))
-        told = voting.join(wanted, "unit", "left").withColumn("to", F.when(F.col("to") != F.col("shard"), F.col("to")))
+        told = salted(voting, wanted, ["unit"], ["rid"], "left").withColumn("to", F.when(F.col("to") != F.col("shard"), F.col("to")))
         asking = checkpointed(told.unionByName(state.where("copies = 1 or large").withColumn("to", F.lit(None).cast("int"))))
         seen = asking.groupBy("shard", "to", (F.col("copies") == 1).alias("single")).agg(F.count("*").alias("n")).collect()  # at most shards * (shards + 2) rows
         asked = {(r["shard"], r["to"]): r["n"] for r in seen if r["to"] is not None}
@@ -141,10 +143,12 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
             if r["single"]:
                 single[r["shard"]] += r["n"]
         move, fill = quotas(asked, single)
-        movers = numbered(asking.where("to is not null"), ["shard", "to"], ["unit", "rid"], "k", spread="unit")
+        # a unit's rows go together, as far as PART_ROWS of them
+        split = asking.where("to is not null").withColumn("some", F.pmod(F.xxhash64("rid"), F.ceil(F.col("linked") / PART_ROWS)))
+        movers = numbered(split, ["shard", "to"], ["unit", "rid"], "k", spread=["unit", "some"], buckets=buckets_for(rows))
         allowed = F.element_at(F.array(*[F.lit(move[s][t]) for s in range(shards) for t in range(shards)]), F.col("shard") * shards + F.col("to") + 1)
         movers = movers.withColumn("shard", F.when(F.col("k") < allowed, F.col("to")).otherwise(F.col("shard")))
-        fillers = numbered(asking.where("copies = 1"), ["shard"], ["rid"], "k")
+        fillers = numbered(asking.where("copies = 1"), ["shard"], ["rid"], "k", buckets=buckets_for(rows))
         goes = F.col("shard")
         for s in range(shards):
             done = 0
@@ -173,5 +177,6 @@ def cut_links(placed: DataFrame) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (0, 1, 2, ... in each shard) and grown_shard (null under this law)."""
-    placed = numbered(propagate(docs, shards, rounds), ["shard"], ["rid"], "slot")
+    state = propagate(docs, shards, rounds)
+    placed = numbered(state, ["shard"], ["rid"], "slot", buckets=buckets_for(state.count()))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -51,3 +51,36 @@ def test_quotas_keep_sizes():
 def test_few_and_none(spark):
     check([(1, "a"), (2, "a")], sharding.shard_documents(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).collect())
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_are_a_plain_propagation():
+    """Without large texts a round moves what quotas allow: the majority shard of each text, checked in plain Python."""
+    r = random.Random(3)
+    for _ in range(50):
+        held = {t: [r.randrange(5) for _ in range(4)] for t in range(12)}
+        sizes = [sum(h[s] for h in held.values()) + 6 for s in range(4)]
+        goes, free = sharding.places(held, sizes)
+        assert all(sum(goes[t]) == sum(held[t]) for t in held)
+        assert [sizes[s] - sum(g[s] for g in goes.values()) for s in range(4)] == free and min(free) >= 0
+        # a text that fits whole where most of it is, with all larger ones placed, is there
+        left = list(sizes)
+        for t in sorted(held, key=lambda t: (-sum(held[t]), t)):
+            n, fits = sum(held[t]), [s for s in range(4) if left[s] >= sum(held[t])]
+            if fits and n:
+                best = max(fits, key=lambda s: (held[t][s], left[s], s))
+                assert goes[t][best] == n
+            left = [a - b for a, b in zip(left, goes[t])]
+
+
+def test_query_columns_come_from_the_operator(spark, sf_dir):
+    from quillgrid.llm import queries
+
+    out = queries.op9_label_propagation_shards(spark, sf_dir)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    check(rows, out.collect())
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "x" * 400_000) for i in range(3)] + [(i, str(i)) for i in range(3, 30)]
+    check(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
