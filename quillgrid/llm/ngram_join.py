@@ -4,15 +4,15 @@
 2. The forest: TREES prefix tries over signatures of DEPTH MinHash values each. A trie's subtrees below the shortest prefix
    that may be needed are dealt to tasks and read there in the order of their signatures; two nodes meet at the length of
    the longest prefix they share in any tree. Pairs whose whole signatures could not come from similar sets are left out.
-3. Prefixes begin long and are shortened step by step: at each length the pairs that meet there, and not before, are
-   verified exactly on their whole 5-gram sets. A verified pair of similarity s had the chance 1 - (1 - s^length)^TREES to
-   be met so far; when the links found, each counted by one over that chance, say that RECALL of all links is found (and a
-   pair just at the threshold would be with chance LEAST), shortening ends. At the shortest length even such a pair is met
-   with chance RECALL.
-4. A pair is verified once, in the first tree where it shares the shortest prefix. What leaves a block is a count of links
-   for each node and a few edges, never the pairs; a subtree too large for a task is cut into blocks, and each pair of
-   blocks is a piece of work of its own. Nothing is compared but nodes of one subtree, so chains of similar texts stay
-   apart until the links themselves are put together.
+3. Prefixes begin long and are shortened step by step. A pair whose signatures agree in a share s had the chance
+   1 - (1 - s^length)^TREES to be met so far; when the pairs met, each counted by one over that chance, say that RECALL of
+   all is met (and a pair just at the threshold would be with chance LEAST), shortening ends. At the shortest length even
+   such a pair is met with chance RECALL.
+4. The pairs met are verified exactly on their whole 5-gram sets. For that every node has one home, a block of the largest
+   subtree it is in, and blocks with nodes that met are compared: a set is sent as often as its block has partners, not
+   trees or pairs, and no pair is looked at twice. What leaves a pair of blocks is a count of links and an edge for each
+   node, never the pairs. Nothing is compared but blocks that met: chains of similar texts stay apart until the links
+   themselves are put together.
 
 Words are runs of anything but the six ASCII white-space characters. A text of one to four words is one n-gram; texts
 without words form one group of copies. Links count documents: copies of a text link to one another and to all copies
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, salted
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -43,12 +43,12 @@ TREES, DEPTH = 20, 6
 RECALL, LEAST = 0.99995, 0.995
 #: Chance to lose a pair at the threshold by looking at its signatures first.
 LOSS = 1e-5
-#: Nodes of a block, and n-grams.
-BLOCK, BLOCK_GRAMS = 256, 4_000_000
+#: Nodes of a subtree's block, and nodes and n-grams of a home block.
+SUBTREE_BLOCK, BLOCK, BLOCK_GRAMS = 1536, 384, 4_000_000
+#: Pairs looked at at a time inside a task.
+PAIRS = 200_000
 #: Of how many copies on a class is joined by broadcast: more than a thousandth of all rows, and more than this.
 HOT = 1000
-#: Places a key is met in where it may hold a third of all rows.
-SALTS = 16
 SEED = 977
 CACHE_WORDS = 400_000
 
@@ -182,14 +182,8 @@ def _block_pairs(df: DataFrame, key: str) -> DataFrame:
     cut = df.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-    return cut.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b", "sig", "node")
-
-
-def _salted(many: DataFrame, one: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
-    """many join one, where a key may have a third of all rows of `many` and has one row of `one`: they meet it in SALTS
-    places, by a hash of `spread`."""
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(one, [*keys, "_salt"], how).drop("_salt")
+    # by ranges: the block pairs of one large key are dealt evenly
+    return cut.repartitionByRange(key, "a", "b").sortWithinPartitions(key, "a", "b", "bits", "node")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         # where a label's node has a smaller label by now
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further")).where("label != further")
         jump = jump.join(labels.select("label").distinct(), "label")
-        after = checkpointed(_salted(spread, jump, ["label"], ["node"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        after = checkpointed(salted(spread, jump, ["label"], ["node"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = after.select("node", "label")
         if after.where(F.col("label") != F.col("old")).isEmpty():
             return labels
@@ -244,43 +238,9 @@ def _signatures(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(len(column), TREES, DEPTH)
 
 
-class _Meetings:
-    """Where the pairs of some nodes of a tree's subtree meet."""
-
-    def __init__(self, sig: np.ndarray, tree: int, steps: list[int], side: np.ndarray) -> None:
-        self.sig, self.steps = sig, steps
-        short = _prefixes(sig, steps[-1])
-        first = side.copy()
-        for t in range(tree):  # a pair counts in the first tree where it shares the shortest prefix
-            first &= short[:, t][:, None] != short[:, t][None, :]
-        np.fill_diagonal(first, False)
-        self.first = first
-
-    def at(self, k: int) -> np.ndarray:
-        """Pairs whose longest shared prefix in any tree has the k-th of the lengths (the first: or is longer)."""
-        now = self.first.copy()
-        if k < len(self.steps) - 1:
-            now &= self._share(self.steps[k])
-        return now & ~self._share(self.steps[k - 1]) if k else now
-
-    def _share(self, length: int) -> np.ndarray:
-        h = _prefixes(self.sig, length)
-        out = np.zeros(self.first.shape, dtype=bool)
-        for c in h.T:
-            out |= c[:, None] == c[None, :]
-        return out
-
-    def equal(self) -> np.ndarray:
-        """How many signature values each pair shares."""
-        same = np.zeros(self.first.shape, dtype=np.uint8)
-        for c in self.sig.reshape(len(self.sig), -1).T:
-            same += c[:, None] == c[None, :]
-        return same
-
-
 def _subtrees(nodes: DataFrame, length: int) -> DataFrame:
-    """key, tree, node: the nodes of each subtree below a prefix of this length that holds two or more. Of subtrees with the
-    very same nodes the first tree's is taken, where all their pairs count."""
+    """key, tree, size, node: the nodes of each subtree below a prefix of this length that holds two or more. Of subtrees with
+    the very same nodes the first tree's is taken."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,90 +252,134 @@ def _subtrees(nodes: DataFrame, length: int) -> DataFrame:
     entries = checkpointed(nodes.where("n > 0").select("node", "sig").mapInArrow(prefixes, "key long, tree int, node long"))
     met = entries.groupBy("key", "tree").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
     once = met.groupBy("size", "who").agg(F.min(F.struct("tree", "key")).alias("first"))
-    return _salted(entries, once.select("first.key", "first.tree"), ["key", "tree"], ["node"])
-
+    return checkpointed(salted(entries, once.select("first.key", "first.tree", "size"), ["key", "tree"], ["node"]))
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members (key, n and others) with the number of blocks their key is cut into, by nodes and by n-grams."""
-    size = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count("*").alias("size"))
-    return _salted(members, size.where("size > 1").drop("size"), ["key"], ["node"])
 
+def _homes(subtrees: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, home (a block of the largest subtree the node is in), bits: the low byte of each signature value."""
+    home = subtrees.groupBy("node").agg(F.max(F.struct("size", (-F.col("tree")).alias("tree"), "key")).alias("at")).select("node", F.col("at.key").alias("key"))
+    home = home.join(nodes.select("node", "n", "sig"), "node")
+    blocks = home.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
 
-def _likely(nodes: DataFrame, threshold: float, steps: list[int]) -> DataFrame:
-    """key, tree, node, at: which nodes of a subtree may be similar to others that they meet there, as a bit for each of the
-    lengths (the k-th) at which they meet."""
-    members = _blocks(_subtrees(nodes, steps[-1]).join(nodes.select("node", "n", "sig"), "node"))
-    enough = least_equal(threshold)
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.frombuffer(x, dtype=np.uint32).astype(np.uint8).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["node", "home", "bits"])
+
+    placed = salted(home, blocks, ["key"], ["node"]).select("node", F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("home"), "sig")
+    return checkpointed(placed.mapInArrow(low, "node long, home long, bits binary"))
+
+
+def _met(codes: np.ndarray, steps: list[int], tree: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of nodes: the place in `steps` of the longest prefix they share in any tree (that many if of none), and
+    whether `tree` is the first where they share the shortest. codes: nodes x trees x depth, one byte each."""
+    at, first = np.full(len(i), len(steps), dtype=np.int8), np.ones(len(i), dtype=bool)
+    for k in range(len(steps) - 1, -1, -1):
+        words = sum(codes[:, :, d].astype(np.uint64) << np.uint64(8 * d) for d in range(steps[k]))
+        same = words[i] == words[j]
+        at[same.any(axis=1)] = k
+        if k == len(steps) - 1:
+            first = same[:, tree] & ~same[:, :tree].any(axis=1)
+    return at, first
+
+
+def _partners(subtrees: DataFrame, homes: DataFrame, threshold: float, steps: list[int]) -> DataFrame:
+    """home, other: home blocks with nodes that met and may be similar, home <= other; at: the place in `steps` of the longest
+    prefix of such a meeting. In rows without home, of pairs that seem similar, m0, m1, ...: those met at each length, and
+    w0, w1, ...: those, each by one over its chance to be met at that length or before."""
+    members = subtrees.withColumn("blocks", F.ceil(F.col("size") / SUBTREE_BLOCK).cast("int")).join(homes, "node")
+    values = TREES * DEPTH
+    enough, seems = least_equal(threshold), threshold * values
+    # by how many values are equal: one over the chance to be met at each length
+    weight = [1 / np.maximum(meets(np.arange(values + 1) / values, d), 1e-9) for d in steps]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, a, b), (tree, node, sig, mine) in _groups(batches, 3):
-            met = _Meetings(_signatures(sig), tree[0], steps, _sides(mine, a, b))
-            if not met.first.any():
+        for (_, a, b), (tree, home, bits, mine) in _groups(batches, 3):
+            x = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(home), values)
+            equal = np.zeros((len(home), len(home)), dtype=np.uint8)
+            for c in x.T:
+                equal += c[:, None] == c[None, :]
+            i, j = np.nonzero(np.triu((equal >= enough) & _sides(mine, a, b), 1))
+            if not len(i):
                 continue
-            close = met.equal() >= enough
-            bits = np.zeros(len(node), dtype=np.int32)
-            for k in range(len(steps)):
-                bits |= (met.at(k) & close).any(axis=1).astype(np.int32) << k
-            at = np.flatnonzero(bits)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(np.full(len(at), tree[0], dtype=np.int32)), pa.array(np.array(node)[at]), pa.array(bits[at])], names=["key", "tree", "node", "at"])
-
-    pairs = _block_pairs(members, "key").select("key", "a", "b", "tree", "node", "sig", "mine")
-    return pairs.mapInArrow(compare, "key long, tree int, node long, at int").groupBy("key", "tree", "node").agg(F.bit_or("at").alias("at"))
+            codes = x.reshape(len(home), TREES, DEPTH)
+            blocks, block = np.unique(np.array(home), return_inverse=True)
+            least = np.full((len(blocks), len(blocks)), len(steps), dtype=np.int8)
+            counts, weights = np.zeros(len(steps), dtype=np.int64), np.zeros(len(steps))
+            for c in range(0, len(i), PAIRS):
+                p, q = i[c : c + PAIRS], j[c : c + PAIRS]
+                at, first = _met(codes, steps, tree[0], p, q)
+                np.minimum.at(least, (np.minimum(block[p], block[q]), np.maximum(block[p], block[q])), at)
+                similar = equal[p, q]
+                counted = first & (similar >= seems)
+                for k in range(len(steps)):
+                    counts[k] += (counted & (at == k)).sum()
+                    weights[k] += weight[k][similar[counted & (at <= k)]].sum()
+            n, other = np.nonzero(least < len(steps))
+            sums = [pa.array(np.append(np.zeros(len(n), dtype=np.int64), v)) for v in counts]
+            sums += [pa.array(np.append(np.zeros(len(n)), v)) for v in weights]
+            last = np.arange(len(n) + 1) == len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(blocks[n], 0), mask=last), pa.array(np.append(blocks[other], 0)), pa.array(np.append(least[n, other], 0).astype(np.int32)), *sums], names=["home", "other", "at", *ms, *ws])
+
+    ms, ws = [f"m{k}" for k in range(len(steps))], [f"w{k}" for k in range(len(steps))]
+    layout = "home long, other long, at int, " + ", ".join([f"{m} long" for m in ms] + [f"{w} double" for w in ws])
+    pairs = _block_pairs(members, "key").select("key", "a", "b", "tree", "home", "bits", "mine").mapInArrow(compare, layout)
+    return pairs.groupBy("home", "other").agg(F.min("at").alias("at"), *[F.sum(c).alias(c) for c in (*ms, *ws)])
+
+
+def _shortened(partners: DataFrame, steps: list[int]) -> int:
+    """The place in `steps` of the length where enough pairs are met."""
+    n = len(steps)
+    sums = partners.agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(n)], *[F.sum(f"w{k}").alias(f"w{k}") for k in range(n)]).first()
+    met = 0
+    for k in range(n):
+        met += sums[f"m{k}"] or 0
+        if met and met >= RECALL * sums[f"w{k}"]:
+            return k
+    return n - 1
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, likely: DataFrame) -> DataFrame:
-    """node, copies, n, sig, s: the whole n-gram sets of the nodes that may have links."""
-    wanted = nodes.join(likely.select("node").distinct(), "node").select("node", "k1", "k2", "copies", "n", "sig")
-    found = _texts(docs).select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+def _sets(docs: DataFrame, nodes: DataFrame, homes: DataFrame, partners: DataFrame) -> DataFrame:
+    """home, node, copies, s: the whole n-gram sets of the nodes of blocks that met any."""
+    met = partners.select("home").union(partners.select("other")).distinct()
+    wanted = homes.select("node", "home").join(met, "home").join(nodes, "node").select("home", "node", "k1", "k2", "copies")
+    found = _texts(docs).select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingles(x.as_py()).tobytes() for x in batch.column(4)], pa.large_binary())], names=["node", "copies", "n", "sig", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingles(x.as_py()).tobytes() for x in batch.column(3)], pa.large_binary())], names=["home", "node", "copies", "s"])
         _WORDS.clear()
 
-    return found.select("node", "copies", "n", "sig", "text").mapInArrow(cut, "node long, copies long, n long, sig binary, s binary").dropDuplicates(["node"])
+    return found.select("home", "node", "copies", "text").mapInArrow(cut, "home long, node long, copies long, s binary")
 
 
-def _verified(sets: DataFrame, likely: DataFrame, threshold: float, steps: list[int], k: int) -> DataFrame:
-    """For each node and block pair at the k-th length: node, links (documents linked to it), to (null, or the end of an
-    edge), and w0, w1, ...: its linked nodes, each by one over its chance to be met at that length or before."""
-    members = _blocks(likely.where(F.col("at").bitwiseAND(1 << k) != 0).select("key", "tree", "node").join(sets, "node"))
+def _verified(sets: DataFrame, partners: DataFrame, threshold: float) -> DataFrame:
+    """For each pair of home blocks and node that has links there: node, links (documents linked to it) and to (the end of an
+    edge, or null)."""
+    sides = F.explode(F.array_distinct(F.array("a", "b"))).alias("home")
+    pairs = partners.select(F.col("home").alias("a"), F.col("other").alias("b")).select("a", "b", sides)
+    members = pairs.join(sets, "home").withColumn("mine", (F.col("home") == F.col("b")).cast("int")).repartitionByRange("a", "b").sortWithinPartitions("a", "b", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, a, b), (tree, node, copies, sig, s, mine) in _groups(batches, 3):
-            now = _Meetings(_signatures(sig), tree[0], steps, _sides(mine, a, b)).at(k)
-            if not now.any():
-                continue
-            alike = _jaccard([np.frombuffer(x, dtype=np.uint64) for x in s])
-            close = (alike >= threshold - 1e-12) & now
-            links = close @ np.array(copies, dtype=np.int64)
-            # n-grams are not empty here, so similarities that count are above 0
-            weights = [np.where(close, 1 / meets(np.where(close, alike, 1.0), d), 0.0).sum(axis=1) for d in steps]
+        for (a, b), (node, copies, s, mine) in _groups(batches, 2):
+            close = (_jaccard([np.frombuffer(x, dtype=np.uint64) for x in s]) >= threshold - 1e-12) & _sides(mine, a, b)
+            np.fill_diagonal(close, False)
+            links, n = close @ np.array(copies, dtype=np.int64), np.array(node)
             one, other = _chained(close)
-            n, at = np.array(node), np.flatnonzero(links)
-            to = pa.array(np.concatenate([np.zeros(len(at), dtype=np.int64), n[other]]), mask=np.arange(len(at) + len(one)) < len(at))
-            none = np.zeros(len(one))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([n[at], n[one]])), pa.array(np.concatenate([links[at], none]).astype(np.int64)), to, pa.array(np.concatenate([close.sum(axis=1)[at], none]).astype(np.int64)), *[pa.array(np.concatenate([w[at], none])) for w in weights]], names=names)
+            to, at = np.full(len(n), -1), np.flatnonzero(links)
+            to[one] = other
+            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(links[at]), pa.array(n[to[at]], mask=to[at] < 0)], names=["node", "links", "to"])
 
-    names = ["node", "links", "to", "partners", *[f"w{i}" for i in range(len(steps))]]
-    layout = "node long, links long, to long, partners long, " + ", ".join(f"w{i} double" for i in range(len(steps)))
-    return _block_pairs(members, "key").select("key", "a", "b", "tree", "node", "copies", "sig", "s", "mine").mapInArrow(verify, layout)
+    return members.select("a", "b", "node", "copies", "s", "mine").mapInArrow(verify, "node long, links long, to long")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """node, links, to: all verified links, prefixes shortened until enough of them are found."""
+    """node, links, to: all verified links."""
     steps = lengths(threshold)
-    likely = checkpointed(_likely(nodes, threshold, steps))
-    sets = checkpointed(_sets(docs, nodes, likely))
-    out = None
-    for k in range(len(steps)):
-        new = checkpointed(_verified(sets, likely, threshold, steps, k))
-        out = new if out is None else out.unionByName(new)
-        seen = out.agg(F.sum("partners"), F.sum(f"w{k}")).first()
-        if seen[0] and seen[0] >= RECALL * seen[1]:
-            break
-    return out.select("node", "links", "to")
+    subtrees = _subtrees(nodes, steps[-1])
+    homes = _homes(subtrees, nodes)
+    partners = checkpointed(_partners(subtrees, homes, threshold, steps))
+    partners = partners.where(f"home is not null and at <= {_shortened(partners, steps)}")
+    return checkpointed(_verified(checkpointed(_sets(docs, nodes, homes, partners)), partners, threshold))
 
 
 def _joined(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -390,7 +394,7 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     named = nodes.join(links, "node", "left").join(labels, "node", "left")
     named = checkpointed(named.select("s1", "s2", "copies", "f", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "label"))
     heads = named.where("label is not null").groupBy("label").agg(F.min("f").alias("head"))
-    linked = _salted(named.where("label is not null"), heads, ["label"], ["s1", "s2"])
+    linked = salted(named.where("label is not null"), heads, ["label"], ["s1", "s2"])
     columns = ["s1", "s2", "copies", "n_links", "head"]
     every = linked.select(*columns).unionByName(named.where("label is null").withColumn("head", F.col("f")).select(*columns))
     return signed.select("doc_id", "k1", "k2", "s1", "s2"), checkpointed(every)

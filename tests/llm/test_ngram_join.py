@@ -78,7 +78,7 @@ from collections import Counter
 from pyspark.sql import SparkSession
 from quillgrid.llm import ngram_join
 s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', 3).config('spark.ui.enabled', 'false').getOrCreate()
-ngram_join.BLOCK = 48
+ngram_join.BLOCK, ngram_join.SUBTREE_BLOCK, ngram_join.PAIRS = 48, 70, 500
 rows = {[x for x in rows if x[0] is not None and x[0] >= 20000]!r}
 got = ngram_join.classes(s.createDataFrame(rows, 'doc_id long, text string')).collect()
 print('GOT', sorted((r['doc_id'], r['class_id'], r['n_links']) for r in got))
@@ -132,22 +132,27 @@ def test_recall_at_other_thresholds(spark, rows, threshold):
     assert all(got[d] <= want[d] for d in want) and sum(got.values()) >= 0.99 * sum(want.values())
 
 
-def test_pairs_are_met_once_and_at_their_longest_prefix():
+def test_meetings_are_the_longest_shared_prefixes():
     r = np.random.default_rng(3)
-    sig = r.integers(0, 3, size=(30, ngram_join.TREES, ngram_join.DEPTH)).astype(np.uint32)
+    codes = r.integers(0, 3, size=(30, ngram_join.TREES, ngram_join.DEPTH)).astype(np.uint8)
     steps = [4, 3, 2]
-    everywhere = np.ones((30, 30), dtype=bool)
-    seen = np.zeros((len(steps), 30, 30), dtype=int)
+    i, j = np.triu_indices(30, 1)
+    counted = np.zeros(len(i), dtype=int)
     for tree in range(ngram_join.TREES):
-        met = ngram_join._Meetings(sig, tree, steps, everywhere)
-        same = (sig[:, tree, : steps[-1]][:, None] == sig[:, tree, : steps[-1]][None]).all(axis=2)
-        for k in range(len(steps)):
-            seen[k] += met.at(k) & same
-    shared = lambda d: (sig[:, None, :, :d] == sig[None, :, :, :d]).all(axis=3).any(axis=2)
-    for k, d in enumerate(steps):
-        want = shared(d) & (~shared(steps[k - 1]) if k else True)
-        np.fill_diagonal(want, False)
-        assert (seen[k] == want).all()
+        at, first = ngram_join._met(codes, steps, tree, i, j)
+        counted += first
+    shared = lambda d: (codes[i, :, :d] == codes[j, :, :d]).all(axis=2).any(axis=1)
+    want = np.where(shared(4), 0, np.where(shared(3), 1, np.where(shared(2), 2, 3)))
+    assert (at == want).all() and (counted == (want < 3)).all()
+
+
+def test_shortening_ends_when_enough_is_met(spark):
+    seen = lambda *rows: spark.createDataFrame(rows, "m0 long, m1 long, m2 long, w0 double, w1 double, w2 double")
+    steps = [6, 5, 4]
+    assert ngram_join._shortened(seen((10, 0, 0, 10.0, 10.0, 10.0), (1_000_000, 1, 0, 1_000_001.0, 1_000_001.0, 1_000_001.0)), steps) == 0
+    assert ngram_join._shortened(seen((900, 100, 0, 950.0, 1000.01, 1000.0)), steps) == 1
+    assert ngram_join._shortened(seen((900, 50, 50, 990.0, 999.0, 1000.0)), steps) == 2
+    assert ngram_join._shortened(seen((0, 0, 0, 0.0, 0.0, 0.0)), steps) == 2 and ngram_join._shortened(seen((1, 0, 0, 1.0, 1.0, 1.0)).limit(0), steps) == 2
 
 
 def test_chained_edges_connect_components_and_give_no_node_many():
