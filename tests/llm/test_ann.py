@@ -105,3 +105,11 @@ def test_candidates_fall_as_rows_grow():
 
 def test_polytopes_follow_the_rows():
     assert [ann.polytopes(n, 128) for n in (10, 2000, 50_000, 10**6, 10**9)] == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 3)]
+
+
+def test_hadamard_is_the_matrix():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 8, 64, 128):
+        h = np.array([[(-1) ** bin(i & j).count("1") for j in range(n)] for i in range(n)]) / np.sqrt(n)
+        x = r.normal(size=(3, n))
+        assert np.allclose(ann.hadamard(x), x @ h)
