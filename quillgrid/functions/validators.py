@@ -323,6 +323,17 @@ def to_zip(text):  # noqa: ANN001, ANN201
     return _made(zip_of)(text)
 
 
+@F.pandas_udf(T.StringType())
+def zip_text(content: pd.Series) -> pd.Series:
+    """The text of an archive's first file."""
+
+    def first(c: bytes | None) -> str | None:
+        with zipfile.ZipFile(io.BytesIO(c)) as z:
+            return z.read(z.infolist()[0]).decode()
+
+    return content.map(first, na_action="ignore")
+
+
 def to_7z(text):  # noqa: ANN001, ANN201
     return _made(seven_zip_of)(text)
 

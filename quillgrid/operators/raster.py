@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,3 +188,58 @@ def components(mask: DataFrame, most: int = 500) -> DataFrame:
         if after.where(F.col("old") != F.col("label")).isEmpty():
             return state.select("y", "x", "label")
     raise RuntimeError("components did not settle")
+
+
+@dataclass(frozen=True)
+class Search:
+    """What is tried: a preferred strength first, then 0.0 to 2.0 by tenths, each with the preferred rounds first, then 1 to 20."""
+
+    strength: float = 1.0
+    rounds: int = 1
+
+    def offsets(self, n: int) -> list[tuple[int, float, int]]:
+        """(offset, strength, rounds): of those that shift alike the first one tried."""
+        strengths = list(dict.fromkeys([self.strength, *[s / 10 for s in range(21)]]))
+        seen: dict[int, tuple[float, int]] = {}
+        for s in strengths:
+            for r in dict.fromkeys([self.rounds, *range(1, 21)]):
+                seen.setdefault(shift(n, s) * r % n, (s, r))
+        return [(o, *x) for o, x in seen.items()]
+
+
+@dataclass(frozen=True)
+class Given(Search):
+    """Offsets that are given: (offset, strength, rounds)."""
+
+    tried: tuple[tuple[int, float, int], ...] = ()
+
+    def offsets(self, n: int) -> list[tuple[int, float, int]]:
+        return list(self.tried)
+
+
+def rank_along_curve(pictures: DataFrame, height: int, search: Search = Search(), top: int = 3) -> DataFrame:
+    """(image, rank, strength, rounds, offset, score): the best ways to undo a shift of each picture of WIDTH x height pixels
+    along its curve, by the mean difference of neighbours on a sampled grid; ties by distance from the preferred strength,
+    then the preferred rounds, fewer rounds, less strength. A picture is one row of bounded size."""
+    path = np.array(curve(WIDTH, height))
+    place = np.empty((height, WIDTH), dtype=np.int64)
+    place[path[:, 1], path[:, 0]] = np.arange(len(path))
+    n = WIDTH * height
+    stride = max(1, math.isqrt(n // SAMPLE_PIXELS))
+    ys, xs = np.mgrid[0:height:stride, 0:WIDTH:stride]
+    pairs = [(place[y, x], place[y + dy, x + dx]) for dy, dx in ((0, 1), (1, 0)) for y, x in [(ys[(ys + dy < height) & (xs + dx < WIDTH)], xs[(ys + dy < height) & (xs + dx < WIDTH)])]]
+    one, other = (np.concatenate(side) for side in zip(*pairs))
+    tried = search.offsets(n)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, values in zip(batch.column(0).to_pylist(), batch.column(1)):
+                line = np.empty(n, dtype=np.int64)
+                line[place.ravel()] = values.values.to_numpy()
+                scores = [round(float(np.abs(line[(one + o) % n] - line[(other + o) % n]).mean()), 6) for o, _, _ in tried]
+                order = sorted(range(len(tried)), key=lambda i: (scores[i], round(abs(tried[i][1] - search.strength), 6), tried[i][2] != search.rounds, tried[i][2], tried[i][1]))[:top]
+                columns = [[image] * len(order), list(range(1, len(order) + 1)), [tried[i][1] for i in order], [tried[i][2] for i in order], [tried[i][0] for i in order], [scores[i] for i in order]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.float64()))], names=["image", "rank", "strength", "rounds", "offset", "score"])
+
+    rows = pictures.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).where(F.size("p") == n)
+    return rows.select("image", F.transform("p", lambda c: c["v"]).alias("v")).mapInArrow(ranked, "image long, rank int, strength double, rounds int, offset long, score double")

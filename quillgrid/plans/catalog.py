@@ -423,9 +423,12 @@ def png_roundtrip(spark, sf_dir):
     return chunks.select("doc_id", containers.itxt_text(F.filter("c", lambda c: (c["type"] == "iTXt") & c["crc_ok"])[0]["data"]).alias("text"))
 
 
-@query("SELECT doc_id, lang AS record FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 1 THEN coalesce(lang, '') || ':' || n_chars END AS record FROM documents")
 def trailer_roundtrip(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", containers.tail_of(containers.with_tail(F.col("text").cast("binary"), F.col("lang"))).alias("record"))
+    """Records behind texts; each fourth file has lost its last byte."""
+    whole = containers.with_tail(F.col("text").cast("binary"), F.concat(F.coalesce("lang", F.lit("")), F.lit(":"), F.col("n_chars").cast("string")))
+    kept = table(spark, sf_dir, "documents").select("doc_id", whole.alias("c")).select("doc_id", F.expr("substring(c, 1, octet_length(c) - IF(doc_id % 4 = 1, 1, 0))").alias("c"))
+    return kept.select("doc_id", containers.tail_of(F.col("c")).alias("record"))
 
 
 @query("SELECT user_id, event_id, event_type, n FROM (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -433,54 +436,89 @@ def events_latest_wins(spark, sf_dir):
     return latest(table(spark, sf_dir, "events"))
 
 
-@query("SELECT doc_id, doc_id % 4 <> 0 AS ok FROM documents")
+@query("SELECT doc_id, doc_id % 5 IN (0, 3) AS ok FROM documents")
 def mp4_check(spark, sf_dir):
-    data, empty = F.col("text").cast("binary"), F.lit(b"")
-    head = validators.box("ftyp", F.lit(b"isom\0\0\2\0"))
-    whole = F.concat(head, F.when(F.col("doc_id") % 4 == 0, empty).otherwise(validators.box("moov", empty)), validators.box("mdat", data))
-    return table(spark, sf_dir, "documents").select("doc_id", validators.valid_mp4(whole).alias("ok"))
-
-
-def _damaged(spark, sf_dir, make, check):
-    """Files made from all texts, each fifth one byte short."""
+    """Films whole, without their index, a byte short, with a size of 64 bits, and with too short a head."""
+    data, empty, kind = F.col("text").cast("binary"), F.lit(b""), F.col("doc_id") % 5
+    head = F.when(kind == 4, validators.box("ftyp", F.lit(b"isom"))).otherwise(validators.box("ftyp", F.lit(b"isom\0\0\2\0")))
+    wide = F.concat(F.lit(b"\0\0\0\1mdat"), F.unhex(F.lpad(F.hex(F.octet_length(data) + 16), 16, "0")), data)
+    whole = F.concat(head, F.when(kind == 1, empty).otherwise(validators.box("moov", empty)), F.when(kind == 3, wide).otherwise(validators.box("mdat", data)))
+    films = table(spark, sf_dir, "documents").select("doc_id", whole.alias("c")).select("doc_id", F.expr("substring(c, 1, octet_length(c) - IF(doc_id % 5 = 2, 1, 0))").alias("c"))
+    return films.select("doc_id", validators.valid_mp4("c").alias("ok"))
+
+
+def _damaged(spark, sf_dir, make, check, fourth):
+    """Files made from all texts: by number whole, a byte short, with another first byte, with a byte behind, or with the
+    fourth kind of damage."""
     made = table(spark, sf_dir, "documents").select("doc_id", make("text").alias("c"))
-    return made.select("doc_id", check(F.expr("substring(c, 1, octet_length(c) - IF(doc_id % 5 = 0, 1, 0))")).alias("ok"))
+    kind, n = F.col("doc_id") % 5, F.octet_length("c")
+    short, headless, longer = F.substring("c", F.lit(1), n - 1), F.concat(F.lit(b"x"), F.substring("c", F.lit(2), n)), F.concat("c", F.lit(b"x"))
+    file = F.when(kind == 1, short).when(kind == 2, headless).when(kind == 3, longer).when(kind == 4, fourth(F.col("c"), n)).otherwise(F.col("c"))
+    return made.select("doc_id", check(file).alias("ok"))
 
 
-@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+@query("SELECT doc_id, doc_id % 5 = 0 AS ok FROM documents")
 def zip_check(spark, sf_dir):
-    return _damaged(spark, sf_dir, validators.to_zip, validators.valid_zip)
+    """The fourth kind: one entry more is said to be there."""
+    return _damaged(spark, sf_dir, validators.to_zip, validators.valid_zip, lambda c, n: F.concat(F.substring(c, F.lit(1), n - 14), F.lit(b"\2\0\2\0"), F.substring(c, n - 9, F.lit(10))))
 
 
-@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+@query("SELECT doc_id, doc_id % 5 IN (0, 3, 4) AS ok FROM documents")
 def seven_zip_check(spark, sf_dir):
-    return _damaged(spark, sf_dir, validators.to_7z, validators.valid_7z)
+    """A byte behind is no damage, nor is the fourth kind: another version."""
+    return _damaged(spark, sf_dir, validators.to_7z, validators.valid_7z, lambda c, n: F.concat(F.substring(c, F.lit(1), F.lit(6)), F.lit(b"\x09\x09"), F.substring(c, F.lit(9), n)))
 
 
-@query("SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents")
+@query("SELECT doc_id, doc_id % 5 = 0 AS ok FROM documents")
 def safetensors_check(spark, sf_dir):
-    return _damaged(spark, sf_dir, validators.to_safetensors, validators.valid_safetensors)
+    """The fourth kind: a header that doesn't begin as an object."""
+    return _damaged(spark, sf_dir, validators.to_safetensors, validators.valid_safetensors, lambda c, n: F.concat(F.substring(c, F.lit(1), F.lit(8)), F.lit(b"["), F.substring(c, F.lit(10), n)))
+
+
+def _hex_sql(x: str) -> str:
+    return f"lower(hex(encode({x})))"
+
+
+EXIF_SQL = "'49492a0008000000010012010300010000000' || turned || '00000000000000'"
+TURNED = "CAST(doc_id % 9 AS INT)"
 
 
-@query("SELECT doc_id, '47494638396101000100000000' || '2c0000000001000100000202' || '4c01003b' AS cleaned FROM documents")
+def _exif(turned):
+    """An EXIF block with an orientation, in the order of bytes that an odd or even number says."""
+    hexed = F.lpad(F.hex(turned), 2, "0")
+    little = F.concat(F.lit("49492A000800000001001201030001000000"), hexed, F.lit("00000000000000"))
+    big = F.concat(F.lit("4D4D002A0000000800010112000300000001"), F.lit("00"), hexed, F.lit("000000000000"))
+    return F.unhex(F.when(F.col("doc_id") % 2 == 0, little).otherwise(big))
+
+
+@query(f"""SELECT doc_id, '47494638396101000100000000' || CASE WHEN doc_id % 2 = 1 THEN '21ff0b' || {_hex_sql("'NETSCAPE2.0'")} || '0301000000' ELSE '' END || '21f904' || lower(printf('%08x', CAST(doc_id AS BIGINT))) || '00' || '2c0000000001000100000210' || md5(text) || '003b' AS cleaned FROM documents""")
 def gif_clean(spark, sf_dir):
-    note = F.concat(F.lit(b"\x21\xfe"), F.unhex(F.lpad(F.hex(F.octet_length("lang")), 2, "0")), F.col("lang").cast("binary"), F.lit(b"\0"))
-    gif = F.concat(F.lit(b"GIF89a\1\0\1\0\0\0\0"), note, F.lit(b"\x2c\0\0\0\0\1\0\1\0\0\x02\x02\x4c\x01\0\x3b"))
+    """Of a loop mark, a comment, an application's data, a delay and a picture, comment and data go."""
+    digest = F.md5("text")
+    loop = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit(b"\x21\xff\x0bNETSCAPE2.0"), F.unhex(F.lit("0301000000")))).otherwise(F.lit(b""))
+    note, app = F.concat(F.lit(b"\x21\xfe\x20"), digest.cast("binary"), F.lit(b"\0")), F.concat(F.lit(b"\x21\xff\x0bXMP DataXMP\x20"), digest.cast("binary"), F.lit(b"\0"))
+    delay = F.concat(F.lit(b"\x21\xf9\x04"), F.unhex(F.lpad(F.hex("doc_id"), 8, "0")), F.lit(b"\0"))
+    gif = F.concat(F.lit(b"GIF89a\1\0\1\0\0\0\0"), loop, note, app, delay, F.lit(b"\x2c\0\0\0\0\1\0\1\0\0\x02\x10"), F.unhex(digest), F.lit(b"\0\x3b"))
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(validators.gif_without_notes(gif))).alias("cleaned"))
 
 
-@query("SELECT doc_id, 'ffd8ffda0002' || 'aabbffd9' AS cleaned FROM documents")
+@query(f"""SELECT doc_id, 'ffd8' || CASE WHEN doc_id % 3 <> 0 THEN 'ffe000104a46494600010100000100010000' ELSE '' END || CASE WHEN turned > '1' AND turned < '9' THEN 'ffe10022457869660000' || {EXIF_SQL} ELSE '' END || 'ffdb0004' || left(md5(text), 4) || 'ffda0002' || {_hex_sql("md5(text)")} || 'ffd9' AS cleaned FROM (SELECT doc_id, text, CAST({TURNED} AS VARCHAR) AS turned FROM documents)""")
 def jpeg_clean(spark, sf_dir):
-    note = F.concat(F.lit(b"\xff\xfe"), F.unhex(F.lpad(F.hex(F.octet_length("lang") + 2), 4, "0")), F.col("lang").cast("binary"))
-    jpeg = F.concat(F.lit(b"\xff\xd8"), note, F.lit(b"\xff\xda\x00\x02\xaa\xbb\xff\xd9"))
+    """Of a head, a comment, an orientation, an application's data, a table and a scan, comment and data go; an orientation
+    that turns nothing goes too."""
+    digest = F.md5("text")
+    head = F.when(F.col("doc_id") % 3 != 0, F.unhex(F.lit("ffe000104a46494600010100000100010000"))).otherwise(F.lit(b""))
+    exif = F.concat(F.lit(b"\xff\xe1\x00\x22Exif\0\0"), _exif(F.col("doc_id") % 9))
+    jpeg = F.concat(F.lit(b"\xff\xd8"), head, F.lit(b"\xff\xfe\x00\x22"), digest.cast("binary"), exif, F.lit(b"\xff\xed\x00\x04zz"), F.lit(b"\xff\xdb\x00\x04"), F.unhex(F.left(digest, F.lit(4))), F.lit(b"\xff\xda\x00\x02"), digest.cast("binary"), F.lit(b"\xff\xd9"))
     return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(validators.jpeg_without_notes(jpeg))).alias("cleaned"))
 
 
-@query("SELECT doc_id, text AS prompt, coalesce(lang, '') AS negative, '18446744073709551615' AS seed, source || ', Size: 1' AS model FROM documents WHERE text NOT LIKE '%Negative prompt:%' AND text NOT LIKE '%' || chr(13) || '%' AND text = rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')")
+@query(r"""SELECT doc_id, CASE WHEN k > 0 THEN rtrim(left(t, greatest(k - 2, 0)), x) ELSE rtrim(t, x) END AS prompt, CASE WHEN k > 0 THEN ltrim(substr(t, k + 16), x) || chr(10) || 'Negative prompt: ' || coalesce(lang, '') ELSE coalesce(lang, '') END AS negative, '18446744073709551615' AS seed, source || ', Size: 1' AS model
+FROM (SELECT *, position(chr(10) || 'Negative prompt:' IN chr(10) || t) AS k FROM (SELECT doc_id, lang, source, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' AS x, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents))""")
 def webui_parameters(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("Negative prompt:") & ~F.col("text").contains("\r") & ~F.col("text").rlike(r"[\t\n\x0B\f\r ]\z"))
-    made = F.concat("text", F.lit("\nNegative prompt: "), F.coalesce("lang", F.lit("")), F.lit("\nSteps: 20, Seed: 18446744073709551615, Model: \""), "source", F.lit(", Size: 1\""))
-    p = d.select("doc_id", prompts.parameters(made).alias("p"))
+    """Any text as a prompt with its parameters; blanks at its end are not kept."""
+    made = F.concat(F.coalesce("text", F.lit("")), F.lit("\nNegative prompt: "), F.coalesce("lang", F.lit("")), F.lit("\nSteps: 20, Seed: 18446744073709551615, Model: \""), "source", F.lit(", Size: 1\""))
+    p = table(spark, sf_dir, "documents").select("doc_id", prompts.parameters(made).alias("p"))
     return p.select("doc_id", "p.prompt", "p.negative", F.col("p.fields")["Seed"].alias("seed"), F.col("p.fields")["Model"].alias("model"))
 
 
@@ -631,15 +669,35 @@ def ring_corners(spark, sf_dir):
 # --- more files, graphs, names, histories -------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 0 AS notes, 3 AS chunks FROM documents")
+@query(f"""SELECT doc_id, 'IHDR' || CASE WHEN doc_id % 2 = 0 THEN ',gAMA' ELSE '' END || CASE WHEN turned BETWEEN '2' AND '8' THEN ',eXIf' ELSE '' END || ',IDAT,IEND' AS kinds, CASE WHEN doc_id % 2 = 0 THEN lower(printf('%08x', CAST(doc_id AS BIGINT))) ELSE '' END || CASE WHEN turned BETWEEN '2' AND '8' THEN {EXIF_SQL} ELSE '' END AS kept, md5(text) AS picture FROM (SELECT doc_id, text, CAST({TURNED} AS VARCHAR) AS turned FROM documents)""")
 def png_clean(spark, sf_dir):
-    png = table(spark, sf_dir, "documents").select("doc_id", containers.png_chunks(cleaners.png_without_notes(containers.to_png("text"))).alias("c"))
-    return png.select("doc_id", F.size(F.filter("c", lambda c: c["type"].isin("tEXt", "iTXt", "zTXt", "comf"))).alias("notes"), F.size("c").alias("chunks"))
+    """Of a head, a gamma, three notes, an orientation and a picture, notes go, and an orientation that turns nothing."""
+    def chunk(kind, data):
+        body = F.concat(F.lit(kind.encode()), data)
+        return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), body, F.unhex(F.lpad(F.hex(F.crc32(body)), 8, "0")))
+
+    text = F.col("text").cast("binary")
+    gamma = F.when(F.col("doc_id") % 2 == 0, chunk("gAMA", F.unhex(F.lpad(F.hex("doc_id"), 8, "0")))).otherwise(F.lit(b""))
+    notes = [chunk("tEXt", F.concat(F.lit(b"note\0"), text)), chunk("iTXt", text), chunk("tIME", F.lit(b"1234567"))]
+    png = F.concat(F.lit(containers.SIGNATURE), chunk("IHDR", F.lit(b"\0\0\0\1\0\0\0\1\x08\0\0\0\0")), gamma, *notes, chunk("eXIf", _exif(F.col("doc_id") % 9)), chunk("IDAT", F.unhex(F.md5("text"))), chunk("IEND", F.lit(b"")))
+    c = table(spark, sf_dir, "documents").select("doc_id", containers.png_chunks(cleaners.png_without_notes(png)).alias("c"))
+    data = lambda *kinds: F.lower(F.array_join(F.transform(F.filter("c", lambda x: x["type"].isin(*kinds)), lambda x: F.hex(x["data"])), ""))
+    return c.select("doc_id", F.array_join(F.transform("c", lambda x: x["type"]), ",").alias("kinds"), data("gAMA", "eXIf").alias("kept"), data("IDAT").alias("picture"))
 
 
-@query("SELECT doc_id, '524946460e00000057454250' || '5650384c02000000' || '2f00' AS cleaned FROM documents")
+@query(f"""SELECT doc_id, '52494646' || lower(printf('%02x', CAST(46 + CASE WHEN doc_id % 3 = 0 THEN 12 ELSE 0 END + CASE WHEN turned BETWEEN '2' AND '8' THEN 34 ELSE 0 END AS BIGINT))) || '000000' || '57454250' || '565038580a000000' || CASE WHEN turned BETWEEN '2' AND '8' THEN '38' ELSE '30' END || '000000000000000000' || CASE WHEN doc_id % 3 = 0 THEN '4943435004000000' || left(md5(text), 8) ELSE '' END || '5650384c10000000' || md5(text) || CASE WHEN turned BETWEEN '2' AND '8' THEN '455849461a000000' || {EXIF_SQL} ELSE '' END AS cleaned FROM (SELECT doc_id, text, CAST({TURNED} AS VARCHAR) AS turned FROM documents)""")
 def webp_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(cleaners.webp_without_notes(metadata.to_exif_webp("text")))).alias("cleaned"))
+    """Of flags, a colour profile, a picture, an orientation and a note, the note goes, flags and size are made right."""
+    def part(kind, data):
+        n = F.octet_length(data)
+        return F.concat(F.lit(kind), F.unhex(F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), F.lit("0000"))), data, F.when(n % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+
+    digest = F.md5("text")
+    profile = F.when(F.col("doc_id") % 3 == 0, part(b"ICCP", F.unhex(F.left(digest, F.lit(8))))).otherwise(F.lit(b""))
+    body = F.concat(F.lit(b"WEBP"), part(b"VP8X", F.unhex(F.lit("3c000000000000000000"))), profile, part(b"VP8L", F.unhex(digest)), part(b"EXIF", F.concat(F.lit(b"Exif\0\0"), _exif(F.col("doc_id") % 9))), part(b"XMP ", F.left(digest, F.lit(31)).cast("binary")))
+    n = F.octet_length(body)
+    webp = F.concat(F.lit(b"RIFF"), F.unhex(F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), F.lit("0000"))), body)
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(cleaners.webp_without_notes(webp))).alias("cleaned"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -647,12 +705,13 @@ def exif_comment(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", metadata.picture_fields(metadata.to_exif_webp("text"))["parameters"].alias("text"))
 
 
-@query("SELECT doc_id, true AS same_length, false AS left_over FROM documents")
+@query("""SELECT doc_id, sha256(unhex('00000010' || '66747970' || '69736f6d00000200' || printf('%08x', CAST(40 + n AS BIGINT)) || '6d6f6f76' || '00000018' || '6d766864' || '00000000' || repeat('00', 8) || '72657374' || printf('%08x', CAST(8 + n AS BIGINT)) || '66726565' || repeat('00', n) || '00000009' || '6d646174' || '78')) AS sha256 FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
 def mp4_clean(spark, sf_dir):
-    box, text = validators.box, F.col("text").cast("binary")
-    film = F.concat(box("ftyp", F.lit(b"isom\0\0\2\0")), box("moov", F.concat(box("udta", text), box("trak", F.lit(b"")))), box("mdat", F.lit(b"x")))
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", film.alias("film"), text.alias("t")).withColumn("out", cleaners.mp4_without_notes("film"))
-    return d.select("doc_id", (F.octet_length("film") == F.octet_length("out")).alias("same_length"), F.contains("out", "t").alias("left_over"))
+    """A film with a date and a note: the note becomes free space of its length, the date zero, and nothing moves."""
+    box, text = validators.box, F.coalesce("text", F.lit("")).cast("binary")
+    dated = box("mvhd", F.concat(F.lit(b"\0\0\0\0"), F.unhex(F.left(F.md5(text), F.lit(16))), F.lit(b"rest")))
+    film = F.concat(box("ftyp", F.lit(b"isom\0\0\2\0")), box("moov", F.concat(dated, box("udta", text))), box("mdat", F.lit(b"x")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(cleaners.mp4_without_notes(film), 256).alias("sha256"))
 
 
 @query(rf"""WITH c AS (SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '(?i)^(enable|disable|enabled|disabled|fixed|populate|reproduce|randomize|increment|decrement|normal|default|none|cpu|cuda|auto)$|(\.(safetensors|ckpt|gguf|pth|pt)|[\\/])$') THEN '' ELSE coalesce(text, '') END AS t FROM conversations)
@@ -748,23 +807,26 @@ def image_gif(spark, sf_dir):
     return images.as_gif(_images(spark, sf_dir).withColumn("job", F.floor(F.col("image") / 4)), "job")
 
 
+PACKED = "SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'x') || '.zip' AS name FROM documents"
+
+
 def _packed(spark, sf_dir, mode, cover):
-    made = packaging.packed_file(mode)(cover, validators.to_zip("text"), F.concat("lang", F.lit(".zip")))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", validators.to_zip("text").alias("zip"), made.alias("carrier"))
-    out = d.select("doc_id", "lang", "zip", "carrier", packaging.unpacked_file("carrier").alias("f"))
-    return out.select("doc_id", (F.col("f.content") == F.col("zip")).alias("same"), (F.col("f.name") == F.concat("lang", F.lit(".zip"))).alias("named"))
+    """Texts, zipped, hidden in a cover, taken out of it and unzipped."""
+    name = F.concat(F.coalesce("lang", F.lit("x")), F.lit(".zip"))
+    made = packaging.packed_file(mode)(cover, validators.to_zip("text"), name)
+    return table(spark, sf_dir, "documents").select("doc_id", packaging.unpacked_file(made).alias("f")).select("doc_id", validators.zip_text("f.content").alias("text"), F.col("f.name").alias("name"))
 
 
-@query("SELECT doc_id, true AS same, true AS named FROM documents")
+@query(PACKED)
 def png_package_roundtrip(spark, sf_dir):
     return _packed(spark, sf_dir, "png", containers.to_png("source"))
 
 
-@query("SELECT doc_id, true AS same, true AS named FROM documents")
+@query(PACKED)
 def jpeg_package_roundtrip(spark, sf_dir):
     return _packed(spark, sf_dir, "jpeg", F.lit(b"\xff\xd8\xff\xda\x00\x02\xaa\xbb\xff\xd9"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
 def behind_package_roundtrip(spark, sf_dir):
-    return _packed(spark, sf_dir, "behind", containers.to_png("source")).select("doc_id", "same")
+    return _packed(spark, sf_dir, "behind", containers.to_png("source")).select("doc_id", "text")

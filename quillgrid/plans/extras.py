@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType
 
 from ..functions import naming, reports
 from ..operators import masks
+from ..operators import raster as ops
 from ..sources.tables import raster, table
 from ..streaming import frames
 from .catalog import IMG, PX, _images, _kept_folder, query
@@ -401,6 +402,45 @@ def detected_codes(spark, sf_dir):
     return line.select("image", F.array_join(F.transform(F.slice("c", 1, 32), lambda c: F.concat_ws(":", c["top"].cast("string"), c["left_x"].cast("string"))), ",").alias("codes"))
 
 
+def _curve_sql() -> str:
+    cells = ops.curve(64, 64)
+    return f"cv AS (SELECT unnest(range(4096)) AS p, unnest({[x for x, _ in cells]}) AS x, unnest({[y for _, y in cells]}) AS y)"
+
+
+def _search_sql(strength: str, preferred_rounds: int) -> str:
+    return f"""s0 AS (SELECT s, r, row_number() OVER (ORDER BY s <> {strength}, s, r <> {preferred_rounds}, r) AS visit FROM (SELECT DISTINCT unnest(list_append([i / 10.0::DOUBLE FOR i IN range(21)], {strength}::DOUBLE)) AS s), (SELECT unnest(range(1, 21)) AS r)),
+o AS (SELECT CAST(floor(s * ((sqrt(5.0::DOUBLE) - 1) / 2) * 4096 + 0.5) AS BIGINT) % 4096 * r % 4096 AS off, arg_min(s, visit) AS s, arg_min(r, visit) AS r FROM s0 GROUP BY 1)"""
+
+
+def _curve_scores_sql(offsets: str) -> str:
+    return f"""WITH {PX}, {IMG}, {_curve_sql()}, {offsets}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)),
+n AS (SELECT a.p AS p, b.p AS q FROM cv a JOIN cv b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)),
+sc AS (SELECT a.image, off, any_value(s) AS s, any_value(r) AS r, round(avg(abs(a.v - b.v)), 6) AS score FROM n, o JOIN line a ON a.p = (n.p + off) % 4096 JOIN line b ON b.image = a.image AND b.p = (n.q + off) % 4096 GROUP BY a.image, off)"""
+
+
+@query(_curve_scores_sql(_search_sql("1.05", 2)) + """ SELECT image, CAST(row_number() OVER k AS INT) AS rank, s AS strength, CAST(r AS INT) AS rounds, off AS "offset", score FROM sc WINDOW k AS (PARTITION BY image ORDER BY score, round(abs(s - 1.05), 6), r <> 2, r, s) QUALIFY row_number() OVER k <= 3""")
+def rank_curve_parameters(spark, sf_dir):
+    """Strength and rounds of a shift along the curve, 22 strengths by 20 rounds, for each whole picture."""
+    return ops.rank_along_curve(_images(spark, sf_dir), 64, ops.Search(1.05, 2))
+
+
+@query(_curve_scores_sql("o AS (SELECT CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * 4096 + 0.5) AS BIGINT) % 4096 * r % 4096 AS off, 1.0::DOUBLE AS s, r FROM (SELECT unnest(range(1, 21)) AS r))") + """ SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY score, r) AS INT) AS rank, CAST(r AS INT) AS rounds, off AS "offset", score FROM sc""")
+def rank_curve_rounds(spark, sf_dir):
+    """1 to 20 rounds of one strength along the curve, for each whole picture."""
+    tried = [(o, s, r) for r in range(1, 21) for o, s in [(ops.shift(4096, 1.0) * r % 4096, 1.0)]]
+    return ops.rank_along_curve(_images(spark, sf_dir), 64, ops.Given(1.0, 1, tuple(tried)), top=20).drop("strength")
+
+
+@query(f"WITH {PX}, {IMG}, {_curve_sql()}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)) SELECT c.y, c.x, l.image, l.v FROM cv c JOIN line l ON l.p = (c.p + CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * 4096 + 0.5) AS BIGINT) % 4096) % 4096")
+def curve_scramble(spark, sf_dir):
+    """Whole pictures with every pixel moved along the curve by the golden section of its length."""
+    p = raster(spark, sf_dir)
+    rows = p.agg(F.max("y")).first()[0]
+    whole = 0 if rows is None else (rows + 1) // 64 * 64
+    moved = ops.scramble(p.where(F.col("y") < whole), 64, whole)
+    return moved.select((F.col("y") % 64).alias("y"), "x", F.floor(F.col("y") / 64).alias("image"), "v")
+
+
 # --- sets, sums, reports -----------------------------------------------------------------------------------------
 
 
