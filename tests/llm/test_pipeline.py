@@ -1,4 +1,9 @@
+import random
+from pathlib import Path
+from urllib.parse import urlparse
+
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -19,6 +24,26 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sum(r["length"] for r in packed) == sum(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in docs.collect())
 
 
+def test_odd_rows_go_through(spark, sf_dir, docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns with clashing names, and nothing at all."""
+    r = random.Random(7)
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).withColumn("length", F.lit("clash"))
+    odd = docs.union(docs).union(some).union(some).union(some.limit(1).withColumn("text", F.lit(" ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(60_000)))))
+    odd = odd.withColumn("row", F.lit("clash")).withColumn("tokens", F.lit(None).cast("string"))
+    for name, rows in (("some", odd), ("none", odd.limit(0))):
+        at = rows
+        for i, (_, stage) in enumerate(cp.STAGES):
+            stage(spark, at, sf_dir).write.parquet(str(tmp_path / name / str(i)))
+            before, at = at, spark.read.parquet(str(tmp_path / name / str(i)))
+            if i < 4:
+                assert at.columns == odd.columns
+        assert (at.count() > 0) == (name == "some")
+        assert before.where("doc_id is not null").groupBy("text").count().where("count > 5").count() == 0  # one row of a class, mixed at most MOST times
+
+
 def test_run(spark, sf_dir):
-    assert cp.run(spark, sf_dir).count() > 0
+    out = cp.run(spark, sf_dir)
+    assert out.count() > 0
+    folder = Path(urlparse(out.inputFiles()[0]).path).parent
+    assert [x.name for x in folder.parent.iterdir()] == ["4"]  # the other stages' tables are gone
     assert [n for n, _ in cp.STAGES] == ["quality rules", "n-gram Jaccard join", "personal data", "mixing", "best-fit packing"]
