@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; what it returns is written as
 Parquet and read again. All but the last return the columns of `documents`.
+
+Cases: a null or empty text fails the quality rules; null, equal or repeated doc_ids are rows like others until the second
+stage, which keeps one row of each class of texts and, of equal rows, one; ties are settled by doc_id and hashes; texts of
+any length are worked on whole; further columns, whatever their names, go through all stages but the last; without labels
+all documents share one posterior and are mixed at one rate; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,10 +53,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written to the cluster's shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    """The stages over `documents`, each written to the cluster's shared folder and read again; a stage's table is removed
+    when the next one is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}", None
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}")
         docs = spark.read.parquet(path)
+        if before:
+            _removed(spark, before)
+        before = path
     return docs
