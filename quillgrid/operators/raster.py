@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import WIDTH
@@ -16,6 +16,8 @@ from ..sources.tables import WIDTH
 #: Share of a raster that one unit of strength shifts by: the golden section.
 SECTION = (math.sqrt(5) - 1) / 2
 SAMPLE_PIXELS = 12_000
+#: Rows of a tile that a window down a column holds.
+TILE_ROWS = 512
 
 
 def shift(n: int, strength: float) -> int:
@@ -86,10 +88,38 @@ def scramble(pixels: DataFrame, height: int, rows: int, strength: float = 1.0, b
     return out if out is not None else pixels.select("y", "x", "v")
 
 
+def tiled(pixels: DataFrame, radius: int, rows: int = TILE_ROWS) -> DataFrame:
+    """pixels with `tile`, each row also in the tile above or below that looks at most `radius` rows over its edge: a window
+    down a column then holds a tile's rows, not the table's. `own` keeps what belongs to its tile."""
+    at = lambda y: F.floor(y / rows)
+    near = F.array_distinct(F.array(at(F.col("y")), at(F.col("y") - radius), at(F.col("y") + radius)))
+    return pixels.withColumn("tile", F.explode(near))
+
+
+def own(pixels: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+    return pixels.where(F.floor(F.col("y") / rows) == F.col("tile")).drop("tile")
+
+
+def down() -> WindowSpec:
+    """A column of a tile from top to bottom."""
+    return Window.partitionBy("tile", "x").orderBy("y")
+
+
 def box_mean(pixels: DataFrame, radius: int, along: str, across: str) -> DataFrame:
     """Mean of the 2 * radius + 1 values along an axis, clipped at the edges and truncated."""
-    w = Window.partitionBy(across).orderBy(along).rowsBetween(-radius, radius)
-    return pixels.withColumn("v", F.floor(F.sum("v").over(w) / F.count("v").over(w)).cast("int"))
+    columns = pixels.columns
+    w = (down() if along == "y" else Window.partitionBy(across).orderBy(along)).rowsBetween(-radius, radius)
+    mean = F.floor(F.sum("v").over(w) / F.count("v").over(w)).cast("int")
+    return own(tiled(pixels, radius).withColumn("v", mean)).select(*columns) if along == "y" else pixels.withColumn("v", mean)
+
+
+def running_down(pixels: DataFrame, name: str, rows: int = TILE_ROWS) -> DataFrame:
+    """`name` summed from the top of each column to each row: within tiles, plus the sums of the tiles above, of which there
+    are as many as the table has tiles."""
+    tiles = pixels.withColumn("tile", F.floor(F.col("y") / rows))
+    above = Window.partitionBy("x").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    sums = tiles.groupBy("x", "tile").agg(F.sum(name).alias("_sum")).select("x", "tile", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_above"))
+    return tiles.join(sums, ["x", "tile"]).withColumn(name, F.sum(name).over(down()) + F.col("_above")).drop("tile", "_above")
 
 
 def quantile(histogram: DataFrame, per_mille: Column) -> Column:
@@ -105,8 +135,8 @@ def running(histogram: DataFrame) -> DataFrame:
 
 def predictor_costs(pixels: DataFrame) -> DataFrame:
     """(y, filter, cost): the sum of absolute residuals of each row under the five PNG predictors."""
-    left, up = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
-    p = pixels.withColumn("b", F.coalesce(F.lag("v").over(up), F.lit(0))).withColumn("a", F.coalesce(F.lag("v").over(left), F.lit(0))).withColumn("c", F.coalesce(F.lag("b").over(left), F.lit(0)))
+    left = Window.partitionBy("y").orderBy("x")
+    p = own(tiled(pixels, 1).withColumn("b", F.coalesce(F.lag("v").over(down()), F.lit(0)))).withColumn("a", F.coalesce(F.lag("v").over(left), F.lit(0))).withColumn("c", F.coalesce(F.lag("b").over(left), F.lit(0)))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     pa, pb, pc = F.abs(b - c), F.abs(a - c), F.abs(a + b - 2 * c)
     nearest = F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)

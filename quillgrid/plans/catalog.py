@@ -216,7 +216,7 @@ def mosaic(spark, sf_dir):
 
 @query(f"WITH {PX}, d AS (SELECT v, lead(v) OVER (PARTITION BY y ORDER BY x) AS r, lead(v) OVER (PARTITION BY x ORDER BY y) AS b FROM px) SELECT CAST(sum(coalesce(abs(v - r), 0) + coalesce(abs(v - b), 0)) AS BIGINT) AS total, count(r) + count(b) AS pairs FROM d")
 def continuity(spark, sf_dir):
-    d = raster(spark, sf_dir).withColumn("r", F.lead("v").over(Window.partitionBy("y").orderBy("x"))).withColumn("b", F.lead("v").over(Window.partitionBy("x").orderBy("y")))
+    d = ops.own(ops.tiled(raster(spark, sf_dir), 1).withColumn("b", F.lead("v").over(ops.down()))).withColumn("r", F.lead("v").over(Window.partitionBy("y").orderBy("x")))
     zero = F.lit(0)
     return d.agg(F.sum(F.coalesce(F.abs(F.col("v") - F.col("r")), zero) + F.coalesce(F.abs(F.col("v") - F.col("b")), zero)).alias("total"), (F.count("r") + F.count("b")).alias("pairs"))
 
@@ -224,7 +224,7 @@ def continuity(spark, sf_dir):
 @query(f"WITH {PX}, a AS (SELECT y, x, sum(v) OVER (PARTITION BY y ORDER BY x) AS s FROM px) SELECT y, x, CAST(sum(s) OVER (PARTITION BY x ORDER BY y) AS BIGINT) AS s FROM a")
 def integral_image(spark, sf_dir):
     a = raster(spark, sf_dir).withColumn("s", F.sum("v").over(Window.partitionBy("y").orderBy("x")))
-    return a.select("y", "x", F.sum("s").over(Window.partitionBy("x").orderBy("y")).alias("s"))
+    return ops.running_down(a, "s").select("y", "x", "s")
 
 
 @query(f"""WITH {PX}, a AS (SELECT y, x, sum(v) OVER w AS s, count(v) OVER w AS n FROM px WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
@@ -232,8 +232,9 @@ SELECT y, x, CAST(least(211, greatest(96, sum(s) OVER w // sum(n) OVER w)) AS IN
 def box_threshold(spark, sf_dir):
     w = Window.partitionBy("y").orderBy("x").rowsBetween(-2, 2)
     a = raster(spark, sf_dir).select("y", "x", F.sum("v").over(w).alias("s"), F.count("v").over(w).alias("n"))
-    w = Window.partitionBy("x").orderBy("y").rowsBetween(-2, 2)
-    return a.select("y", "x", F.least(F.lit(211), F.greatest(F.lit(96), F.floor(F.sum("s").over(w) / F.sum("n").over(w)))).cast("int").alias("threshold"))
+    w = ops.down().rowsBetween(-2, 2)
+    mean = F.least(F.lit(211), F.greatest(F.lit(96), F.floor(F.sum("s").over(w) / F.sum("n").over(w)))).cast("int")
+    return ops.own(ops.tiled(a, 2).withColumn("threshold", mean)).select("y", "x", "threshold")
 
 
 @query(f"""WITH {PX}, n AS (SELECT y, x, v, coalesce(lag(v) OVER (PARTITION BY y ORDER BY x), 0) AS a, coalesce(lag(v) OVER (PARTITION BY x ORDER BY y), 0) AS b FROM px),
@@ -282,7 +283,10 @@ def placement_argmin(spark, sf_dir):
 @query("WITH s AS (SELECT doc_id, source, doc_id * 10 AS a, doc_id * 10 + 10 - CAST(doc_id % 7 = 0 AS INT) AS b FROM documents) SELECT doc_id, a = lag(b, 1, a) OVER (PARTITION BY source ORDER BY doc_id) AS ok FROM s")
 def contiguity_check(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") * 10).alias("a"), (F.col("doc_id") * 10 + 10 - (F.col("doc_id") % 7 == 0).cast("int")).alias("b"))
-    return s.select("doc_id", (F.col("a") == F.coalesce(F.lag("b").over(Window.partitionBy("source").orderBy("doc_id")), F.col("a"))).alias("ok"))
+    # a source may hold any share of the table: rows are numbered by ranges and meet the one before by number
+    n = ranked(s, "doc_id", [], "i", group="source")
+    before = n.select("source", (F.col("i") + 1).alias("i"), F.col("b").alias("before"))
+    return n.join(before, ["source", "i"], "left").select("doc_id", (F.col("a") == F.coalesce("before", "a")).alias("ok"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
@@ -344,8 +348,8 @@ def progress_overall(spark, sf_dir):
 
 @query("SELECT doc_id, source || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '_' || row_number() OVER w END AS name FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def unique_output_names(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", n.alias("n")).select("doc_id", F.concat("source", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))).alias("name"))
+    n = ranked(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", [], "n", group="source").withColumn("n", F.col("n") + 1)
+    return n.select("doc_id", F.concat("source", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string")))).alias("name"))
 
 
 @query(r"SELECT page_id, regexp_matches(url, '^https?://[^/@\s?#]+([/?#]|$)') AND octet_length(encode(url)) <= 1100 AS ok FROM pages")
