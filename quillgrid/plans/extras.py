@@ -5,14 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import IntegerType, LongType
 
-from ..functions import naming, reports
+from ..functions import cleaners, graphs, naming, reports, validators
 from ..operators import masks
 from ..operators import raster as ops
 from ..sources.tables import raster, table
 from ..streaming import frames
-from .catalog import IMG, PX, _images, _kept_folder, query
+from .catalog import IMG, PX, _exif, _images, _kept_folder, query
 
 L = F.lit
 
@@ -589,3 +589,100 @@ def transfer_speed(spark, sf_dir):
     gone = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     told = e.select("event_id", "value", gone.alias("gone"))
     return told.select("event_id", F.round(F.when(F.col("gone") >= 400, F.col("value") * 1000 / (F.col("gone") / L(1000.0))), 6).alias("speed"))
+
+
+# --- more files and graphs ---------------------------------------------------------------------------------------
+
+
+def _low(n, width):
+    """A number below 65536 in little-endian hex of so many bytes."""
+    return F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), L("00" * (width - 2)))
+
+
+@query("""SELECT doc_id, '1a45dfa38468656164' || '18538067ff' || '1549a966aa' || 'eca1' || repeat('00', 33) || '44898464757261' || CASE WHEN doc_id % 2 = 0 THEN 'eca3' || repeat('00', 35) ELSE '' END || '1f43b67590' || md5(text) AS cleaned FROM documents""")
+def ebml_clean(spark, sf_dir):
+    """A title and tags become filler of their length; a length in seconds and the frames stay."""
+    digest = F.md5("text")
+    info = F.concat(L(b"\x15\x49\xa9\x66\xaa\x7b\xa9\xa0"), digest.cast("binary"), L(b"\x44\x89\x84dura"))
+    tags = F.when(F.col("doc_id") % 2 == 0, F.concat(L(b"\x12\x54\xc3\x67\xa0"), digest.cast("binary"))).otherwise(L(b""))
+    film = F.concat(L(b"\x1a\x45\xdf\xa3\x84head\x18\x53\x80\x67\xff"), info, tags, L(b"\x1f\x43\xb6\x75\x90"), F.unhex(digest))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(cleaners.ebml_without_notes(film))).alias("cleaned"))
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 4) AS ok FROM documents")
+def rar_check(spark, sf_dir):
+    """Archives whole, cut inside a header, of several volumes, with a wrong checksum, and with bytes behind their end."""
+    kind, text = F.col("doc_id") % 5, F.left(F.coalesce("text", L("")), L(2000)).cast("binary")
+
+    def block(of, flags, rest, data=L(b"")):
+        body = F.concat(L(bytes([of])), F.unhex(_low(flags, 2)), F.unhex(_low(F.octet_length(rest) + 7, 2)), rest)
+        sum_ = F.crc32(body) % 65536
+        return F.concat(F.unhex(_low(F.when((kind == 3) & L(of == 0x74), (sum_ + 1) % 65536).otherwise(sum_), 2)), body, data)
+
+    main = block(0x73, F.when(kind == 2, 1).otherwise(0), L(bytes(6)))
+    file = block(0x74, L(0x8000), F.concat(F.unhex(_low(F.octet_length(text), 4)), L(bytes(21))), text)
+    whole = F.concat(L(b"Rar!\x1a\7\0"), main, file, block(0x7B, L(0), L(b"")), F.when(kind == 4, L(b"more")).otherwise(L(b"")))
+    cut = F.when(kind == 1, F.substring(whole, 1, 30)).otherwise(whole)
+    return table(spark, sf_dir, "documents").select("doc_id", cleaners.valid_rar(cut).alias("ok"))
+
+
+@F.pandas_udf(IntegerType())
+def _orientation(tiff: pd.Series) -> pd.Series:
+    return tiff.map(validators.orientation)
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 9 BETWEEN 1 AND 8 THEN doc_id % 9 ELSE 1 END AS INT) AS turned FROM documents")
+def exif_orientation(spark, sf_dir):
+    """The orientation of EXIF blocks of either order of bytes; 1 where it is none of the eight."""
+    return table(spark, sf_dir, "documents").select("doc_id", _orientation(_exif(F.col("doc_id") % 9)).alias("turned"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'yes ' || turn ELSE 'no ' || turn END AS positive, CASE WHEN conv_id % 2 = 0 THEN 'no ' || turn ELSE 'yes ' || turn END AS negative FROM conversations""")
+def enriched_graphs(spark, sf_dir):
+    """Executed graphs of a node that only the saved graph tells the outputs of, in either order; stale widgets don't count."""
+    n = F.col("turn").cast("string")
+    dual = F.struct(L("UnknownDual").alias("class_type"), F.struct(F.concat(L("yes "), n).alias("positive"), F.concat(L("no "), n).alias("negative")).alias("inputs"))
+    slot = lambda i: F.array(L("1"), L(i))
+    end = F.struct(L("KSampler").alias("class_type"), F.struct(slot("0").alias("positive"), slot("1").alias("negative"), L(20).alias("steps"), L(7).alias("cfg"), L(1).alias("seed")).alias("inputs"))
+    executed = F.concat(L('{"1":'), F.to_json(dual), L(',"2":'), F.to_json(end), L("}"))
+    names = F.when(F.col("conv_id") % 2 == 0, L('[{"name":"positive"},{"name":"negative"}]')).otherwise(L('[{"name":"negative"},{"name":"positive"}]'))
+    saved = F.concat(L('{"nodes":[{"id":1,"type":"UnknownDual","widgets_values":{"positive":"stale"},"outputs":'), names, L("}]}"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", graphs.samplers(executed, saved)[0].alias("s"))
+    return c.select("conv_id", "turn", "s.positive", "s.negative")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS positive, 'never ' || coalesce(role, '') AS negative, CAST(4 AS INT) AS upstream FROM conversations")
+def saved_graphs(spark, sf_dir):
+    """Saved graphs alone: links of both forms, widgets by place, by name, and a single text."""
+    widget = lambda c: F.to_json(F.array(c))
+    negative = F.to_json(F.struct(F.concat(L("never "), F.coalesce("role", L(""))).alias("text")))
+    graph = F.concat(
+        L('{"nodes":[{"id":1,"type":"UserLiteral","widgets_values":'), widget(F.coalesce("text", L(""))), L(',"outputs":[{"name":"STRING","type":"STRING"}]},{"id":2,"type":"CustomEncoder","widgets_values":'), negative,
+        L('},{"id":3,"type":"CLIPTextEncode","inputs":[{"name":"text","link":1}]},{"id":4,"type":"KSampler","widgets_values":[5,"fixed",20,7,"euler","normal",1],"inputs":[{"name":"positive","link":2},{"name":"negative","link":3}]}],'),
+        L('"links":[{"id":1,"origin_id":1,"origin_slot":0,"target_id":3},[2,3,0,4,0,"CONDITIONING"],[3,2,0,4,1,"CONDITIONING"]]}'),
+    )
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", graphs.samplers(L(None).cast("string"), graph)[0].alias("s"))
+    return c.select("conv_id", "turn", "s.positive", "s.negative", "s.upstream")
+
+
+@query(r"""SELECT page_id, regexp_matches(u, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\s@]+(:[0-9]+)?([/?#]\S*)?$') AS web, regexp_extract(u, '^[A-Za-z]+://([^/?#:@\s]+@)?([^/?#:@\s]+)', 2) AS host, regexp_matches(u, '^[A-Za-z]+://[^/?#\s]*@') AS with_user
+FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, '://', '://joe@') WHEN 1 THEN upper(left(url, 5)) || substr(url, 6) WHEN 2 THEN 'ftp' || substr(url, position(':' IN url)) WHEN 3 THEN url || ' x' ELSE url END AS u FROM pages)""")
+def url_parts(spark, sf_dir):
+    """Whether an address is of the web and names no user, and its host."""
+    k, url = F.col("page_id") % 5, F.col("url")
+    u = F.when(k == 0, F.replace(url, L("://"), L("://joe@"))).when(k == 1, F.concat(F.upper(F.left(url, L(5))), F.substring(url, 6, 100_000)))
+    u = u.when(k == 2, F.concat(L("ftp"), F.expr("substring(url, instr(url, ':'))"))).when(k == 3, F.concat(url, L(" x"))).otherwise(url)
+    p = table(spark, sf_dir, "pages").select("page_id", u.alias("u"))
+    web = F.col("u").rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\s@]+(:[0-9]+)?([/?#]\S*)?\z")
+    return p.select("page_id", web.alias("web"), F.regexp_extract("u", r"^[A-Za-z]+://([^/?#:@\s]+@)?([^/?#:@\s]+)", 2).alias("host"), F.col("u").rlike(r"^[A-Za-z]+://[^/?#\s]*@").alias("with_user"))
+
+
+@query("""WITH m AS (SELECT n_nationkey AS package, n_regionkey % 3 AS family, n_name FROM nation), f AS (SELECT package, family, n_name, unnest(range(3)) AS k FROM m WHERE family IN (1, 2))
+SELECT package, n_name || '/' || k || CASE WHEN k = 0 THEN '.safetensors' ELSE '.json' END AS path, (package + 1) * 100 + k AS size FROM f WHERE NOT (package % 4 = 0 AND k = 0)""")
+def manifest_files(spark, sf_dir):
+    """A manifest in JSON, opened into the files of one family and of all families, without weights where these are given."""
+    n = table(spark, sf_dir, "nation")
+    file = lambda k: F.struct(F.concat("n_name", L(f"/{k}{'.safetensors' if k == 0 else '.json'}")).alias("path"), ((F.col("n_nationkey") + 1) * 100 + k).alias("size"))
+    written = F.to_json(F.struct(F.col("n_nationkey").alias("package"), (F.col("n_regionkey") % 3).alias("family"), F.array(*[file(k) for k in range(3)]).alias("files")))
+    m = n.select(F.from_json(written, "package int, family int, files array<struct<path:string,size:int>>").alias("m")).select("m.*").where(F.col("family").isin(1, 2))
+    return m.select("package", F.explode("files").alias("f")).select("package", "f.path", "f.size").where(~((F.col("package") % 4 == 0) & F.col("path").endswith(".safetensors")))
