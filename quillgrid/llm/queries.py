@@ -1,12 +1,12 @@
-"""The queries op1 to op10: each operator over its whole table, with the columns its contract names."""
+"""The queries op1 to op13: each operator over its whole table, with the columns its contract names."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, mixing, ngram_join, packing, pii, quality, secrets, sharding
+from . import ann, chat, language, lexical, lm, mixing, ngram_join, packing, periodic, pii, quality, secrets, sharding
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -73,5 +73,52 @@ def op10_maximum_entropy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_personal_data, op4_credential_linking, op5_soft_membership_mixing, op6_cross_polytope_search, op7_ngram_jaccard_join, op8_compression_bands, op9_label_propagation_shards, op10_maximum_entropy_scores)}
-ORACLES: dict[str, str] = {}
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = language.learn(docs.where(~held_out), "lang")
+    return language.predict(docs.withColumn("held_out", held_out), ["doc_id", "held_out"], model)
+
+
+def _repeated(words: Column, doc_id: Column) -> Column:
+    """The words of a document of which some, told by its number, repeat a stretch."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    return F.when((h % 10 == 0) & (n > 0), F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))).otherwise(words)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.words(F.col("text")).alias("words"))
+    found = periodic.find_runs(docs, ["doc_id"], _repeated(F.col("words"), F.col("doc_id")))
+    told = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("often"))))
+    length, period = longest["length"], -longest["often"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["back"]).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_personal_data, op4_credential_linking, op5_soft_membership_mixing, op6_cross_polytope_search, op7_ngram_jaccard_join, op8_compression_bands, op9_label_propagation_shards, op10_maximum_entropy_scores, op11_block_max_search, op12_kneser_ney_languages, op13_periodic_runs)}
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"unnest(regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term"
+ORACLES: dict[str, str] = {
+    "op11_block_max_search": f"""WITH t AS (SELECT doc_id, {_TERMS} FROM documents), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id), c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL), m AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM n, c),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+}
