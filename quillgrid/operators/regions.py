@@ -62,23 +62,37 @@ def contrast_thresholds(blocks: DataFrame) -> DataFrame:
     return smooth.select("image", "gy", "gx", filled.cast("int").alias("threshold"))
 
 
-def _corrected(blocks: pd.DataFrame) -> pd.DataFrame:
-    grid = {n: blocks.pivot(index="gy", columns="gx", values=n).to_numpy() for n in ("low", "high", "mean")}
-    out = grid["mean"].astype(int)
-    for y, x in zip(*np.where(grid["high"] - grid["low"] <= FLAT)):
-        out[y, x] = grid["low"][y, x] // 2
-        if x and y:
-            near = (out[y - 1, x] + 2 * out[y, x - 1] + out[y - 1, x - 1]) // 4
-            out[y, x] = near if grid["low"][y, x] < near else out[y, x]
-    y, x = np.indices(out.shape)
-    return pd.DataFrame({"image": blocks["image"].iloc[0], "gy": y.ravel(), "gx": x.ravel(), "point": out.ravel()})
+def corrected(blocks: DataFrame) -> DataFrame:
+    """(image, gy, gx, point): the mean of each block, where it is flat half its least value or, right and below of others, what
+    its corrected neighbours say if that is more.
+
+    The rule goes from block to block. A picture's rows of blocks (1/64 of its pixels) are folded from top to bottom, each along
+    the corrected row above; both folds are array expressions. Cases: a picture lacks no block; one block is a picture.
+    """
+    cell = F.struct("gx", "low", "high", "mean")
+    lines = blocks.groupBy("image", "gy").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    pictures = lines.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("gy", "cells"))).alias("lines"))
+    number = lambda x: x.cast("int")
+
+    def point(s: Column, c: Column, above: Column) -> Column:
+        """s: what is known of the line so far; above: the corrected line above, empty at the top."""
+        i = F.size(s)
+        near = number(F.floor((F.get(above, i) + 2 * F.get(s, i - 1) + F.get(above, i - 1)) / 4))
+        inner = (i > 0) & (F.size(above) > 0)
+        flat = F.when(inner & (c["low"] < near), near).otherwise(number(F.floor(c["low"] / 2)))
+        return F.when(c["high"] - c["low"] > FLAT, number(c["mean"])).otherwise(flat)
+
+    none = F.array().cast("array<int>")
+    line = lambda above, cells: F.aggregate(cells, none, lambda s, c: F.array_append(s, point(s, c, above)))
+    start = F.array().cast("array<array<int>>")
+    told = F.aggregate("lines", start, lambda s, x: F.array_append(s, line(F.coalesce(F.get(s, F.size(s) - 1), none), x["cells"])))
+    rows = pictures.select("image", F.posexplode(told).alias("gy", "points"))
+    return rows.select("image", "gy", F.posexplode("points").alias("gx", "point"))
 
 
 def mean_thresholds(blocks: DataFrame) -> DataFrame:
-    """(image, gy, gx, threshold): means, flat blocks taking half their least value or what their corrected neighbours
-    say. That rule goes from block to block, so an image's blocks (1/64 of its pixels) are walked in one group."""
-    points = blocks.groupBy("image").applyInPandas(_corrected, "image long, gy int, gx int, point int")
-    return window_sums(points, "point").select("image", "gy", "gx", F.floor(F.col("point") / 25).cast("int").alias("threshold"))
+    """(image, gy, gx, threshold): corrected means, averaged over 5 x 5 blocks."""
+    return window_sums(corrected(blocks), "point").select("image", "gy", "gx", F.floor(F.col("point") / 25).cast("int").alias("threshold"))
 
 
 def neighbourhood(pixels: DataFrame, radius: int, grow: bool) -> DataFrame:

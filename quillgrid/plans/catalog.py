@@ -634,7 +634,11 @@ def contrast_thresholds(spark, sf_dir):
     return regions.contrast_thresholds(regions.block_stats(_images(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, {IMG}, {BLK}, b AS (SELECT image, gy, gx, low, high, mean, gy * 8 + gx AS i FROM blk),
+r AS (SELECT image, i, [CASE WHEN high - low > 24 THEN mean ELSE low // 2 END] AS o FROM b WHERE i = 0
+UNION ALL SELECT b.image, b.i, list_append(o, CASE WHEN high - low > 24 THEN mean WHEN gx > 0 AND gy > 0 AND low < (o[b.i - 7] + 2 * o[b.i] + o[b.i - 8]) // 4 THEN (o[b.i - 7] + 2 * o[b.i] + o[b.i - 8]) // 4 ELSE low // 2 END) FROM r JOIN b ON b.image = r.image AND b.i = r.i + 1),
+p AS (SELECT image, gy, gx, o[-1] AS point FROM r JOIN b USING (image, i)), d AS (SELECT image, max(gy) + 1 AS bh, max(gx) + 1 AS bw FROM p GROUP BY image)
+SELECT a.image, CAST(a.gy AS INT) AS gy, CAST(a.gx AS INT) AS gx, CAST(sum(b.point) // 25 AS INT) AS threshold FROM p a JOIN d USING (image) JOIN p b ON b.image = a.image AND abs(b.gy - least(bh - 3, greatest(2, a.gy))) <= 2 AND abs(b.gx - least(bw - 3, greatest(2, a.gx))) <= 2 GROUP BY a.image, a.gy, a.gx""")
 def mean_thresholds(spark, sf_dir):
     return regions.mean_thresholds(regions.block_stats(_images(spark, sf_dir)))
 
