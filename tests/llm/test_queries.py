@@ -22,9 +22,12 @@ COLUMNS = {
     "op8_compression_bands": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9_label_propagation_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op10_maximum_entropy_scores": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op11_block_max_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12_kneser_ney_languages": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op13_periodic_runs": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"},
 }
 #: One row for each document.
-BY_DOCUMENT = ("op3", "op4", "op5", "op7", "op8", "op9", "op10")
+BY_DOCUMENT = ("op3", "op4", "op5", "op7", "op8", "op9", "op10", "op12", "op13")
 
 
 @pytest.fixture(scope="module")
