@@ -124,3 +124,50 @@ def differences(one: DataFrame, other: DataFrame) -> DataFrame:
     gaps = one.join(b, ["image", "y"]).select("image", F.zip_with("v", "b", lambda p, q: F.abs(p - q)).alias("d"))
     row = gaps.select("image", F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("d").alias("most"), F.size("d").alias("n"))
     return row.groupBy("image").agg(F.sum("total").alias("total"), F.max("most").alias("most"), F.sum("n").alias("pixels"))
+
+
+def _sized(rows: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    return rows.groupBy("image").agg(of(F.max("y") + 1).alias("m"))
+
+
+def detail(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The finest detail of pictures, and what is left without it at half the size (rounded up): rows = detail + that enlarged."""
+    half = resized(rows, width, -(-width // 2), _sized(rows, lambda h: F.ceil(h / 2)), bilinear)
+    up = resized(half, -(-width // 2), width, _sized(rows, lambda h: h), bilinear).select("image", "y", F.col("v").alias("u"))
+    return rows.join(up, ["image", "y"]).select("image", "y", F.zip_with("v", "u", lambda a, b: a - b).alias("v")), half
+
+
+def pyramid(rows: DataFrame, width: int, levels: int) -> list[DataFrame]:
+    """Pictures as details by scale, finest first, and last what is left: a list of rows, each at half the size of the one before."""
+    out = []
+    for _ in range(levels):
+        fine, rows = detail(rows, width)
+        out.append(fine)
+        width = -(-width // 2)
+    return [*out, rows]
+
+
+def rebuilt(parts: list[DataFrame], width: int) -> DataFrame:
+    """Pictures from the details of `pyramid`: exactly those they are of."""
+    widths = [width]
+    for _ in parts[1:]:
+        widths.append(-(-widths[-1] // 2))
+    rows = parts[-1]
+    for part, fine, coarse in zip(parts[-2::-1], widths[-2::-1], widths[:0:-1]):
+        up = resized(rows, coarse, fine, _sized(part, lambda h: h), bilinear).select("image", "y", F.col("v").alias("u"))
+        rows = part.join(up, ["image", "y"]).select("image", "y", F.zip_with("v", "u", lambda a, b: a + b).alias("v"))
+    return rows
+
+
+def strengthened(shown: DataFrame, source: DataFrame, blurred: DataFrame, where: Callable[[Column, Column], Column], share: float = 0.5) -> DataFrame:
+    """`shown` with `share` of the fine detail of `source` (its difference from `blurred`) where where(shown, source) holds; halves
+    are rounded to even. All are rows of the same pictures."""
+    other = lambda df, name: df.select("image", "y", F.col("v").alias(name))
+    met = shown.join(other(source, "s"), ["image", "y"]).join(other(blurred, "b"), ["image", "y"])
+
+    def value(x: Column, i: Column) -> Column:
+        s, b = F.get("s", i), F.get("b", i)
+        new = F.rint(F.least(F.lit(255.0), F.greatest(F.lit(0.0), x + (s - b) * F.lit(share)))).cast("int")
+        return F.when(where(x, s), new).otherwise(x)
+
+    return met.select("image", "y", F.transform("v", value).alias("v"))

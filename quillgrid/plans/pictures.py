@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import placement, resample
+from ..operators import placement, resample, sampling
+from ..operators import spread as spreading
 from ..sources.tables import table
 from .catalog import IMG, PX, _images, _kept_folder, query
 
@@ -143,3 +144,69 @@ def half_size_loss(spark, sf_dir):
     half = resample.resized(rows, 64, 32, _heights(rows, lambda h: F.ceil(h / 2)), resample.bilinear)
     back = resample.resized(half, 32, 64, _heights(rows, lambda h: h), resample.bilinear)
     return resample.differences(rows, back)
+
+
+# --- details, tones, codes ---------------------------------------------------------------------------------------
+
+_WHOLE = "1.0::DOUBLE"
+_DOWN = "greatest(1.0::DOUBLE, n / m::DOUBLE)"
+_LEVEL_SQL = "SELECT image, {0} AS level, CAST(sum(abs(a.v - b.v)) AS BIGINT) AS energy, CAST(max(abs(a.v - b.v)) AS INT) AS most, count(*) AS pixels FROM {1} a JOIN {2} b USING (image, y, x) GROUP BY image"
+
+
+@query(f"""WITH {PX}, {IMG}, {SIZES}, {_resize_sql('img', 'half', 64, 32, '(h + 1) // 2', _BILINEAR, _DOWN)}, {_resize_sql('half', 'back', 32, 64, 'h', _BILINEAR, _WHOLE)},
+{_resize_sql('half', 'quarter', 32, 16, '((h + 1) // 2 + 1) // 2', _BILINEAR, _DOWN)}, {_resize_sql('quarter', 'again', 16, 32, '(h + 1) // 2', _BILINEAR, _WHOLE)}
+{_LEVEL_SQL.format(0, 'img', 'back')} UNION ALL {_LEVEL_SQL.format(1, 'half', 'again')}""")
+def detail_levels(spark, sf_dir):
+    """How much detail each picture has at two scales."""
+    out = None
+    for level, part in enumerate(resample.pyramid(_rows(spark, sf_dir), 64, 2)[:-1]):
+        row = part.select("image", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.abs(x)).alias("e"), F.array_max(F.transform("v", F.abs)).alias("m"), F.size("v").alias("n"))
+        told = row.groupBy("image").agg(F.lit(level).alias("level"), F.sum("e").alias("energy"), F.max("m").alias("most"), F.sum("n").alias("pixels"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query(f"""WITH {PX}, {IMG}, {SIZES}, {_KERNEL_SQL}, a AS (SELECT i.image, i.y, i.x, CAST(sum(k.w * b.v) + 32768 AS BIGINT) >> 16 AS v FROM img i, k JOIN img b ON b.image = i.image AND b.y = i.y AND b.x = greatest(0, least(63, i.x + k.k)) GROUP BY ALL),
+g AS (SELECT i.image, i.y, i.x, CAST(sum(k.w * b.v) + 32768 AS BIGINT) >> 16 AS v FROM a i JOIN sz USING (image), k JOIN a b ON b.image = i.image AND b.x = i.x AND b.y = greatest(0, least(h0 - 1, i.y + k.k)) GROUP BY i.image, i.y, i.x)
+SELECT image, CAST(y AS INT) AS y, x, CAST(CASE WHEN img.v BETWEEN 100 AND 150 AND img.v <> g.v THEN round_even(least(255.0::DOUBLE, greatest(0.0::DOUBLE, g.v + (img.v - g.v) * 0.5::DOUBLE)), 0) ELSE g.v END AS INT) AS v FROM img JOIN g USING (image, y, x)""")
+def fabric_detail(spark, sf_dir):
+    """Smoothed pictures with half of their fine detail given back where their tones are a garment's."""
+    rows = _rows(spark, sf_dir)
+    smooth = resample.smoothed(rows, KERNEL)
+    return _pixels(resample.strengthened(smooth, rows, smooth, lambda shown, s: s.between(100, 150) & (s != shown)))
+
+
+TONES, STEPS = (100, 155), 16
+
+
+@query(f"""WITH RECURSIVE {PX}, {IMG}, k AS (SELECT image, y, x, CASE WHEN v < {TONES[0]} THEN {TONES[0]}.0::DOUBLE - v WHEN v > {TONES[1]} THEN {TONES[1]}.0::DOUBLE - v END AS o FROM img),
+r AS (SELECT 0 AS step, image, y, x, coalesce(o, 0.0::DOUBLE) AS f, o IS NOT NULL AS known, 0.0::DOUBLE AS moved FROM k
+UNION ALL SELECT step + 1, image, y, x, new, known, abs(new - f) FROM (SELECT *, CASE WHEN known THEN f ELSE (coalesce(u, 0.0::DOUBLE) + coalesce(d, 0.0::DOUBLE) + coalesce(l, 0.0::DOUBLE) + coalesce(g, 0.0::DOUBLE)) / ((u IS NOT NULL)::INT + (d IS NOT NULL)::INT + (l IS NOT NULL)::INT + (g IS NOT NULL)::INT) END AS new
+FROM (SELECT *, lag(f) OVER v AS u, lead(f) OVER v AS d, lag(f) OVER h AS l, lead(f) OVER h AS g FROM r WHERE step < {STEPS} WINDOW v AS (PARTITION BY image, x ORDER BY y), h AS (PARTITION BY image, y ORDER BY x))))
+SELECT image, CAST(y AS INT) AS y, x, round(f, 6) AS "offset", round(max(moved) OVER (PARTITION BY image), 6) AS residual FROM r WHERE step = {STEPS}""")
+def tone_spread(spark, sf_dir):
+    """What dark and light pixels lack to tones in between, spread smoothly over the others; and how much it still moves."""
+    _kept_folder(spark)
+    offset = lambda v: F.when(v < TONES[0], F.lit(float(TONES[0])) - v).when(v > TONES[1], F.lit(float(TONES[1])) - v)
+    rows = _rows(spark, sf_dir).select("image", "y", F.transform("v", offset).alias("offset"))
+    found = spreading.spread(rows, STEPS, still=0.0)
+    return found.select("image", "y", F.posexplode("offset").alias("x", "o"), F.round("residual", 6).alias("residual")).select("image", "y", "x", F.round("o", 6).alias("offset"), "residual")
+
+
+SIDE = 21
+_CORNER = "arg_max([y, x], [v, -y, -x]) FILTER (WHERE y < 20 AND x < 20) AS a, arg_max([y, x], [v, -y, -x]) FILTER (WHERE y < 20 AND x >= 44) AS b, arg_max([y, x], [v, -y, -x]) FILTER (WHERE y >= 20 AND x < 20) AS c"
+_UNIT = f"({{0}} + 0.5::DOUBLE - 3.5::DOUBLE) / {SIDE - 7}"
+
+
+@query(f"""WITH {PX}, {IMG}, q AS (SELECT image, {_CORNER} FROM img GROUP BY image), e AS (SELECT unnest(range({SIDE})) AS n),
+s AS (SELECT image, r.n AS rr, c.n AS cc, floor(((b[2] - a[2]) * u + (q.c[2] - a[2]) * w + a[2]) / 1.0::DOUBLE)::BIGINT AS x, floor(((b[1] - a[1]) * u + (q.c[1] - a[1]) * w + a[1]) / 1.0::DOUBLE)::BIGINT AS y FROM (SELECT *, {_UNIT.format('n')} AS w FROM e) r, (SELECT *, {_UNIT.format('n')} AS u FROM e) c, q WHERE b IS NOT NULL AND q.c IS NOT NULL)
+SELECT image, string_agg(CASE WHEN v > 127 THEN '1' WHEN v IS NULL THEN '?' ELSE '0' END, '' ORDER BY rr, cc) AS squares FROM s LEFT JOIN img USING (image, y, x) GROUP BY image""")
+def sampled_codes(spark, sf_dir):
+    """The squares of a code on each picture whose corners are the lightest pixels of three of its corners."""
+    p = _images(spark, sf_dir)
+    x, y = F.col("x"), F.col("y")
+    best = lambda where: F.max_by(F.when(where, F.struct("y", "x")), F.when(where, F.struct("v", -y, -x)))
+    found = p.groupBy("image").agg(best((y < 20) & (x < 20)).alias("a"), best((y < 20) & (x >= 44)).alias("b"), best((y >= 20) & (x < 20)).alias("c")).dropna()
+    none = F.lit(None).cast("int")
+    codes = found.select("image", F.lit(0).alias("code"), F.lit(SIDE).alias("side"), *[F.col(f"{n}.{axis}").alias(f"{axis}{i}") for i, n in enumerate("abc") for axis in "xy"], none.alias("x3"), none.alias("y3"))
+    return sampling.sampled(codes, p, F.col("v") > 127).select("image", "squares")

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillgrid.plans import catalog, extras, live, pictures  # noqa: F401 (registers its queries)
+from quillgrid.plans import catalog, extras, live, pictures, stores  # noqa: F401 (registers its queries)
 
 
 @pytest.fixture(scope="module")
