@@ -96,7 +96,9 @@ def test_planted_codes_come_back(spark):
         for row in range(side):
             for column in range(side):
                 x, y = homography(corner, (column - 3) / (side - 7), (row - 3) / (side - 7))
-                pixels[image, int(np.floor(y)), int(np.floor(x))] = bits[row][column]
+                for d in (-1e-6, 1e-6):  # a middle may lie on a pixel's edge
+                    for e in (-1e-6, 1e-6):
+                        pixels[image, int(np.floor(y + d)), int(np.floor(x + e))] = bits[row][column]
     names = "image int, code int, side int, x0 int, y0 int, x1 int, y1 int, x2 int, y2 int, x3 int, y3 int"
     table = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image int, y int, x int, v int")
     got = {(g["image"], g["code"]): g["squares"] for g in sampling.sampled(spark.createDataFrame(codes, names), table, F.col("v") == 1).collect()}
