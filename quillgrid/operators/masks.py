@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .regions import neighbourhood
@@ -43,32 +43,34 @@ def border_parts(mask: DataFrame, width: int, height: int) -> DataFrame:
     return parts.join(seeds, ["image", "label"], "left_semi").select("image", "y", "x")
 
 
-def redacted(pixels: DataFrame, left: int, top: int, right: int, bottom: int, effect: str, strength: int, fill: int = 0) -> DataFrame:
-    """(image, y, x, v) with a rectangle filled, or replaced by block means, or blurred by two clipped means of `strength`.
-    What is worked on is the rectangle and `strength` pixels around it."""
+def with_redaction(pixels: DataFrame, left: int, top: int, right: int, bottom: int, effect: str, strength: int, name: str, fill: int = 0) -> DataFrame:
+    """pixels (image, y, x, v, ...) with `name`: v, where a rectangle is filled, or replaced by block means, or blurred by two
+    clipped means of `strength`. What is worked on is the rectangle and `strength` pixels around it.
+
+    Pixels are never joined or sent twice: a block's mean, and the means along a row and down a column of a picture, are windows
+    of a block, a row or a column.
+    """
     size = max(1, strength)
-    near = pixels.where(F.col("x").between(left - size, right - 1 + size) & F.col("y").between(top - size, bottom - 1 + size))
+    near = F.col("x").between(left - size, right - 1 + size) & F.col("y").between(top - size, bottom - 1 + size)
     inside = F.col("x").between(left, right - 1) & F.col("y").between(top, bottom - 1)
+    seen = F.when(near, F.col("v"))
     if effect == "solid":
-        done = near.select("image", "y", "x", F.lit(fill).alias("new"))
-    elif effect == "mosaic":
+        return pixels.withColumn(name, F.when(inside, fill).otherwise(F.col("v")))
+    mean = lambda value, w: F.floor(F.sum(value).over(w) / F.count(value).over(w)).cast("int")
+    if effect == "mosaic":
         # blocks begin at the corner of what is worked on
         x0, y0 = max(0, left - size), max(0, top - size)
-        keyed = near.withColumn("bx", F.floor((F.col("x") - x0) / size)).withColumn("by", F.floor((F.col("y") - y0) / size))
-        means = keyed.groupBy("image", "by", "bx").agg(F.floor(F.sum("v") / F.count("*")).cast("int").alias("new"))
-        done = keyed.join(means, ["image", "by", "bx"]).select("image", "y", "x", "new")
-    else:
-        radius = max(1, strength // 2)
-        rows = _clipped_mean(near.withColumnRenamed("v", "new"), "x", radius)
-        done = _clipped_mean(rows, "y", radius)
-    return pixels.join(done, ["image", "y", "x"], "left").select("image", "y", "x", F.when(inside, F.col("new")).otherwise(F.col("v")).alias("v"))
-
-
-def _clipped_mean(pixels: DataFrame, along: str, radius: int) -> DataFrame:
-    """Truncated means of the pixels within the radius that are there: a picture's rows are bounded, so none is sorted."""
-    moved = pixels.withColumn("d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(along, F.col(along) + F.col("d"))
-    sums = moved.groupBy("image", "y", "x").agg(F.sum("new").alias("s"), F.count("*").alias("n"))
-    return pixels.drop("new").join(sums, ["image", "y", "x"]).select("image", "y", "x", F.floor(F.col("s") / F.col("n")).cast("int").alias("new"))
+        block = Window.partitionBy("image", F.floor((F.col("y") - y0) / size), F.floor((F.col("x") - x0) / size))
+        return pixels.withColumn(name, F.when(inside, mean(seen, block)).otherwise(F.col("v")))
+    radius = max(1, strength // 2)
+    along = lambda a, b: Window.partitionBy("image", a).orderBy(b).rangeBetween(-radius, radius)
+    rows = pixels.withColumn("_row", F.when(near, mean(seen, along("y", "x"))))
+    return rows.withColumn(name, F.when(inside, mean(F.col("_row"), along("x", "y"))).otherwise(F.col("v"))).drop("_row")
+
+
+def redacted(pixels: DataFrame, left: int, top: int, right: int, bottom: int, effect: str, strength: int, fill: int = 0) -> DataFrame:
+    """(image, y, x, v) with a rectangle filled, or replaced by block means, or blurred: see `with_redaction`."""
+    return with_redaction(pixels, left, top, right, bottom, effect, strength, "_new", fill).select("image", "y", "x", F.col("_new").alias("v"))
 
 
 def material_masks(labels: DataFrame) -> DataFrame:

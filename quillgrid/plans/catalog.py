@@ -299,7 +299,12 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+#: CRC-32 over a text's bytes: what a byte does to each low byte of the sum, then byte after byte.
+CRC_SQL = """t AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+b AS (SELECT doc_id, list_transform(regexp_extract_all('74455874' || hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents)"""
+
+
+@query(f"WITH {CRC_SQL} SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS crc FROM b, t")
 def crc_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.concat(F.lit(b"tEXt"), F.col("text").cast("binary"))).alias("crc"))
 
@@ -653,11 +658,19 @@ def shrunk(spark, sf_dir):
     return regions.neighbourhood(_images(spark, sf_dir), 1, grow=False)
 
 
-@query()
+_OVER = "(greatest(0, least(q.r, box.r) - greatest(q.l, box.l)) * greatest(0, least(q.d, box.d) - greatest(q.t, box.t)))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT l_orderkey AS image, ('0x' || substr(md5(l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_quantity::INT), 1, 15))::BIGINT AS box_id, l_extendedprice AS score, l_quantity::INT AS "left", (l_linenumber * 3)::INT AS top FROM lineitem),
+b AS (SELECT *, {{'l': "left", 't': top, 'r': "left" + 20, 'd': top + 20}} AS box, row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) AS i FROM d),
+r AS (SELECT image, 0::BIGINT AS i, [] AS kept, false AS stays FROM b GROUP BY image
+UNION ALL SELECT image, i, CASE WHEN ok THEN list_append(kept, box) ELSE kept END, ok FROM (SELECT b.image, b.i, kept, box, len(list_filter(kept, lambda q: {_OVER}::DOUBLE / greatest(1, 800 - {_OVER}) > 0.45)) = 0 AS ok FROM r JOIN b ON b.image = r.image AND b.i = r.i + 1))
+SELECT image, box_id, score, "left", top, "left" + 20 AS "right", top + 20 AS bottom FROM r JOIN b USING (image, i) WHERE stays""".replace("[] AS kept", "CAST([] AS STRUCT(l INT, t INT, r INT, d INT)[]) AS kept"))
 def box_suppression(spark, sf_dir):
     q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
     line = table(spark, sf_dir, "lineitem")
-    boxes = line.select(F.col("l_orderkey").alias("image"), F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("box_id"), F.col("l_extendedprice").alias("score"), q.alias("left"), (n * 3).alias("top"), (q + 20).alias("right"), (n * 3 + 20).alias("bottom"))
+    name = F.md5(F.concat_ws("/", *[c.cast("string") for c in (n, F.col("l_partkey"), F.col("l_suppkey"), q)]).cast("binary"))
+    boxes = line.select(F.col("l_orderkey").alias("image"), F.conv(F.substring(name, 1, 15), 16, 10).cast("long").alias("box_id"), F.col("l_extendedprice").alias("score"), q.alias("left"), (n * 3).alias("top"), (q + 20).alias("right"), (n * 3 + 20).alias("bottom"))
     return regions.suppressed(boxes, "image")
 
 

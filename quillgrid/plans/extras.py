@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import IntegerType
 
 from ..functions import cleaners, graphs, naming, reports, validators
 from ..operators import masks
 from ..operators import raster as ops
+from ..sources.ordered import beside
 from ..sources.tables import raster, table
 from ..streaming import frames
 from .catalog import IMG, PX, _exif, _images, _kept_folder, query
@@ -139,8 +140,9 @@ def manifest_validation(spark, sf_dir):
         F.concat(L("w/"), F.when(k % 23 == 0, 1).otherwise(k).cast("string"), F.when(k % 29 == 0, ".part").otherwise(".bin")).alias("target"),
     )
     formed = F.col("repo").rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$") & F.col("revision").rlike("^[a-f0-9]{40}$") & F.col("sha").rlike("^[a-f0-9]{64}$") & F.col("size").between(1, 64 << 30) & ~F.col("target").endswith(".part")
-    uses = m.groupBy("target").agg(F.count("*").alias("uses"))
-    return m.join(uses, "target").select("p_partkey", (formed & (F.col("uses") == 1)).alias("ok"))
+    # a target used once has one row, whose key is kept in its count: the rows of one used often are counted where they are
+    once = m.groupBy("target").agg(F.count("*").alias("uses"), F.min("p_partkey").alias("p_partkey")).where("uses = 1").select("p_partkey", L(True).alias("once"))
+    return m.join(once, "p_partkey", "left").select("p_partkey", (formed & F.coalesce("once", L(False))).alias("ok"))
 
 
 @query("SELECT family, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) FILTER (WHERE NOT there) AS BIGINT) AS wanted, CAST(coalesce(sum(size) FILTER (WHERE NOT there), 0) + 1073741824 AS BIGINT) AS room FROM (SELECT p_size % 3 AS family, p_partkey * 1000 AS size, p_partkey % 4 = 0 AS there FROM part) GROUP BY family")
@@ -232,10 +234,9 @@ SELECT n.image, n.y, n.x, CASE WHEN inside THEN 0 ELSE v END AS solid, CASE WHEN
 def redaction(spark, sf_dir):
     """A rectangle of each picture filled, as a mosaic and blurred."""
     p, box = _images(spark, sf_dir), (16, 8, 40, 32)
-    out = masks.redacted(p, *box, "solid", 8).withColumnRenamed("v", "solid")
-    for effect, name in (("mosaic", "mosaic"), ("blur", "blurred")):
-        out = out.join(masks.redacted(p, *box, effect, 8).withColumnRenamed("v", name), ["image", "y", "x"])
-    return out
+    for effect, name in (("solid", "solid"), ("mosaic", "mosaic"), ("blur", "blurred")):
+        p = masks.with_redaction(p, *box, effect, 8, name)
+    return p.select("image", "y", "x", "solid", "mosaic", "blurred")
 
 
 LABELS = "lab AS (SELECT image, y, x, CASE WHEN v BETWEEN 118 AND 122 THEN (v + y // 16) % 18 WHEN v > 126 THEN 4 ELSE 0 END AS label FROM img)"
@@ -397,9 +398,28 @@ def fit_letterbox(spark, sf_dir):
 @query("SELECT l_orderkey AS image, array_to_string(list(top || ':' || left_x ORDER BY top, left_x)[:32], ',') AS codes FROM (SELECT l_orderkey, l_linenumber * 3 AS top, CAST(l_quantity AS INT) AS left_x FROM lineitem) GROUP BY 1")
 def detected_codes(spark, sf_dir):
     """The codes of each picture from top to bottom and left to right, 32 at most."""
-    found = F.sort_array(F.collect_list(F.struct((F.col("l_linenumber") * 3).alias("top"), F.col("l_quantity").cast("int").alias("left_x"))))
-    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(found.alias("c"))
-    return line.select("image", F.array_join(F.transform(F.slice("c", 1, 32), lambda c: F.concat_ws(":", c["top"].cast("string"), c["left_x"].cast("string"))), ",").alias("codes"))
+    codes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 3).alias("top"), F.col("l_quantity").cast("int").alias("left_x"))
+    # limited before it is collected, and within each task first
+    codes = codes.withColumn("n", F.row_number().over(Window.partitionBy("image").orderBy("top", "left_x"))).where("n <= 32")
+    line = codes.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("top", "left_x"))).alias("c"))
+    return line.select("image", F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["top"].cast("string"), c["left_x"].cast("string"))), ",").alias("codes"))
+
+
+#: The raster cut into whole pictures: what the last one lacks are the first rows again.
+IMGW = "img AS (SELECT y // 64 AS image, y % 64 AS y, x, v FROM (SELECT y, x, v FROM px UNION ALL SELECT y + n, x, v FROM px, (SELECT max(y) + 1 AS n FROM px) WHERE y < (64 - n % 64) % 64))"
+
+
+def _completed(spark, sf_dir):
+    """The raster with its first rows again behind its last one, up to a whole picture; and its height then."""
+    p = raster(spark, sf_dir)
+    last = p.agg(F.max("y")).first()[0]
+    rows = 0 if last is None else last + 1
+    lacks = -rows % 64
+    return p.unionByName(p.where(F.col("y") < lacks).withColumn("y", F.col("y") + rows)), rows + lacks
+
+
+def _whole_images(spark, sf_dir):
+    return _completed(spark, sf_dir)[0].select(F.floor(F.col("y") / 64).alias("image"), (F.col("y") % 64).cast("int").alias("y"), "x", "v")
 
 
 def _curve_sql() -> str:
@@ -413,7 +433,7 @@ o AS (SELECT CAST(floor(s * ((sqrt(5.0::DOUBLE) - 1) / 2) * 4096 + 0.5) AS BIGIN
 
 
 def _curve_scores_sql(offsets: str) -> str:
-    return f"""WITH {PX}, {IMG}, {_curve_sql()}, {offsets}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)),
+    return f"""WITH {PX}, {IMGW}, {_curve_sql()}, {offsets}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)),
 n AS (SELECT a.p AS p, b.p AS q FROM cv a JOIN cv b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.y = a.y + 1 AND b.x = a.x)),
 sc AS (SELECT a.image, off, any_value(s) AS s, any_value(r) AS r, round(avg(abs(a.v - b.v)), 6) AS score FROM n, o JOIN line a ON a.p = (n.p + off) % 4096 JOIN line b ON b.image = a.image AND b.p = (n.q + off) % 4096 GROUP BY a.image, off)"""
 
@@ -421,23 +441,21 @@ sc AS (SELECT a.image, off, any_value(s) AS s, any_value(r) AS r, round(avg(abs(
 @query(_curve_scores_sql(_search_sql("1.05", 2)) + """ SELECT image, CAST(row_number() OVER k AS INT) AS rank, s AS strength, CAST(r AS INT) AS rounds, off AS "offset", score FROM sc WINDOW k AS (PARTITION BY image ORDER BY score, round(abs(s - 1.05), 6), r <> 2, r, s) QUALIFY row_number() OVER k <= 3""")
 def rank_curve_parameters(spark, sf_dir):
     """Strength and rounds of a shift along the curve, 22 strengths by 20 rounds, for each whole picture."""
-    return ops.rank_along_curve(_images(spark, sf_dir), 64, ops.Search(1.05, 2))
+    return ops.rank_along_curve(_whole_images(spark, sf_dir), 64, ops.Search(1.05, 2))
 
 
 @query(_curve_scores_sql("o AS (SELECT CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * 4096 + 0.5) AS BIGINT) % 4096 * r % 4096 AS off, 1.0::DOUBLE AS s, r FROM (SELECT unnest(range(1, 21)) AS r))") + """ SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY score, r) AS INT) AS rank, CAST(r AS INT) AS rounds, off AS "offset", score FROM sc""")
 def rank_curve_rounds(spark, sf_dir):
     """1 to 20 rounds of one strength along the curve, for each whole picture."""
     tried = [(o, s, r) for r in range(1, 21) for o, s in [(ops.shift(4096, 1.0) * r % 4096, 1.0)]]
-    return ops.rank_along_curve(_images(spark, sf_dir), 64, ops.Given(1.0, 1, tuple(tried)), top=20).drop("strength")
+    return ops.rank_along_curve(_whole_images(spark, sf_dir), 64, ops.Given(1.0, 1, tuple(tried)), top=20).drop("strength")
 
 
-@query(f"WITH {PX}, {IMG}, {_curve_sql()}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)) SELECT c.y, c.x, l.image, l.v FROM cv c JOIN line l ON l.p = (c.p + CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * 4096 + 0.5) AS BIGINT) % 4096) % 4096")
+@query(f"WITH {PX}, {IMGW}, {_curve_sql()}, w AS (SELECT image FROM img GROUP BY image HAVING count(*) = 4096), line AS (SELECT image, p, v FROM img JOIN cv USING (y, x) JOIN w USING (image)) SELECT c.y, c.x, l.image, l.v FROM cv c JOIN line l ON l.p = (c.p + CAST(floor((sqrt(5.0::DOUBLE) - 1) / 2 * 4096 + 0.5) AS BIGINT) % 4096) % 4096")
 def curve_scramble(spark, sf_dir):
-    """Whole pictures with every pixel moved along the curve by the golden section of its length."""
-    p = raster(spark, sf_dir)
-    rows = p.agg(F.max("y")).first()[0]
-    whole = 0 if rows is None else (rows + 1) // 64 * 64
-    moved = ops.scramble(p.where(F.col("y") < whole), 64, whole)
+    """Pictures with every pixel moved along the curve by the golden section of its length."""
+    p, rows = _completed(spark, sf_dir)
+    moved = ops.scramble(p, 64, rows)
     return moved.select((F.col("y") % 64).alias("y"), "x", F.floor(F.col("y") / 64).alias("image"), "v")
 
 
@@ -483,18 +501,17 @@ def batch_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"), (F.count_if(~ok) == 0).alias("clean"))
 
 
-@F.pandas_udf(LongType())
-def _adler(data: pd.Series) -> pd.Series:
-    import zlib
-
-    return data.map(lambda b: None if b is None else zlib.adler32(b)).astype("Int64")
-
-
 @query("""WITH b AS (SELECT page_id, unnest(range(1, octet_length(encode(url)) + 1)) AS i, octet_length(encode(url)) AS n, hex(encode(url)) AS h FROM pages),
-v AS (SELECT page_id, n, i, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS d FROM b)
-SELECT page_id, CAST((1 + sum(d)) % 65521 + (any_value(n) + sum((n - i + 1) * d)) % 65521 * 65536 AS BIGINT) AS adler FROM v GROUP BY page_id""")
+v AS (SELECT page_id, n, i, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS d FROM b),
+s AS (SELECT page_id, CAST((1 + sum(d)) % 65521 + (any_value(n) + sum((n - i + 1) * d)) % 65521 * 65536 AS BIGINT) AS adler FROM v GROUP BY page_id)
+SELECT page_id, CASE WHEN url IS NOT NULL THEN coalesce(adler, 1) END AS adler FROM pages LEFT JOIN s USING (page_id)""")
 def adler_32(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.octet_length("url") > 0).select("page_id", _adler(F.col("url").cast("binary")).alias("adler"))
+    """Two sums over the bytes of each address: of the bytes, and of the first sum after each byte; nothing sums to 1."""
+    byte = lambda h: F.conv(h, 16, 10).cast("long")
+    step = lambda s, h: F.struct(((s["a"] + byte(h)) % 65521).alias("a"), ((s["b"] + s["a"] + byte(h)) % 65521).alias("b"))
+    pairs = F.regexp_extract_all(F.hex(F.col("url").cast("binary")), L(".."), L(0))
+    start = F.struct(L(1).cast("long").alias("a"), L(0).cast("long").alias("b"))
+    return table(spark, sf_dir, "pages").select("page_id", F.aggregate(pairs, start, step, lambda s: s["b"] * 65536 + s["a"]).alias("adler"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN '步数 Steps' WHEN 'view' THEN '种子 Seed' WHEN 'purchase' THEN 'CFG / Guidance' WHEN 'signup' THEN '降噪 Denoise' ELSE event_type END AS shown FROM events")
@@ -531,10 +548,10 @@ def time_stamps(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"))
 
 
-@query("""SELECT doc_id, instr(positive, '{prompt}') > 0 AND (negative = '' OR instr(negative, '{negative}') > 0) AND steps BETWEEN 0 AND 80 AND scale BETWEEN 0 AND 20 AS ok FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 20) ELSE left(text, 20) || ' {prompt}' END AS positive, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{negative}' ELSE 'none' END AS negative, n_chars % 100 AS steps, n_chars % 25 AS scale FROM documents)""")
+@query("""SELECT doc_id, instr(positive, '{prompt}') > 0 AND (negative = '' OR instr(negative, '{negative}') > 0) AND steps BETWEEN 0 AND 80 AND scale BETWEEN 0 AND 20 AS ok FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text ELSE text || ' {prompt}' END AS positive, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{negative}' ELSE 'none' END AS negative, n_chars % 100 AS steps, n_chars % 25 AS scale FROM documents)""")
 def profile_validation(spark, sf_dir):
     """Templates that keep their tokens, and numbers within bounds."""
-    k, head = F.col("doc_id"), F.left("text", L(20))
+    k, head = F.col("doc_id"), F.col("text")
     positive = F.when(k % 4 == 0, head).otherwise(F.concat(head, L(" {prompt}")))
     negative = F.when(k % 3 == 0, "").when(k % 3 == 1, "{negative}").otherwise("none")
     ok = F.contains(positive, L("{prompt}")) & ((negative == "") | F.contains(negative, L("{negative}"))) & (F.col("n_chars") % 100).between(0, 80) & (F.col("n_chars") % 25).between(0, 20)
@@ -557,19 +574,24 @@ def newest_frames(spark, sf_dir):
     return frames.newest(table(spark, sf_dir, "events"))
 
 
+def _timed(spark, sf_dir, after=False):
+    """Events with their milliseconds and those of the one before (or after) of the same user, by days: no window holds a user."""
+    e = table(spark, sf_dir, "events").withColumns({"ms": frames.milliseconds(F.col("ts")), "us": F.unix_micros(F.col("ts").cast("timestamp"))})
+    return beside(e, "user_id", "us", ["event_id"], 86_400_000_000, F.col("ms"), "beside", after)
+
+
 @query(f"SELECT event_id, coalesce(lead({MS}) OVER w - ({MS}) > 150, true) AS shown FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def debounced_requests(spark, sf_dir):
     """A request is carried out if none follows within 150 ms."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("ms", frames.milliseconds(F.col("ts")))
-    return e.select("event_id", F.coalesce(F.lead("ms").over(w) - F.col("ms") > 150, L(True)).alias("shown"))
+    e = _timed(spark, sf_dir, after=True)
+    return e.select("event_id", F.coalesce(F.col("beside") - F.col("ms") > 150, L(True)).alias("shown"))
 
 
 @query(f"SELECT event_id, user_id, ({MS}) - before AS waited FROM (SELECT *, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS before FROM events) WHERE ({MS}) - before > 10000")
 def silent_devices(spark, sf_dir):
     """Where more than ten seconds went by without a frame."""
-    e = table(spark, sf_dir, "events").withColumn("ms", frames.milliseconds(F.col("ts")))
-    waited = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = _timed(spark, sf_dir)
+    waited = F.col("ms") - F.col("beside")
     return e.select("event_id", "user_id", waited.alias("waited")).where("waited > 10000")
 
 
@@ -585,8 +607,8 @@ def first_match(spark, sf_dir):
 @query(f"SELECT event_id, round(CASE WHEN ms - before >= 400 THEN (value * 1000) / ((ms - before) / 1000.0::DOUBLE) END, 6) AS speed FROM (SELECT *, {MS} AS ms, epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS before FROM events)")
 def transfer_speed(spark, sf_dir):
     """Bytes a second since the report before, where at least 0.4 s went by."""
-    e = table(spark, sf_dir, "events").withColumn("ms", frames.milliseconds(F.col("ts")))
-    gone = F.col("ms") - F.lag("ms").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = _timed(spark, sf_dir)
+    gone = F.col("ms") - F.col("beside")
     told = e.select("event_id", "value", gone.alias("gone"))
     return told.select("event_id", F.round(F.when(F.col("gone") >= 400, F.col("value") * 1000 / (F.col("gone") / L(1000.0))), 6).alias("speed"))
 
@@ -594,6 +616,12 @@ def transfer_speed(spark, sf_dir):
 # --- more files and graphs ---------------------------------------------------------------------------------------
 
 
+def _little(n):
+    """A number below 2^31 in little-endian hex of four bytes."""
+    h = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+
+
 def _low(n, width):
     """A number below 65536 in little-endian hex of so many bytes."""
     return F.concat(F.lpad(F.hex(n % 256), 2, "0"), F.lpad(F.hex(F.floor(n / 256)), 2, "0"), L("00" * (width - 2)))
@@ -612,7 +640,7 @@ def ebml_clean(spark, sf_dir):
 @query("SELECT doc_id, doc_id % 5 IN (0, 4) AS ok FROM documents")
 def rar_check(spark, sf_dir):
     """Archives whole, cut inside a header, of several volumes, with a wrong checksum, and with bytes behind their end."""
-    kind, text = F.col("doc_id") % 5, F.left(F.coalesce("text", L("")), L(2000)).cast("binary")
+    kind, text = F.col("doc_id") % 5, F.coalesce("text", L("")).cast("binary")
 
     def block(of, flags, rest, data=L(b"")):
         body = F.concat(L(bytes([of])), F.unhex(_low(flags, 2)), F.unhex(_low(F.octet_length(rest) + 7, 2)), rest)
@@ -620,7 +648,7 @@ def rar_check(spark, sf_dir):
         return F.concat(F.unhex(_low(F.when((kind == 3) & L(of == 0x74), (sum_ + 1) % 65536).otherwise(sum_), 2)), body, data)
 
     main = block(0x73, F.when(kind == 2, 1).otherwise(0), L(bytes(6)))
-    file = block(0x74, L(0x8000), F.concat(F.unhex(_low(F.octet_length(text), 4)), L(bytes(21))), text)
+    file = block(0x74, L(0x8000), F.concat(F.unhex(_little(F.octet_length(text))), L(bytes(21))), text)
     whole = F.concat(L(b"Rar!\x1a\7\0"), main, file, block(0x7B, L(0), L(b"")), F.when(kind == 4, L(b"more")).otherwise(L(b"")))
     cut = F.when(kind == 1, F.substring(whole, 1, 30)).otherwise(whole)
     return table(spark, sf_dir, "documents").select("doc_id", cleaners.valid_rar(cut).alias("ok"))
@@ -670,7 +698,7 @@ FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, '://', '://joe@'
 def url_parts(spark, sf_dir):
     """Whether an address is of the web and names no user, and its host."""
     k, url = F.col("page_id") % 5, F.col("url")
-    u = F.when(k == 0, F.replace(url, L("://"), L("://joe@"))).when(k == 1, F.concat(F.upper(F.left(url, L(5))), F.substring(url, 6, 100_000)))
+    u = F.when(k == 0, F.replace(url, L("://"), L("://joe@"))).when(k == 1, F.concat(F.upper(F.left(url, L(5))), F.expr("substring(url, 6)")))
     u = u.when(k == 2, F.concat(L("ftp"), F.expr("substring(url, instr(url, ':'))"))).when(k == 3, F.concat(url, L(" x"))).otherwise(url)
     p = table(spark, sf_dir, "pages").select("page_id", u.alias("u"))
     web = F.col("u").rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[^/?#\s@]+(:[0-9]+)?([/?#]\S*)?\z")
