@@ -154,3 +154,27 @@ def corners(rings: DataFrame, key: str, most: int = 24) -> DataFrame:
     modules = F.rint(((u + v) / 2 / (F.col("mean") / 7) + 7 - 21) / 4) * 4 + 21
     one, other = F.when(cross < 0, F.col("r.id")).otherwise(F.col("q.id")), F.when(cross < 0, F.col("q.id")).otherwise(F.col("r.id"))
     return t.where(fits).select(key, F.col("p.id").alias("corner"), one.alias("one"), other.alias("other"), modules.cast("int").alias("modules"))
+
+
+def alike_nearby(boxes: DataFrame, key: str, least: int = 8, differ: int = 2, reach: float = 3.6) -> DataFrame:
+    """boxes (`key`, left, top, wide, high) with near: how many of the key, itself among them, are as wide and high but for `differ`
+    and stand less than `reach` times its size away along both axes; those with at least `least`.
+
+    Sizes fall into classes, each twice as large as the one before, and places into cells as wide as the largest box of a class
+    reaches. A box is sent to the nine cells around it, in the classes (two at most along an axis) of boxes it can be alike to: a
+    box meets those around it, not its picture's. Boxes without a size, or a null, are left out.
+    """
+    b = boxes.select(key, *[F.col(c).cast("int").alias(c) for c in ("left", "top", "wide", "high")]).dropna().where("wide > 0 AND high > 0")
+    of = lambda size: F.ceil(F.log2(size)).cast("int")
+    cell = lambda at, size: F.floor(F.col(at) / F.ceil(F.pow(F.lit(2.0), F.col(size)) * reach)).cast("int")
+    own = b.withColumns({"_id": F.monotonically_increasing_id(), "_w": of(F.col("wide")), "_h": of(F.col("high"))})
+    own = own.withColumns({"_cx": cell("left", "_w"), "_cy": cell("top", "_h")})
+    classes = lambda c: F.explode(F.sequence(of(F.greatest(F.lit(1), F.col(c) - differ)), of(F.col(c) + differ)))
+    other = b.select(key, F.col("left").alias("_left"), F.col("top").alias("_top"), F.col("wide").alias("_wide"), F.col("high").alias("_high"))
+    other = other.withColumn("_w", classes("_wide")).withColumn("_h", classes("_high"))
+    around = lambda at, size: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: cell(at, size) + d))
+    met = own.join(other.withColumn("_cx", around("_left", "_w")).withColumn("_cy", around("_top", "_h")), [key, "_w", "_h", "_cx", "_cy"])
+    alike = (F.abs(F.col("wide") - F.col("_wide")) <= differ) & (F.abs(F.col("high") - F.col("_high")) <= differ)
+    close = (F.abs(F.col("_left") - F.col("left")) < F.col("wide") * reach) & (F.abs(F.col("_top") - F.col("top")) < F.col("high") * reach)
+    found = met.where(alike & close).groupBy(key, "_id", "left", "top", "wide", "high").agg(F.count("*").alias("near"))
+    return found.where(F.col("near") >= least).drop("_id")

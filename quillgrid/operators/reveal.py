@@ -133,3 +133,12 @@ def code_module(cover: Channels, ink: Column, low: Column, high: Column, floor:
     black = F.when(ink, 16).otherwise(112)
     a = F.floor(255 * (1 - (white - black) / F.lit(250.0)) + 0.5).cast("int")
     return [a, F.when(a == 0, 0).otherwise(F.floor(black * F.lit(255.0) / a + 0.5)).cast("int")]
+
+
+def dark_first(light: Channels, dark: Channels, strength: float) -> tuple[Column, Channels]:
+    """Opacity and colours to store where the look on black counts most: it is exact, and the opacity no lower than it needs, or as
+    the lightness of the other picture asks for."""
+    _, black = appearances(light, dark, strength)
+    needed = F.ceil(F.greatest(*black)).cast("int")
+    a = F.greatest(needed, byte(255 + (black[0] + black[1] + black[2]) / 3 - (luma(light) * 0.5 + 127.5)))
+    return a, [F.when(a == 0, 0).otherwise(byte(b * 255 / a)) for b in black]

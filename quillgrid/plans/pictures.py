@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import placement, resample, sampling
+from ..operators import placement, regions, resample, reveal, sampling, tones
 from ..operators import spread as spreading
 from ..sources.tables import table
-from .catalog import IMG, PX, _images, _kept_folder, query
+from .catalog import IMG, PX, SIDES, _byte_sql, _images, _kept_folder, _two, query
 
 CODE = placement.Code(side=24, finder=7, border=4)
 RETRIES = placement.Retries(unit=8, least_share=0.12)
@@ -210,3 +211,77 @@ def sampled_codes(spark, sf_dir):
     none = F.lit(None).cast("int")
     codes = found.select("image", F.lit(0).alias("code"), F.lit(SIDE).alias("side"), *[F.col(f"{n}.{axis}").alias(f"{axis}{i}") for i, n in enumerate("abc") for axis in "xy"], none.alias("x3"), none.alias("y3"))
     return sampling.sampled(codes, p, F.col("v") > 127).select("image", "squares")
+
+
+_AMOUNT = f"CASE WHEN (mx < 8 AND my < 8) OR (mx >= 13 AND my < 8) OR (mx < 8 AND my >= 13) OR mx = 6 OR my = 6 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (level / 2 + {tones.FADE}::DOUBLE - greatest(abs((x % 3 + 0.5::DOUBLE) / 3 - 0.5::DOUBLE), abs((y % 3 + 0.5::DOUBLE) / 3 - 0.5::DOUBLE))) / {tones.FADE}::DOUBLE)) END"
+
+
+def _part_sql(c: str) -> str:
+    new = f"CASE WHEN ink THEN {c} * least(1.0::DOUBLE, {tones.DARK}::DOUBLE / greatest(light, 0.001::DOUBLE)) ELSE {c} + (1 - {c}) * greatest(0.0::DOUBLE, ({tones.LIGHT}::DOUBLE - light) / greatest(1 - light, 0.001::DOUBLE)) END"
+    return f"CASE WHEN mx < 21 AND my < 21 THEN CAST(floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, ({c} * (1 - amount) + ({new}) * amount) * 255))) AS INT) ELSE {c}0 END"
+
+
+@query(f"""WITH {PX}, {IMG}, s AS (SELECT image, CAST(y AS INT) AS y, x, y // 3 AS my, x // 3 AS mx, v AS r0, (v * 3) % 256 AS g0, (v * 5) % 256 AS b0, (y // 3 * 7 + x // 3 * 3 + image) % 5 < 2 AS ink FROM img),
+c AS (SELECT *, r0 / 255.0::DOUBLE AS r, g0 / 255.0::DOUBLE AS g, b0 / 255.0::DOUBLE AS b, unnest({list(tones.LEVELS)}::DOUBLE[]) AS level FROM s),
+l AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS light, {_AMOUNT} AS amount FROM c)
+SELECT image, y, x, level, {_part_sql('r')} AS red, {_part_sql('g')} AS green, {_part_sql('b')} AS blue FROM l""")
+def contrast_levels(spark, sf_dir):
+    """Every picture with the squares of a code made readable, at four levels."""
+    v, y, x = F.col("v"), F.col("y"), F.col("x")
+    ink = (F.floor(y / 3) * 7 + F.floor(x / 3) * 3 + F.col("image")) % 5 < 2
+    p = _images(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, tones.LEVELS))))
+    out = tones.refined(y, x, [v, v * 3 % 256, v * 5 % 256], ink, 0, 0, 3, 21, F.col("level"))
+    return p.select("image", "y", "x", "level", *[c.alias(n) for c, n in zip(out, ("red", "green", "blue"))])
+
+
+# --- profiles, looks, cells --------------------------------------------------------------------------------------
+
+_QUANTILES = {"q01": 10, "q02": 20, "q50": 500, "q98": 980, "q99": 990}
+
+
+def _quantiles_sql(of: str, prefix: str) -> str:
+    picks = ", ".join(f"min(bin) FILTER (WHERE upto >= greatest(1, (total * {q} + 999) // 1000)) AS {prefix}{n}" for n, q in _QUANTILES.items())
+    return f"SELECT image, {picks} FROM (SELECT image, bin, sum(n) OVER (PARTITION BY image ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY image) AS total FROM (SELECT image, {of} AS bin, count(*) AS n FROM img GROUP BY ALL)) GROUP BY image"
+
+
+@query(f"""WITH {PX}, {IMG}, d AS ({_quantiles_sql('v', 'd_')}), w AS ({_quantiles_sql('v * 7 % 256', 'w_')})
+SELECT image, w_q02 AS white_low, w_q98 AS white_high, d_q01 AS black_low, d_q99 AS black_high, CAST(greatest(184, least(196, 190 + trunc((d_q50 - 128) / 24.0::DOUBLE))) AS INT) AS white_floor, CASE WHEN d_q98 - d_q02 < 30 THEN 145 ELSE 165 END AS black_ceiling,
+round(greatest(0.45::DOUBLE, least(0.65::DOUBLE, 0.56::DOUBLE + (128 - d_q50) / 1024.0::DOUBLE)), 9) AS exposure, round(greatest(16.0::DOUBLE, least(48.0::DOUBLE, 16 + 80 * 0.32::DOUBLE - greatest(0, d_q98 - d_q02 - 96) / 48.0::DOUBLE)), 9) AS chroma_limit FROM d JOIN w USING (image)""")
+def picture_profiles(spark, sf_dir):
+    """What each pair of pictures is tuned by: five quantiles of either, and the bounds, exposure and colour limit they give."""
+    v = F.col("v")
+    p = _images(spark, sf_dir).select("image", F.explode(F.array(F.struct(F.lit("d").alias("of"), v.alias("bin")), F.struct(F.lit("w").alias("of"), (v * 7 % 256).alias("bin")))).alias("x"))
+    h = p.groupBy("image", "x.of", "x.bin").agg(F.count("*").alias("n"))  # 256 bins a picture at most
+    w = Window.partitionBy("image", "of")
+    h = h.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
+    q = h.groupBy("image").agg(*[F.min(F.when((F.col("of") == of) & (F.col("upto") >= F.greatest(F.lit(1), F.floor((F.col("total") * k + 999) / 1000))), F.col("bin"))).alias(f"{of}_{n}") for of in "dw" for n, k in _QUANTILES.items()])
+    middle, contrast = F.col("d_q50"), F.col("d_q98") - F.col("d_q02")
+    bounded = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return q.select(
+        "image", F.col("w_q02").alias("white_low"), F.col("w_q98").alias("white_high"), F.col("d_q01").alias("black_low"), F.col("d_q99").alias("black_high"),
+        bounded(190 + F.expr("(d_q50 - 128) DIV 24"), 184, 196).cast("int").alias("white_floor"), F.when(contrast < 30, 145).otherwise(165).alias("black_ceiling"),
+        F.round(bounded((128 - middle) / F.lit(1024.0) + 0.56, 0.45, 0.65), 9).alias("exposure"), F.round(bounded(16 + 80 * F.lit(0.32) - F.greatest(F.lit(0), contrast - 96) / F.lit(48.0), 16.0, 48.0), 9).alias("chroma_limit"),
+    )
+
+
+@query(f"""WITH {PX}, {SIDES}, u AS (SELECT *, (299 * lr + 587 * lg + 114 * lb) / 1000.0::DOUBLE AS ly, (299 * dr + 587 * dg + 114 * db) / 1000.0::DOUBLE AS dy FROM s),
+b AS (SELECT y, x, ly, {", ".join(f"(dy + ({c} - dy) * 0.75::DOUBLE) * 0.5::DOUBLE AS {n}" for c, n in (("dr", "br"), ("dg", "bg"), ("db", "bb")))} FROM u),
+o AS (SELECT *, greatest(CAST(ceil(greatest(br, bg, bb)) AS INT), {_byte_sql("255 + (br + bg + bb) / 3 - (ly * 0.5::DOUBLE + 127.5::DOUBLE)")}) AS a FROM b)
+SELECT y, x, a AS opacity, {", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {_byte_sql(f'{c} * 255 / a')} END AS {n}" for c, n in (("br", "red"), ("bg", "green"), ("bb", "blue")))} FROM o""")
+def dark_first_pixels(spark, sf_dir):
+    """Two pictures in one, of which the dark one shows exactly."""
+    p, light, dark = _two(spark, sf_dir)
+    a, out = reveal.dark_first(light, dark, 0.75)
+    return p.select("y", "x", a.alias("opacity"), *[c.alias(n) for c, n in zip(out, ("red", "green", "blue"))])
+
+
+_BOXES = 'b AS (SELECT l_suppkey AS image, l_quantity::INT * 6 AS "left", (l_orderkey % 50)::INT * 6 AS top, (4 + l_linenumber)::INT AS wide, (4 + l_partkey % 5)::INT AS high FROM lineitem)'
+
+
+@query(f"""WITH {_BOXES}, n AS (SELECT *, row_number() OVER () AS id FROM b)
+SELECT a.image, a."left", a.top, a.wide, a.high, count(*) AS near FROM n a JOIN n c ON a.image = c.image AND abs(a.wide - c.wide) <= 2 AND abs(a.high - c.high) <= 2 AND abs(a."left" - c."left") < a.wide * 3.6::DOUBLE AND abs(a.top - c.top) < a.high * 3.6::DOUBLE GROUP BY a.id, a.image, a."left", a.top, a.wide, a.high HAVING count(*) >= 8""")
+def similar_cells(spark, sf_dir):
+    """Cells of a picture that have seven others of their size around them: what hides something as a mosaic does."""
+    line = table(spark, sf_dir, "lineitem")
+    boxes = line.select(F.col("l_suppkey").alias("image"), (F.col("l_quantity").cast("int") * 6).alias("left"), (F.col("l_orderkey") % 50 * 6).cast("int").alias("top"), (4 + F.col("l_linenumber")).cast("int").alias("wide"), (4 + F.col("l_partkey") % 5).cast("int").alias("high"))
+    return regions.alike_nearby(boxes, "image")

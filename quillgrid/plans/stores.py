@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cleaners, containers, private
+from ..functions import cleaners, containers, naming, private
 from ..operators.automaton import PNG_ORDER, ends, kind_of
+from ..sources.ordered import numbered_within
 from ..sources.publish import current, published
 from ..sources.tables import table
 from .catalog import _kept_folder, query
@@ -146,3 +147,13 @@ def inspection_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = ends(chunks, "doc_id", "seq", "kind", PNG_ORDER).select("doc_id", F.col("state").alias("verdict"))
     after = ends(chunks.where("stays"), "doc_id", "seq", "kind", PNG_ORDER).select("doc_id", (F.col("state") == "picture").alias("keeps_order"))
     return told.join(before, "doc_id").join(after, "doc_id").select("doc_id", "chunks", "verdict", "dropped", "bytes", "clean_bytes", "keeps_order")
+
+
+@query(r"""WITH s AS (SELECT doc_id, CASE WHEN s = '' THEN 'picture' ELSE s END AS stem FROM (SELECT doc_id, rtrim(left(rtrim(trim(regexp_replace(left(coalesce(lang || ':' || source, ''), 90), '[\x00-\x1F<>:\x22/\\|?*]', '_', 'g')), '.'), 70)) AS s FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) AS n FROM s) SELECT doc_id, stem || CASE WHEN n = 1 THEN '' ELSE '_' || n END || '.png' AS name FROM n""")
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names that a file system takes, each once: what it refuses is replaced, and names met before are numbered."""
+    wanted = F.coalesce(F.concat("lang", F.lit(":"), "source"), F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", naming.stem(F.left(wanted, F.lit(90))).alias("stem"))
+    n = numbered_within(d, "stem", "doc_id", [], 100_000, "n")
+    return n.select("doc_id", F.concat("stem", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("n").cast("string"))), F.lit(".png")).alias("name"))

@@ -30,3 +30,14 @@ def latest_start(df: DataFrame, key: str, at: str, order: list[str], width: int,
     known = tiles.groupBy(key, "_tile").agg(F.max("_start").alias("_m")).select(key, "_tile", F.max("_m").over(across).alias("_before"))
     inside = Window.partitionBy(key, "_tile").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
     return tiles.join(known, [key, "_tile"]).withColumn(name, F.coalesce(F.max("_start").over(inside), F.col("_before"))).drop("_tile", "_start", "_before")
+
+
+def numbered_within(df: DataFrame, key: str, at: str, order: list[str], width: int, name: str) -> DataFrame:
+    """df with `name`: the row's number in its `key`, from 1, by `at` and then `order`; by tiles as in `beside`, so that a key may
+    hold any share of the rows."""
+    tiles = df.withColumn("_tile", F.floor(F.col(at) / width))
+    across = Window.partitionBy(key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tiles.groupBy(key, "_tile").agg(F.count("*").alias("_n"))
+    before = counts.select(key, "_tile", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_tile").orderBy(at, *order)
+    return tiles.join(before, [key, "_tile"]).withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_tile", "_before")
