@@ -130,3 +130,25 @@ def assess(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they were, that pass the base rule and the bands."""
     return _assessed(docs, docs.columns, "text").where("kept").select("row.*")
+
+
+def measured_bands(docs: DataFrame, text: str = "text", share: float = 0.001) -> DataFrame:
+    """(chunks, top, texts, low, middle, high): for each band of WHOLE_BANDS and CHUNK_BANDS the quantiles `share`, 1/2 and
+    1 - share of the ratios of docs, which should be known to be clean. The bands' limits are set outside of those."""
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            rows = []
+            for x in batch.column(0):
+                raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
+                for chunk, part in [(False, raw), *[(True, c) for c in cut(raw)]]:
+                    if part:
+                        top = next(t for t, _, _ in (CHUNK_BANDS if chunk else WHOLE_BANDS) if len(part) < t)
+                        rows.append((chunk, float(top), len(part) / len(compressor.compress(part))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.bool_(), pa.float64(), pa.float64()))], names=["chunks", "top", "ratio"])
+
+    told = docs.select(F.col(text).alias("text")).mapInArrow(ratios, "chunks boolean, top double, ratio double")
+    at = F.percentile_approx("ratio", [share, 0.5, 1 - share], 10_000)
+    found = told.groupBy("chunks", "top").agg(F.count("*").alias("texts"), at.alias("q"))
+    return found.select("chunks", "top", "texts", *[F.get("q", i).alias(n) for i, n in enumerate(("low", "middle", "high"))])

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -60,3 +61,36 @@ def test_bounded_bins_close_the_fullest():
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(none, PATH, with_ids=False)).count() == 0
+
+
+def plain_best_fit(lengths, capacity, most):
+    """Sequence and offset of each piece: the open bin with the least room that suffices, of several the one that came to have
+    it last; where none suffices a new one, for which the fullest closes if `most` are open."""
+    bins, out, clock = [], [], 0  # [free, when, sequence]
+    sequences = 0
+    for n in lengths:
+        clock += 1
+        fitting = [b for b in bins if b[0] >= n]
+        if fitting:
+            b = min(fitting, key=lambda b: (b[0], -b[1]))
+            bins.remove(b)
+        else:
+            if len(bins) >= most:
+                bins.remove(min(bins, key=lambda b: (b[0], -b[1])))
+            b = [capacity, clock, sequences]
+            sequences += 1
+        out.append((b[2], capacity - b[0]))
+        if b[0] > n:
+            bins.append([b[0] - n, clock, b[2]])
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 4, 64])
+def test_placement_is_the_plain_best_fit(docs, most):
+    """All sequences of a whole table against a list of bins, pieces in the order in which the task has them."""
+    cut = packing.pieces(docs, PATH, max_tokens=97, with_ids=False)
+    got = packing.pack(cut, max_tokens=97, open_bins=most).collect()
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["piece"], r["ids_crc32"])  # noqa: E731  nulls first
+    assert [key(r) for r in got] == sorted(key(r) for r in got)
+    assert [(r["sequence_id"], r["offset"]) for r in got] == plain_best_fit([r["length"] for r in got], 97, most)
+    assert len({r["sequence_id"] for r in got}) > most

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,63 @@ def test_redaction(spark, docs):
 
 def test_empty(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def plain_em(patterns, rounds=60):
+    """Posteriors of vote patterns by expectation-maximisation in probabilities, row by row."""
+    post = {}
+    for kind in {p["kind"] for p in patterns}:
+        rows = [(i, tuple(p[v] for v in pii.VOTES)) for i, p in enumerate(patterns) if p["kind"] == kind for _ in range(p["n"])]
+        mine = {i: 1 / (1 + math.exp(-sum(votes))) for i, votes in rows}
+        for _ in range(rounds):
+            yes, no = 1 + sum(mine[i] for i, _ in rows), 1 + sum(1 - mine[i] for i, _ in rows)
+            given = {(v, k): ((1 + sum(mine[i] for i, x in rows if x[v] == k)) / (yes + 2), (1 + sum(1 - mine[i] for i, x in rows if x[v] == k)) / (no + 2)) for v in range(len(pii.VOTES)) for k in (-1, 0, 1)}
+            for i, x in dict(rows).items():
+                a, b = yes, no
+                for v, k in enumerate(x):
+                    a, b = a * given[v, k][0], b * given[v, k][1]
+                mine[i] = min(1 / (1 + math.exp(-30.0)), max(1 / (1 + math.exp(30.0)), a / (a + b)))
+        post |= mine
+    return [post[i] for i in range(len(patterns))]
+
+
+def plain_classifier(patterns, post, rounds=400):
+    """Logistic regression by plain gradient steps over dictionaries."""
+    seen = [["bias", f"kind:{p['kind']}", *(["loose"] if not p["strict"] else []), *[f"{v}:{p[v]}" for v in pii.VOTES if p[v]], *[f"{p['kind']}:{v}:{p[v]}" for v in pii.VOTES if p[v]], *[f for f in pii.FEATURES if p[f]]] for p in patterns]
+    total, w = sum(p["n"] for p in patterns), {}
+    for _ in range(rounds):
+        slope = {}
+        for p, y, names in zip(patterns, post, seen):
+            miss = p["n"] / total * (y - 1 / (1 + math.exp(-max(-30, min(30, sum(w.get(f, 0.0) for f in names))))))
+            for f in names:
+                slope[f] = slope.get(f, 0.0) + miss
+        for f in slope:
+            w[f] = w.get(f, 0.0) + 0.5 * (slope[f] - 1e-3 * w.get(f, 0.0))
+    return w, seen
+
+
+def test_spans_are_those_of_plain_em_and_classifier(spark):
+    """Labelers' votes taken from Spark, all after them in plain Python: the same posteriors, weights and added spans."""
+    texts = ["write to ann [at] mail [dot] example [dot] org now", "mail bob@mail.example.com or eve@x.example.org", "call 212-555-0187 today", "tel 020 7946 0958", "host 10[.]20[.]30[.]40 and 8.8.8.8 here", "server 192[.]0[.]2[.]17"]
+    texts += ["card 4111.1111.1111.1111 charged", "card 4111 1111 1111 1111", "order 555-123-4567 shipped", "§ 123.456.7890", "version 1.2.3.4 and phone +44 20 7946 0958", "00 49 30 123456", "fax 0049 30 1234 5678", "joe (at) corp (dot) net", "v 4[.]5[.]6[.]7"]
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, r.choice(texts) + " and " + r.choice(texts)) for i in range(300)], "doc_id long, text string")
+    found = docs.select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("x")).select("doc_id", "x.*").collect()
+    names = ("kind", "strict", *pii.VOTES, *pii.FEATURES)
+    counts = Counter(tuple(x[n] for n in names) for x in found)
+    patterns = [dict(zip(names, k)) | {"n": n} for k, n in sorted(counts.items())]
+    post = pii.estimate(patterns)[1]
+    assert post == pytest.approx(plain_em(patterns), abs=1e-6)
+    weights, seen = plain_classifier(patterns, post)
+    mine = pii.train(patterns, post)
+    assert all(mine[f] == pytest.approx(w, abs=1e-6) for f, w in weights.items())
+    score = {tuple(p[n] for n in names): 1 / (1 + math.exp(-sum(weights[f] for f in fs))) for p, fs in zip(patterns, seen)}
+    want = {}
+    for x in found:
+        if x["base"] or (not x["strict"] and score[tuple(x[n] for n in names)] >= pii.ADD_AT):
+            want.setdefault(x["doc_id"], []).append(x)
+    want = {i: sorted((x["start"], x["kind"], x["end"]) for x in xs if x["base"] or not any(y["base"] and y["start"] < x["end"] and x["start"] < y["end"] for y in xs)) for i, xs in want.items()}
+    got = {g["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in g["spans"]] for g in pii.find_spans(docs, ["doc_id"]).collect()}
+    assert {i: s for i, s in got.items() if s} == {i: s for i, s in want.items() if s}
+    added = sum(not s["base"] for g in pii.find_spans(docs, ["doc_id"]).collect() for s in g["spans"])
+    assert added > 50

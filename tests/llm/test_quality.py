@@ -71,3 +71,19 @@ def test_stage_keeps_columns(docs):
 
 def test_empty(spark):
     assert quality.assess(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_bands_lie_outside_of_what_clean_texts_measure(spark):
+    """The record of how the limits are found: a thousandth of the labelled clean texts, and of their chunks, may lie beyond."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    clean = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id").distinct(), "doc_id")
+    base = quality.assess(clean, ["doc_id"]).where("not base_failed").select("doc_id")
+    found = quality.measured_bands(clean.join(base, "doc_id")).collect()
+    assert {r["top"] for r in found if not r["chunks"]} >= {256.0, 512.0, 1024.0, 2048.0, 4096.0, 8192.0, 32768.0}
+    limits = {(chunks, float(top)): (low, high) for chunks, bands in ((False, quality.WHOLE_BANDS), (True, quality.CHUNK_BANDS)) for top, low, high in bands}
+    for r in found:
+        low, high = limits[r["chunks"], r["top"]]
+        if r["texts"] >= 100:  # below that there is no such quantile
+            assert low <= r["low"] and r["high"] <= high, r
+    assert quality.measured_bands(clean.limit(0)).collect() == []

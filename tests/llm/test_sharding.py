@@ -53,8 +53,8 @@ def test_few_and_none(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_rounds_are_a_plain_propagation():
-    """Without large texts a round moves what quotas allow: the majority shard of each text, checked in plain Python."""
+def test_places_of_large_texts_are_plain():
+    """A large text goes where most of it is, if it fits there whole; the places left add up."""
     r = random.Random(3)
     for _ in range(50):
         held = {t: [r.randrange(5) for _ in range(4)] for t in range(12)}
@@ -84,3 +84,42 @@ def test_query_columns_come_from_the_operator(spark, sf_dir):
 def test_very_long_texts(spark):
     rows = [(i, "x" * 400_000) for i in range(3)] + [(i, str(i)) for i in range(3, 30)]
     check(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_a_round_is_a_plain_propagation(spark):
+    """One round against plain Python from the same start: every text of several rows asks for the shard that most of it is in, and
+    of those that ask, and of single rows, as many move as the quotas say, and no others."""
+    r = random.Random(9)
+    texts = [f"text {i}" for i in range(330) for _ in range(r.choice([1, 1, 2, 3, 5]))]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    n = 4
+    assert max(map(texts.count, texts)) <= len(texts) // (n * sharding.PARTS)  # none is large
+    before = {x["doc_id"]: x for x in sharding.propagate(docs, n, 0).collect()}
+    after = {x["doc_id"]: x["shard"] for x in sharding.propagate(docs, n, 1).collect()}
+    named = {x["u"]: x["s"] for x in spark.createDataFrame([(u,) for u in {x["unit"] for x in before.values()}], "u long").selectExpr("u", f"pmod(xxhash64(u), {n}) AS s").collect()}
+    held, wants = {}, {}
+    for x in before.values():
+        if x["copies"] > 1:
+            held.setdefault(x["unit"], [0] * n)[x["shard"]] += 1
+    for unit, by in held.items():
+        wants[unit] = max(range(n), key=lambda s: (by[s], s == named[unit], s))  # noqa: B023
+    asked, single = {}, [0] * n
+    for x in before.values():
+        if x["copies"] == 1:
+            single[x["shard"]] += 1
+        elif wants[x["unit"]] != x["shard"]:
+            k = x["shard"], wants[x["unit"]]
+            asked[k] = asked.get(k, 0) + 1
+    move, fill = sharding.quotas(asked, single)
+    moved, filled = [[0] * n for _ in range(n)], [[0] * n for _ in range(n)]
+    for i, x in before.items():
+        if after[i] != x["shard"]:
+            if x["copies"] == 1:
+                filled[x["shard"]][after[i]] += 1
+            else:
+                assert after[i] == wants[x["unit"]]
+                moved[x["shard"]][after[i]] += 1
+    assert (moved, filled) == (move, fill) and sum(map(sum, move)) > 50
+    sizes = [list(after.values()).count(s) for s in range(n)]
+    assert max(sizes) - min(sizes) <= 1
