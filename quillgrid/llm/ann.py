@@ -20,6 +20,7 @@ candidates all found are returned; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -194,7 +195,10 @@ def fit_probes(rows: DataFrame, queries: DataFrame, signs: np.ndarray, k: int, t
             place = dict(zip(ordered.tolist(), range(len(ordered))))
             for j in np.flatnonzero(of == i):
                 best[j] = min(best[j], place.get(int(mine[j]), MOST_PROBES))
-    return min(MOST_PROBES, int(np.sort(best)[max(0, int(np.ceil(target * len(best))) - 1)]) + 1)
+    wanted = int(np.sort(best)[max(0, int(np.ceil(target * len(best))) - 1)]) + 1
+    if wanted > MOST_PROBES:
+        logging.getLogger(__name__).warning("%d probes a table find %.3f of the sample's neighbours, not %.3f", MOST_PROBES, float(np.mean(best < MOST_PROBES)), target)
+    return min(MOST_PROBES, wanted)
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = K, tables: int = TABLES, probes: int | None = None) -> DataFrame:

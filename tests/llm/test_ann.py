@@ -113,3 +113,14 @@ def test_hadamard_is_the_matrix():
         h = np.array([[(-1) ** bin(i & j).count("1") for j in range(n)] for i in range(n)]) / np.sqrt(n)
         x = r.normal(size=(3, n))
         assert np.allclose(ann.hadamard(x), x @ h)
+
+
+def test_too_few_probes_are_said(spark, monkeypatch, caplog):
+    """Where the most probes find less than wanted, the fit says so and takes them."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    monkeypatch.setattr(ann, "MOST_PROBES", 2)
+    signs = ann.rotations(16, tables=1, polytopes=2)
+    assert ann.fit_probes(rows, rows.where("vec_id % 100 = 0"), signs, 10) == 2
+    assert "2 probes a table find" in caplog.text
