@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a partition that `by_key` makes.
+ROWS = 250_000
+
+
+def by_key(df: DataFrame, counted: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by `keys` over so many partitions that one has some ROWS of the rows of `counted`, what df was made of: a task's
+    memory stays as it is when the table grows, where partitions that are joined up to a number of bytes hold as many small rows
+    as fit."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-counted.count() // ROWS))
+    return df.repartition(parts, *keys)
+
 
 def beside(df: DataFrame, key: str, at: str, order: list[str], width: int, value: Column, name: str, after: bool = False) -> DataFrame:
     """df with `name`: `value` of the row before (or `after`) in its `key`'s order (by `at`, then `order`); null for the first.
