@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaners, containers, graphs, images, metadata, naming, packaging, prompts, qr, validators
 from ..operators import models, permutation, regions, reveal
 from ..operators import raster as ops
+from ..sources.ordered import by_key
 from ..sources.tables import WIDTH, ranked, raster, table
 from ..streaming.events import latest
 from ..streaming.history import active, replayed
@@ -393,7 +394,8 @@ def upstream_closure(spark, sf_dir):
 def neighbour_rectangles(spark, sf_dir):
     """Rows near in value inside a group: a sliding range frame instead of a self-join."""
     w = Window.partitionBy("l_orderkey").orderBy("l_quantity").rangeBetween(-10, 10)
-    near = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.count("*").over(w).alias("n"))
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    near = by_key(line, line, "l_orderkey").select("l_orderkey", "l_linenumber", F.count("*").over(w).alias("n"))
     return near.groupBy("l_orderkey", "l_linenumber").agg(F.sum("n").alias("n"))
 
 
