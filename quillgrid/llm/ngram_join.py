@@ -133,6 +133,14 @@ def _chained(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *one]), np.concatenate([none, *other])
 
 
+def _heads(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes: the first of the path of `_chained` that it is on, which is its least; itself, if on none."""
+    heads, starts = np.arange(n), np.ones(len(one), dtype=bool)
+    starts[1:] = one[1:] != other[:-1]
+    heads[other] = one[starts][np.cumsum(starts) - 1]
+    return heads
+
+
 def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
     """Exact similarities of all pairs of a block's sets."""
     n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
@@ -186,11 +194,12 @@ def _block_pairs(df: DataFrame, key: str) -> DataFrame:
     return cut.repartitionByRange(key, "a", "b").sortWithinPartitions(key, "a", "b", "bits", "node")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, label (the component's smallest node) for all nodes of edges (node, to), by spreading least labels and
-    jumping to labels' labels, until nothing changes: labels only fall, so it ends."""
+    jumping to labels' labels, until nothing changes: labels only fall, so it ends. known (node, label): a node of each node's
+    component to begin with, not larger than itself; the nearer it is to the smallest, the fewer rounds there are."""
     both = checkpointed(edges.select("node", "to").union(edges.select("to", "node")).distinct())
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")))
+    labels = checkpointed(known if known is not None else both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -353,8 +362,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, homes: DataFrame, partners: DataFra
 
 
 def _verified(sets: DataFrame, partners: DataFrame, threshold: float) -> DataFrame:
-    """For each pair of home blocks and node that has links there: node, links (documents linked to it) and to (the end of an
-    edge, or null)."""
+    """For each pair of home blocks and node that has links there: node, links (documents linked to it), to (the end of an
+    edge, or null) and least (the smallest node that the links of this pair of blocks connect it with, or itself)."""
     sides = F.explode(F.array_distinct(F.array("a", "b"))).alias("home")
     pairs = partners.select(F.col("home").alias("a"), F.col("other").alias("b")).select("a", "b", sides)
     members = pairs.join(sets, "home").withColumn("mine", (F.col("home") == F.col("b")).cast("int")).repartitionByRange("a", "b").sortWithinPartitions("a", "b", "node")
@@ -367,13 +376,14 @@ def _verified(sets: DataFrame, partners: DataFrame, threshold: float) -> DataFra
             one, other = _chained(close)
             to, at = np.full(len(n), -1), np.flatnonzero(links)
             to[one] = other
-            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(links[at]), pa.array(n[to[at]], mask=to[at] < 0)], names=["node", "links", "to"])
+            least = n[_heads(one, other, len(n))]  # members come in the order of their nodes
+            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(links[at]), pa.array(n[to[at]], mask=to[at] < 0), pa.array(least[at])], names=["node", "links", "to", "least"])
 
-    return members.select("a", "b", "node", "copies", "s", "mine").mapInArrow(verify, "node long, links long, to long")
+    return members.select("a", "b", "node", "copies", "s", "mine").mapInArrow(verify, "node long, links long, to long, least long")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """node, links, to: all verified links."""
+    """node, links, to, least: all verified links."""
     steps = lengths(threshold)
     subtrees = _subtrees(nodes, steps[-1])
     homes = _homes(subtrees, nodes)
@@ -390,7 +400,8 @@ def _joined(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     nodes = checkpointed(nodes.select("s1", "s2", "n", "copies", "f", "f.k1", "f.k2", "sig", F.monotonically_increasing_id().alias("node")))
     found = _links(docs, nodes, threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.where("to is not null"))
+    # a path through a group of near copies takes many rounds to walk, but its nodes know its least one from the start
+    labels = components(found.where("to is not null"), found.groupBy("node").agg(F.min("least").alias("label")))
     named = nodes.join(links, "node", "left").join(labels, "node", "left")
     named = checkpointed(named.select("s1", "s2", "copies", "f", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "label"))
     heads = named.where("label is not null").groupBy("label").agg(F.min("f").alias("head"))

@@ -173,5 +173,37 @@ def test_a_long_chain_is_one_component(spark):
     assert {r["label"] for r in ngram_join.components(edges).collect()} == {0}
 
 
+def test_heads_are_the_least_of_each_path():
+    r = np.random.default_rng(6)
+    linked = r.random((40, 40)) < 0.03
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    reach = np.linalg.matrix_power(linked.astype(float) + np.eye(40), 40) > 0
+    assert (ngram_join._heads(*ngram_join._chained(linked), 40) == reach.argmax(axis=1)).all()
+    none = np.zeros(0, dtype=np.int64)
+    assert ngram_join._heads(none, none, 3).tolist() == [0, 1, 2]
+
+
+def test_a_group_of_near_copies_takes_few_rounds(spark, monkeypatch):
+    """Of 600 near copies in several blocks, labels begin at their blocks' least: the rounds do not grow with the group."""
+    words = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join([*words[: i % 150], f"x{i}", *words[i % 150 :]])) for i in range(600)] + [(900, "one two three four five six"), (901, "one two three four five six")]
+    counts, inside = [], []
+    components, checkpointed = ngram_join.components, ngram_join.checkpointed
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df: (counts.append(1) if inside else None, checkpointed(df))[1])
+
+    def counted(*args):
+        inside.append(1)
+        out = components(*args)
+        inside.clear()
+        return out
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    got = ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(i, 0) for i in range(600)] + [(900, 900), (901, 900)]
+    assert len(counts) <= 4
+
+
 def test_empty(spark):
     assert ngram_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
