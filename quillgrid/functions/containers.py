@@ -1,4 +1,4 @@
-"""Byte-level codecs as Arrow UDFs: PNG chunk lists and tail records."""
+"""Byte-level codecs as row functions: PNG chunk lists and tail records."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import by_row
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNKS = T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("crc_ok", T.BooleanType())]))
@@ -40,19 +42,17 @@ def chunk_list(content: bytes | None) -> list[dict] | None:
     return None
 
 
-@F.pandas_udf(T.BinaryType())
-def to_png(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(png_bytes)
-
-
 @F.pandas_udf(CHUNKS)
 def png_chunks(content: pd.Series) -> pd.Series:
     return content.map(chunk_list)
 
 
-@F.pandas_udf(T.StringType())
-def itxt_text(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: zlib.decompress(d.split(b"\0", 1)[1][4:]).decode() if d is not None else None)
+def itxt(data: bytes | None) -> str | None:
+    return zlib.decompress(data.split(b"\0", 1)[1][4:]).decode() if data is not None else None
+
+
+to_png = by_row(lambda text: png_bytes(text or ""), T.BinaryType())
+itxt_text = by_row(itxt, T.StringType())
 
 
 def with_tail(content, record):  # noqa: ANN001, ANN201
