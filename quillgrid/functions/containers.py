@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 import zlib
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,16 +41,12 @@ def chunk_list(content: bytes | None) -> list[dict] | None:
     return None
 
 
-@F.pandas_udf(CHUNKS)
-def png_chunks(content: pd.Series) -> pd.Series:
-    return content.map(chunk_list)
-
-
 def itxt(data: bytes | None) -> str | None:
     return zlib.decompress(data.split(b"\0", 1)[1][4:]).decode() if data is not None else None
 
 
 to_png = by_row(lambda text: png_bytes(text or ""), T.BinaryType())
+png_chunks = by_row(chunk_list, CHUNKS)
 itxt_text = by_row(itxt, T.StringType())
 
 

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions import packaging, validators
+from quillgrid.functions import containers, packaging, validators
 from quillgrid.functions.rows import by_row
-from quillgrid.plans import catalog
+from quillgrid.plans import catalog, stores  # noqa: F401 (registers its queries)
 
 JPEG = b"\xff\xd8\xff\xda\x00\x02\xaa\xbb\xff\xd9"
 
@@ -45,3 +45,15 @@ def test_packed_files_come_back(spark):
     made = df.select("i", packaging.packed_file("jpeg")("cover", validators.to_zip("text"), "name").alias("c"))
     out = made.select("i", packaging.unpacked_file("c").alias("f")).select("i", validators.zip_text("f.content").alias("t"), "f.name").orderBy("i").collect()
     assert [tuple(r) for r in out] == [(1, "a\0é", "n.zip"), (2, "", ""), (3, "", "n"), *[(i, None, None) for i in (4, 5, 6, 7)]]
+
+
+def test_chunk_lists_take_rows_not_batches(spark, sf_dir):
+    found = plan(catalog.QUERIES["chunk_order"](spark, sf_dir))
+    assert "BatchEvalPython" in found and "ArrowEvalPython" not in found
+
+
+def test_chunk_lists_of_good_cut_and_missing_files(spark):
+    good = containers.png_bytes("a\0é")
+    df = spark.createDataFrame([(0, good), (1, good[:-1]), (2, b""), (3, None)], "i int, png binary")
+    out = [r["c"] for r in df.select("i", containers.png_chunks("png").alias("c")).orderBy("i").collect()]
+    assert [tuple(c) for c in out[0]] == [tuple(c.values()) for c in containers.chunk_list(good)] and out[1:] == [None] * 3
