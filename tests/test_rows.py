@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.functions import containers, packaging, validators
+from quillgrid.functions import containers, packaging, qr, validators
 from quillgrid.functions.rows import by_row
 from quillgrid.plans import catalog, stores  # noqa: F401 (registers its queries)
 
@@ -57,3 +57,17 @@ def test_chunk_lists_of_good_cut_and_missing_files(spark):
     df = spark.createDataFrame([(0, good), (1, good[:-1]), (2, b""), (3, None)], "i int, png binary")
     out = [r["c"] for r in df.select("i", containers.png_chunks("png").alias("c")).orderBy("i").collect()]
     assert [tuple(c) for c in out[0]] == [tuple(c.values()) for c in containers.chunk_list(good)] and out[1:] == [None] * 3
+
+
+def test_symbols_take_rows_not_batches(spark, sf_dir):
+    found = plan(catalog.QUERIES["qr_roundtrip"](spark, sf_dir))
+    assert "BatchEvalPython" in found and "ArrowEvalPython" not in found
+
+
+def test_symbols_of_texts_that_have_none(spark):
+    """Null, blank and too long texts have no symbol; the longest that fits has the largest."""
+    texts = ["é", "x" * qr.MOST_BYTES, "x" * (qr.MOST_BYTES + 1), " ", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", qr.symbol("t").alias("s")).select("i", "s.side", F.octet_length("s.modules"), qr.symbol_text("s.side", "s.modules")).orderBy("i").collect()
+    side = len(qr.encode(texts[1]))
+    assert [tuple(r)[1:] for r in out] == [(29, 841, "é"), (side, side * side, texts[1]), *[(None, None, None)] * 4]
