@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import cleaners, graphs, naming, reports, validators
+from ..functions.rows import by_row
 from ..operators import masks
 from ..operators import raster as ops
 from ..sources.ordered import beside
@@ -654,9 +654,7 @@ def rar_check(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", cleaners.valid_rar(cut).alias("ok"))
 
 
-@F.pandas_udf(IntegerType())
-def _orientation(tiff: pd.Series) -> pd.Series:
-    return tiff.map(validators.orientation)
+_orientation = by_row(validators.orientation, IntegerType())
 
 
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 9 BETWEEN 1 AND 8 THEN doc_id % 9 ELSE 1 END AS INT) AS turned FROM documents")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillgrid.functions import containers, packaging, qr, validators
 from quillgrid.functions.rows import by_row
-from quillgrid.plans import catalog, stores  # noqa: F401 (registers its queries)
+from quillgrid.plans import catalog, extras, stores  # noqa: F401 (registers its queries)
 
 JPEG = b"\xff\xd8\xff\xda\x00\x02\xaa\xbb\xff\xd9"
 
@@ -71,3 +71,9 @@ def test_symbols_of_texts_that_have_none(spark):
     out = df.select("i", qr.symbol("t").alias("s")).select("i", "s.side", F.octet_length("s.modules"), qr.symbol_text("s.side", "s.modules")).orderBy("i").collect()
     side = len(qr.encode(texts[1]))
     assert [tuple(r)[1:] for r in out] == [(29, 841, "é"), (side, side * side, texts[1]), *[(None, None, None)] * 4]
+
+
+@pytest.mark.parametrize("name", ["exif_comment", "webui_parameters", "exif_orientation", "enriched_graphs"])
+def test_notes_and_graphs_take_rows_not_batches(spark, sf_dir, name):
+    found = plan(catalog.QUERIES[name](spark, sf_dir))
+    assert "BatchEvalPython" in found and "ArrowEvalPython" not in found
