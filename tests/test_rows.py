@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import resource
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +76,47 @@ def test_symbols_of_texts_that_have_none(spark):
     assert [tuple(r)[1:] for r in out] == [(29, 841, "é"), (side, side * side, texts[1]), *[(None, None, None)] * 4]
 
 
+def plain_penalty(dark):
+    """The standard's four marks, place by place."""
+    side, total = len(dark), 0
+    for lines in (dark.tolist(), dark.T.tolist()):
+        for line in lines:
+            runs = [len(list(g)) for _, g in itertools.groupby(line)]
+            total += sum(n - 2 for n in runs if n >= 5)
+            text = "".join("01"[v] for v in line)
+            total += 40 * sum(text[i : i + 11] in ("10111010000", "00001011101") for i in range(side - 10))
+    total += 3 * sum(len(set(dark[y : y + 2, x : x + 2].ravel().tolist())) == 1 for y in range(side - 1) for x in range(side - 1))
+    return total + 10 * int(abs(dark.mean() * 100 - 50) // 5)
+
+
+@pytest.mark.parametrize("text", ["a", "https://a.example/b?c=1", "é" * 60, "0" * 200])
+def test_a_symbol_has_the_mask_of_least_penalty(text):
+    options = [qr.encode(text, m, 0) for m in range(8)]
+    marks = [plain_penalty(o) for o in options]
+    assert [qr.penalty(qr.number(o), qr.number(o.T), len(o)) for o in options] == marks
+    assert (qr.encode(text, margin=0) == options[marks.index(min(marks))]).all()
+
+
+def test_symbols_take_little_time():
+    """Of pages' length: they took 33 ms each where every line's runs were counted apart."""
+    urls = [f"https://site-{i}.example/some/path/page-{i}.html" for i in range(100)]
+    assert qr.packed_text(*qr.packed_symbol(urls[0])) == urls[0]
+    began = time.process_time()
+    assert [qr.packed_text(*qr.packed_symbol(u)) for u in urls] == urls
+    assert time.process_time() - began < 1
+
+
+def test_check_bytes_are_the_remainder_of_the_division():
+    r = np.random.default_rng(4)
+    for n in (17, 30):
+        data = r.integers(0, 256, 40).tolist()
+        left = [*data, *[0] * n]
+        for i in range(len(data)):
+            for j, d in enumerate(qr.divisor_of(n)):
+                left[i + j] ^= qr.times(d, left[i]) if j else 0
+        assert list(qr.check_bytes(bytes(data), n)) == left[len(data) :]
+
+
 @pytest.mark.parametrize("name", ["exif_comment", "webui_parameters", "exif_orientation", "enriched_graphs"])
 def test_notes_and_graphs_take_rows_not_batches(spark, sf_dir, name):
     found = plan(catalog.QUERIES[name](spark, sf_dir))
